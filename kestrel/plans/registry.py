@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+ROUND_COLS: dict[str, tuple] = {}
 
 # Result doubles are rounded to this many decimals on both sides of the
 # oracle comparison so that summation order cannot change the hash.
@@ -51,6 +52,7 @@ def register(name: str, sql: str | None = None, round_cols=()):
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = rounded_sql(sql, round_cols)
+            ROUND_COLS[name] = tuple(round_cols)
         return fn
 
     return deco

@@ -120,3 +120,50 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load_table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_suppkey").alias("store"), F.col("l_partkey").alias("product"),
                      F.col("l_extendedprice").alias("amount"))
+
+
+def events_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` with missing values injected deterministically (FIXTURES
+    F6): ``value`` missing where event_id % 7 = 0, ``props`` where % 11 = 0.
+    Every row is kept."""
+    ev = load_table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    return ev.select(
+        "event_id", "ts", "user_id", "event_type",
+        F.when(k % 7 == 0, F.lit(None).cast("double")).otherwise(F.col("value")).alias("value"),
+        F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("props")).alias("props"),
+    )
+
+
+EVENTS_WITH_GAPS_SQL = """
+  SELECT event_id, ts, user_id, event_type,
+         CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value,
+         CASE WHEN event_id % 11 = 0 THEN NULL ELSE props END AS props
+  FROM events
+"""
+
+
+def raw_business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Business-day text in the raw forms the cleaning must handle
+    (``yyyymmdd``, ``yyyymmdd.0``, padded, dashed, impossible dates)."""
+    li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    d = F.date_format("l_shipdate", "yyyyMMdd")
+    form = F.col("l_linenumber") % 5
+    raw = (F.when(form == 0, F.concat(d, F.lit(".0")))
+           .when(form == 1, F.concat(F.lit("  "), d, F.lit(" ")))
+           .when(form == 2, F.date_format("l_shipdate", "yyyy-MM-dd"))
+           .when(form == 3, F.concat(F.substring(d, 1, 6), F.lit("31")))
+           .otherwise(d))
+    return li.select("l_orderkey", "l_linenumber", raw.alias("raw_day"))
+
+
+RAW_BUSINESS_DAYS_SQL = """
+  SELECT l_orderkey, l_linenumber,
+         CASE l_linenumber % 5
+           WHEN 0 THEN strftime(l_shipdate, '%Y%m%d') || '.0'
+           WHEN 1 THEN '  ' || strftime(l_shipdate, '%Y%m%d') || ' '
+           WHEN 2 THEN strftime(l_shipdate, '%Y-%m-%d')
+           WHEN 3 THEN substr(strftime(l_shipdate, '%Y%m%d'), 1, 6) || '31'
+           ELSE strftime(l_shipdate, '%Y%m%d') END AS raw_day
+  FROM lineitem
+"""

@@ -65,6 +65,12 @@ def compare(spark, con, key, fn, sql, sf_dir, nd=5):
     if sql is None:
         res["status"] = "rows-only"
         return res
+    from kestrel.plans.registry import ROUND_COLS
+    from pyspark.sql import types as T
+    unr = [f.name for f in sdf.schema.fields if isinstance(f.dataType, T.DoubleType)
+           and f.name not in ROUND_COLS.get(key, ())]
+    if unr:
+        res["unrounded"] = unr
     cur = con.execute(sql)
     d_names = [d[0] for d in cur.description]
     d_rows = cur.fetchall()
@@ -79,6 +85,9 @@ def compare(spark, con, key, fn, sql, sf_dir, nd=5):
     exact = rows_of(s_names, s_rows, 12) == rows_of(d_names, d_rows, 12)
     if a == b:
         res["status"] = "ok" if exact else "ok~"
+        if not exact:
+            ea, eb = rows_of(s_names, s_rows, 12), rows_of(d_names, d_rows, 12)
+            res["exact_diff"] = [(x, y) for x, y in zip(ea, eb) if x != y][:2]
     else:
         bad = [(x, y) for x, y in zip(a, b) if x != y]
         res["status"] = f"VALUES {len(bad)} differ, e.g. {bad[:2]}"
