@@ -18,13 +18,20 @@ ROUND_COLS: dict[str, tuple] = {}
 DECIMALS = 6
 
 
+def round_expr(c, decimals: int = DECIMALS):
+    """``round(x * 10^d) / 10^d``: the same IEEE steps in Spark and DuckDB
+    (an exact multiply-round-divide), so equal inputs round equally."""
+    scale = float(10 ** decimals)
+    return F.round(c * F.lit(scale)) / F.lit(scale)
+
+
 def finish(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
     """Round every double/float column (NaN becomes NULL first)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.col(f"`{f.name}`").cast("double")
-            cols.append(F.round(F.nanvl(c, F.lit(None).cast("double")), decimals).alias(f.name))
+            cols.append(round_expr(F.nanvl(c, F.lit(None).cast("double")), decimals).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
@@ -33,7 +40,8 @@ def finish(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
 def rounded_sql(sql: str, cols, decimals: int = DECIMALS) -> str:
     if not cols:
         return sql
-    repl = ", ".join(f"round(CAST({c} AS DOUBLE), {decimals}) AS {c}" for c in cols)
+    s = f"CAST({10 ** decimals} AS DOUBLE)"
+    repl = ", ".join(f"round(CAST({c} AS DOUBLE) * {s}) / {s} AS {c}" for c in cols)
     return f"SELECT * REPLACE ({repl}) FROM ({sql}) AS q"
 
 

@@ -35,16 +35,19 @@ def store_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = load_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     flagged = orders.join(cust, orders.o_custkey == cust.c_custkey, "left").select(
         "o_orderkey", (F.col("c_mktsegment") == F.lit(MEMBER_SEGMENT)).alias("is_member"))
-    rev = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
+    # revenue in exact 1e-4 units (cents x percent) summed as long, so that
+    # store-day revenue does not depend on summation order
+    rev = (F.round(F.col("l_extendedprice") * 100).cast("long")
+           * F.round((F.lit(1.0) - F.col("l_discount")) * 100).cast("long"))
     member = F.coalesce(F.col("is_member"), F.lit(False))
     joined = li.join(flagged, li.l_orderkey == flagged.o_orderkey, "left")
     agg = joined.groupBy(
         F.col("l_suppkey").alias("store"),
         F.to_date("l_shipdate").alias("business_day"),
     ).agg(
-        F.round(F.sum(rev), 2).alias("revenue"),
+        (F.sum(rev) / F.lit(10000.0)).alias("revenue"),
         F.countDistinct("l_orderkey").cast("double").alias("tickets"),
-        F.round(F.sum(F.when(member, rev).otherwise(F.lit(0.0))), 2).alias("member_sales"),
+        (F.sum(F.when(member, rev).otherwise(F.lit(0))) / F.lit(10000.0)).alias("member_sales"),
         F.countDistinct(F.when(member, F.col("l_orderkey"))).cast("double").alias("member_tickets"),
     )
     return agg.select(
@@ -58,9 +61,9 @@ def store_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STORE_DAYS_SQL = f"""
   SELECT l_suppkey AS store, CAST(l_shipdate AS DATE) AS business_day,
-         round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
+         sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round((1 - l_discount) * 100) AS BIGINT)) / 10000.0 AS revenue,
          CAST(count(DISTINCT l_orderkey) AS DOUBLE) AS tickets,
-         round(sum(CASE WHEN c.c_mktsegment = '{MEMBER_SEGMENT}' THEN l_extendedprice * (1 - l_discount) ELSE 0.0 END), 2) AS member_sales,
+         sum(CASE WHEN c.c_mktsegment = '{MEMBER_SEGMENT}' THEN CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round((1 - l_discount) * 100) AS BIGINT) ELSE 0 END) / 10000.0 AS member_sales,
          CAST(count(DISTINCT CASE WHEN c.c_mktsegment = '{MEMBER_SEGMENT}' THEN l_orderkey END) AS DOUBLE) AS member_tickets
   FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
        LEFT JOIN customer c ON o.o_custkey = c.c_custkey
