@@ -1,4 +1,4 @@
 """Named queries: importing this package registers all of them."""
 
-from . import core_queries, influence_queries  # noqa: F401
+from . import core_queries, influence_queries, stats_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -13,35 +13,47 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 ROUND_COLS: dict[str, tuple] = {}
 
-# Result doubles are rounded to this many decimals on both sides of the
-# oracle comparison so that summation order cannot change the hash.
-DECIMALS = 6
+# Result doubles are rounded to this many significant digits on both sides
+# of the oracle comparison so that summation order cannot change the hash.
+SIG_DIGITS = 11
 
 
-def round_expr(c, decimals: int = DECIMALS):
-    """``round(x * 10^d) / 10^d``: the same IEEE steps in Spark and DuckDB
-    (an exact multiply-round-divide), so equal inputs round equally."""
-    scale = float(10 ** decimals)
-    return F.round(c * F.lit(scale)) / F.lit(scale)
+def round_expr(c, sig: int = SIG_DIGITS):
+    """Round to ``sig`` significant digits with exact powers of ten:
+    ``round(x * 10^k) / 10^k`` for k >= 0, ``round(x / 10^-k) * 10^-k``
+    otherwise; Spark and DuckDB run the same IEEE steps."""
+    e = F.floor(F.log10(F.abs(c)))
+    k = (F.lit(sig - 1) - e).cast("double")
+    up = F.round(c * F.pow(F.lit(10.0), k)) / F.pow(F.lit(10.0), k)
+    down = F.round(c / F.pow(F.lit(10.0), -k)) * F.pow(F.lit(10.0), -k)
+    return (F.when(c.isNull() | (c == 0) | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), c)
+            .when(k >= 0, up).otherwise(down))
 
 
-def finish(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
+def finish(df: DataFrame, sig: int = SIG_DIGITS) -> DataFrame:
     """Round every double/float column (NaN becomes NULL first)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.col(f"`{f.name}`").cast("double")
-            cols.append(round_expr(F.nanvl(c, F.lit(None).cast("double")), decimals).alias(f.name))
+            cols.append(round_expr(F.nanvl(c, F.lit(None).cast("double")), sig).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
 
 
-def rounded_sql(sql: str, cols, decimals: int = DECIMALS) -> str:
+def _round_sql(c: str, sig: int) -> str:
+    x = f"CAST({c} AS DOUBLE)"
+    k = f"({sig - 1} - floor(log10(abs({x}))))"
+    return (f"CASE WHEN {x} IS NULL OR {x} = 0 OR isnan({x}) OR isinf({x}) THEN {x} "
+            f"WHEN {k} >= 0 THEN round({x} * pow(10.0, {k})) / pow(10.0, {k}) "
+            f"ELSE round({x} / pow(10.0, -{k})) * pow(10.0, -{k}) END")
+
+
+def rounded_sql(sql: str, cols, sig: int = SIG_DIGITS) -> str:
     if not cols:
         return sql
-    s = f"CAST({10 ** decimals} AS DOUBLE)"
-    repl = ", ".join(f"round(CAST({c} AS DOUBLE) * {s}) / {s} AS {c}" for c in cols)
+    repl = ", ".join(f"{_round_sql(c, sig)} AS {c}" for c in cols)
     return f"SELECT * REPLACE ({repl}) FROM ({sql}) AS q"
 
 

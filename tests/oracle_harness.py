@@ -55,7 +55,7 @@ def rows_of(names, rows, nd):
     return sorted(out, key=repr)
 
 
-def compare(spark, con, key, fn, sql, sf_dir, nd=5):
+def compare(spark, con, key, fn, sql, sf_dir, nd=4):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
     s_names = sdf.columns
