@@ -195,10 +195,10 @@ def chi_square_expected(df: DataFrame, row: str, col: str) -> DataFrame:
     obs = contingency(df, row, col)
     rt = obs.groupBy(row).agg(F.sum("observed").alias("row_total"))
     ct = obs.groupBy(col).agg(F.sum("observed").alias("col_total"))
-    n = obs.agg(F.sum("observed").alias("n_total"))
-    e = obs.join(rt, row).join(ct, col).join(F.broadcast(n), how="inner")
+    n = obs.agg(F.sum("observed")).first()[0] or 0
+    e = obs.join(rt, row).join(ct, col)
     return e.select(row, col, "observed",
-                    (F.col("row_total") * F.col("col_total") / F.col("n_total")).alias("expected"))
+                    F.try_divide(F.col("row_total") * F.col("col_total"), F.lit(float(n))).alias("expected"))
 
 
 def chi_square_test(df: DataFrame, row: str, col: str, correction: bool = True) -> DataFrame:
@@ -285,11 +285,14 @@ def correlation_analysis(df: DataFrame, target: str, columns=None) -> dict:
 def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     """Equal-width histogram over [min, max]: the max falls in the last bin."""
     d = _clean(df, [value])
-    mm = d.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    b = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(
-        F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1, F.lit(bins)))
-    j = d.select(value).join(F.broadcast(mm), how="inner")
+    mm = d.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    if mm["lo"] is None:
+        return df.sparkSession.createDataFrame([], "bin int, bin_lo double, bin_hi double, n long")
+    lo, hi = F.lit(float(mm["lo"])), F.lit(float(mm["hi"]))
+    width = (hi - lo) / F.lit(bins)
+    b = F.when(hi == lo, F.lit(1)).otherwise(
+        F.least(F.floor((F.col(value) - lo) / (hi - lo) * bins) + 1, F.lit(bins)))
+    j = d.select(value, lo.alias("lo"), hi.alias("hi"))
     return j.groupBy(b.cast("int").alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n")).select(
         "bin", (F.col("lo") + (F.col("bin") - 1) * width).alias("bin_lo"),
         (F.col("lo") + F.col("bin") * width).alias("bin_hi"), "n")
