@@ -115,3 +115,22 @@ def global_fill(df: DataFrame, columns: list[str], order_by: list[str], backward
 
 def rank_key(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
+
+
+def global_cumsum(df: DataFrame, order_by: str, columns: list[str], descending: bool = False,
+                  n_ranges: int | None = None) -> DataFrame:
+    """Running sums (inclusive) of ``columns`` in ``order_by`` order over
+    the whole table: per-range running sums plus the totals of the earlier
+    ranges (a per-range table combined by a small window)."""
+    src = df.withColumn("_kr_key", -F.col(order_by) if descending else F.col(order_by))
+    ranged = with_range_id(src, "_kr_key", n_ranges)
+    totals = ranged.groupBy(RANGE_COL).agg(*[F.sum(c).alias(f"_kr_t_{c}") for c in columns])
+    prev = totals.select(RANGE_COL, *[
+        F.coalesce(F.sum(f"_kr_t_{c}").over(Window.orderBy(RANGE_COL).rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias(f"_kr_p_{c}") for c in columns])
+    w = Window.partitionBy(RANGE_COL).orderBy("_kr_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.select("*", *[F.sum(c).over(w).alias(f"_kr_l_{c}") for c in columns])
+    out = out.join(F.broadcast(prev), RANGE_COL)
+    for c in columns:
+        out = out.withColumn(f"cum_{c}", F.col(f"_kr_l_{c}") + F.col(f"_kr_p_{c}"))
+    return out.drop(RANGE_COL, "_kr_key", *[f"_kr_l_{c}" for c in columns], *[f"_kr_p_{c}" for c in columns])
