@@ -27,11 +27,27 @@ def default_features(df: DataFrame, target: str | None = None, exclude=()) -> li
     return [c for c in numeric_columns(df) if c != target and c not in exclude]
 
 
+_WIDE = 8  # above this many columns the moments come from one vector Summarizer
+
+
 def scaler_stats(df: DataFrame, cols) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation per column (one aggregate row)."""
-    r = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
-               *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
-    return {c: (r[f"m_{i}"], r[f"s_{i}"]) for i, c in enumerate(cols)}
+    """Mean and population deviation per column (one aggregate row).
+
+    Few columns: SQL ``avg`` / ``stddev_pop`` (bit-comparable with the SQL
+    oracles). Many columns: one ``Summarizer`` over the assembled vector
+    (a single vectorised aggregate instead of 2 x d scalar ones)."""
+    cols = list(cols)
+    if len(cols) <= _WIDE:
+        r = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
+                   *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
+        return {c: (r[f"m_{i}"], r[f"s_{i}"]) for i, c in enumerate(cols)}
+    from pyspark.ml.stat import Summarizer
+    vec = VectorAssembler(inputCols=cols, outputCol="_sv", handleInvalid="skip").transform(df.select(*cols))
+    r = vec.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_sv")).alias("s")).first()["s"]
+    n = r["count"]
+    scale = (n - 1) / n if n > 1 else 0.0
+    return {c: (float(r["mean"][i]), float(math.sqrt(max(r["variance"][i] * scale, 0.0))))
+            for i, c in enumerate(cols)}
 
 
 def standardize(df: DataFrame, cols, stats=None, suffix: str = "") -> DataFrame:
@@ -98,3 +114,25 @@ def label_decode(df: DataFrame, col: str, classes: list, out: str) -> DataFrame:
 
 def ceil_frac(n: int, f: float = TEST_FRACTION) -> int:
     return int(math.ceil(n * f))
+
+
+def array_scaler(train: DataFrame, arr: str = "_x") -> tuple[list, list]:
+    """Mean and population deviation of an array<double> column, from one
+    vector ``Summarizer`` pass (deviation 0 → 1)."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    v = train.select(array_to_vector(arr).alias("_v"))
+    r = v.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")).first()["s"]
+    n = r["count"]
+    scale = (n - 1) / n if n > 1 else 0.0
+    mean = [float(x) for x in r["mean"]]
+    sd = [math.sqrt(max(float(x) * scale, 0.0)) for x in r["variance"]]
+    return mean, [s if s > 0 else 1.0 for s in sd]
+
+
+def scale_array(df: DataFrame, mean, sd, arr: str = "_x", out: str = "features") -> DataFrame:
+    """``(x - mean) / sd`` elementwise, as a vector column."""
+    from pyspark.ml.functions import array_to_vector
+    centred = F.zip_with(arr, F.array(*[F.lit(m) for m in mean]), lambda a, m: a - m)
+    scaled = F.zip_with(centred, F.array(*[F.lit(s) for s in sd]), lambda a, s: a / s)
+    return df.withColumn(out, array_to_vector(scaled))

@@ -133,3 +133,237 @@ def regression_metrics(spark, sf_dir):
     d = li.join(part, li.l_partkey == part.p_partkey).select(
         F.col("l_extendedprice").alias("label"), (F.col("l_quantity") * F.col("p_retailprice")).alias("prediction"))
     return ev.regression_metrics(d)
+
+
+# ---------------------------------------------------------------- models
+from ..operators import classify as clf  # noqa: E402
+from ..operators import cluster as cl  # noqa: E402
+from ..operators import neighbors as nb  # noqa: E402
+from ..operators import regress as rg  # noqa: E402
+from ..sources import derived  # noqa: E402
+
+_DF = derived.DOC_FEATURES
+_CF = derived.CUSTOMER_FEATURES
+_REG_FEATURES = ["l_quantity", "p_retailprice", "l_discount", "l_tax"]
+
+
+def _metrics_with_model(res, name):
+    return res.metrics.withColumn("model", F.lit(name))
+
+
+@register("logistic_regression")
+def logistic_regression(spark, sf_dir):
+    """Document quality from text counts (L2, C=1)."""
+    return _metrics_with_model(clf.logistic_regression(derived.document_features(spark, sf_dir), "quality",
+                                                       "doc_id", _DF), "logistic")
+
+
+@register("decision_tree_classify")
+def decision_tree_classify(spark, sf_dir):
+    """Embedding class by a gini tree."""
+    emb = load_table(spark, sf_dir, "embeddings")
+    return _metrics_with_model(clf.decision_tree(emb, "label", "vec_id", "embedding"), "decision_tree")
+
+
+@register("random_forest_classify")
+def random_forest_classify(spark, sf_dir):
+    """C4: embedding class by a 100-tree forest."""
+    emb = load_table(spark, sf_dir, "embeddings")
+    return _metrics_with_model(clf.random_forest(emb, "label", "vec_id", "embedding"), "random_forest")
+
+
+@register("svm_classify")
+def svm_classify(spark, sf_dir):
+    """Document quality by an RBF-feature linear SVM."""
+    return _metrics_with_model(clf.support_vector(derived.document_features(spark, sf_dir), "quality", "doc_id",
+                                                  _DF, kernel="rbf"), "svm_rbf")
+
+
+def knn_classify_df(spark, sf_dir, k=5):
+    p = clf.prepare(derived.document_features(spark, sf_dir), "quality", "doc_id", _DF)
+    pred = nb.knn_predict(p.train, p.test, k=k, tid="doc_id", qid="doc_id")
+    out = p.test.select("doc_id", F.col("label").alias("_l")).join(pred, "doc_id")
+    out = clf.prep.label_decode(out, "_l", p.classes, "label")
+    out = clf.prep.label_decode(out, "prediction", p.classes, "predicted")
+    return out.select("doc_id", "label", F.col("predicted").alias("prediction"))
+
+
+_Z = ", ".join(f"({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END AS z_{c}" for c in _DF)
+_KNN_SQL = f"""
+  WITH f AS ({derived.DOCUMENT_FEATURES_SQL}),
+  sp AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id)
+                   <= ceil(0.2 * count(*) OVER (PARTITION BY quality)) AS is_test FROM f),
+  st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _DF)} FROM sp WHERE NOT is_test),
+  z AS (SELECT doc_id, quality, is_test, {_Z} FROM sp, st),
+  pr AS (SELECT q.doc_id AS qid, q.quality AS ql, t.doc_id AS tid, t.quality AS tl,
+                sqrt({" + ".join(f"(q.z_{c} - t.z_{c}) * (q.z_{c} - t.z_{c})" for c in _DF)}) AS dist
+         FROM z q JOIN z t ON q.is_test AND NOT t.is_test),
+  top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS r FROM pr) WHERE r <= 5),
+  v AS (SELECT qid, ql, tl, count(*) AS cnt FROM top GROUP BY qid, ql, tl)
+  SELECT qid AS doc_id, ql AS label, tl AS prediction FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cnt DESC, tl) AS rr FROM v) WHERE rr = 1
+"""
+
+
+@register("knn_classify", sql=_KNN_SQL)
+def knn_classify(spark, sf_dir):
+    """Exact 5-NN vote on the test split (grid search, no all-pairs)."""
+    return knn_classify_df(spark, sf_dir)
+
+
+@register("linear_regression")
+def linear_regression(spark, sf_dir):
+    """G1: line price on quantity, list price, discount, tax."""
+    return _metrics_with_model(rg.linear_regression(derived.line_regression_data(spark, sf_dir), "l_extendedprice",
+                                                    "line_id", _REG_FEATURES), "ols")
+
+
+@register("ols_single_feature", sql="""
+  SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept,
+         regr_r2(l_extendedprice, l_quantity) AS r2, regr_count(l_extendedprice, l_quantity) AS n FROM lineitem
+""", round_cols=["slope", "intercept", "r2"])
+def ols_single_feature(spark, sf_dir):
+    """G1 (SQL-checkable form): one-feature least squares on all rows."""
+    li = load_table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity")
+    return rg.simple_ols(li, "l_extendedprice", "l_quantity")
+
+
+@register("ridge_regression")
+def ridge_regression(spark, sf_dir):
+    """Ridge, alpha = 1."""
+    return _metrics_with_model(rg.ridge_regression(derived.line_regression_data(spark, sf_dir), "l_extendedprice",
+                                                   "line_id", _REG_FEATURES), "ridge")
+
+
+@register("lasso_regression")
+def lasso_regression(spark, sf_dir):
+    """Lasso, alpha = 1, with the kept features."""
+    res = rg.lasso_regression(derived.line_regression_data(spark, sf_dir), "l_extendedprice", "line_id",
+                              _REG_FEATURES)
+    return _metrics_with_model(res, "lasso").withColumn(
+        "selected_features", F.lit(", ".join(res.extra["selected_features"])))
+
+
+@register("decision_tree_regress")
+def decision_tree_regress(spark, sf_dir):
+    """Regression tree."""
+    return _metrics_with_model(rg.decision_tree_regression(derived.line_regression_data(spark, sf_dir),
+                                                           "l_extendedprice", "line_id", _REG_FEATURES), "tree")
+
+
+@register("random_forest_regress")
+def random_forest_regress(spark, sf_dir):
+    """100-tree forest, all features per split."""
+    return _metrics_with_model(rg.random_forest_regression(derived.line_regression_data(spark, sf_dir),
+                                                           "l_extendedprice", "line_id", _REG_FEATURES), "forest")
+
+
+@register("svr_regress")
+def svr_regress(spark, sf_dir):
+    """Epsilon-SVR with RBF features on the scaled target."""
+    return _metrics_with_model(rg.support_vector_regression(derived.document_features(spark, sf_dir), "n_chars",
+                                                            "doc_id", ["n_lines", "n_spaces", "n_upper"]), "svr_rbf")
+
+
+@register("kmeans")
+def kmeans(spark, sf_dir):
+    """K1: k-means (k=3) of embeddings; per-row clusters."""
+    emb = load_table(spark, sf_dir, "embeddings")
+    return cl.kmeans(emb, "vec_id", "embedding", k=3).assignments
+
+
+_LF = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("kmeans_assign", sql=f"""
+  WITH s AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _LF)} FROM lineitem),
+  z AS (SELECT row_number() OVER () AS rid,
+               md5(CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || ':42') AS h,
+               {", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in _LF)} FROM lineitem, s),
+  c AS (SELECT row_number() OVER (ORDER BY h, {", ".join(_LF)}) - 1 AS j, *
+        FROM (SELECT * FROM z ORDER BY h, {", ".join(_LF)} LIMIT 3)),
+  d AS (SELECT z.rid, c.j, {" + ".join(f"(z.{x} - c.{x}) * (z.{x} - c.{x})" for x in _LF)} AS dist FROM z, c),
+  a AS (SELECT rid, arg_min(j, (dist, j)) AS cluster FROM d GROUP BY rid)
+  SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS n, {", ".join(f"avg(z.{c}) AS {c}" for c in _LF)}
+  FROM a JOIN z USING (rid) GROUP BY cluster
+""", round_cols=_LF)
+def kmeans_assign(spark, sf_dir):
+    """K1 step: assign to 3 fixed centroids (first rows in hash order, ties
+    by value) and recompute the centroids."""
+    li = load_table(spark, sf_dir, "lineitem")
+    z = clf.prep.standardize(li.select("l_orderkey", "l_linenumber", *_LF), _LF)
+    z = z.withColumn("h", F.md5(F.concat_ws("", F.col("l_orderkey").cast("string"), F.lit("-"),
+                                            F.col("l_linenumber").cast("string"), F.lit(":42"))))
+    cents = [[r[c] for c in _LF] for r in z.orderBy("h", *_LF).limit(3).collect()]
+    return cl.kmeans_assign(z, "h", _LF, cents)
+
+
+@register("kmeans_k_scan")
+def kmeans_k_scan(spark, sf_dir):
+    """K5: inertia and silhouette for k = 2..10 (best of 10 starts)."""
+    emb = load_table(spark, sf_dir, "embeddings")
+    return cl.kmeans_k_scan(emb, "vec_id", "embedding")
+
+
+@register("gaussian_mixture")
+def gaussian_mixture(spark, sf_dir):
+    """K4: 3-component mixture of customer features; responsibilities."""
+    return cl.gaussian_mixture(derived.customer_features(spark, sf_dir), "c_custkey", _CF).assignments
+
+
+@register("hierarchical")
+def hierarchical(spark, sf_dir):
+    """K2: ward agglomeration of customers into 3 clusters."""
+    return cl.hierarchical(derived.customer_features(spark, sf_dir), "c_custkey", _CF, k=3).assignments
+
+
+def _cust_points(spark, sf_dir):
+    pts, _ = cl.prepare(derived.customer_features(spark, sf_dir), "c_custkey", _CF)
+    return pts
+
+
+@register("dbscan")
+def dbscan(spark, sf_dir):
+    """K3: DBSCAN (eps 0.5, 5 samples) of customers; noise = -1."""
+    return nb.dbscan(_cust_points(spark, sf_dir), "c_custkey", 0.5, 5)
+
+
+_CZ = f"""
+  WITH f AS ({derived.CUSTOMER_FEATURES_SQL}),
+  st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _CF)} FROM f),
+  z AS (SELECT c_custkey AS k, c_mktsegment AS seg, {", ".join(f"({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END AS {c}" for c in _CF)} FROM f, st)"""
+_SQD = " + ".join(f"(x.{c} - y.{c}) * (x.{c} - y.{c})" for c in _CF)
+
+
+@register("dbscan_degrees", sql=f"""{_CZ}
+  SELECT x.k AS c_custkey, count(*) AS n_neighbors, count(*) >= 5 AS is_core
+  FROM z x JOIN z y ON sqrt({_SQD}) <= 0.5 GROUP BY x.k
+""")
+def dbscan_degrees(spark, sf_dir):
+    """K3 check: eps-neighbour counts and core flags."""
+    return nb.dbscan(_cust_points(spark, sf_dir), "c_custkey", 0.5, 5).select("c_custkey", "n_neighbors", "is_core")
+
+
+@register("silhouette", sql=f"""{_CZ},
+  pd AS (SELECT x.k, x.seg AS own, y.seg AS other, sum({_SQD}) AS sd, count(*) AS n
+         FROM z x JOIN z y ON x.k <> y.k GROUP BY 1, 2, 3),
+  ab AS (SELECT k, max(CASE WHEN own = other THEN sd / n END) AS a, min(CASE WHEN own <> other THEN sd / n END) AS b
+         FROM pd GROUP BY k)
+  SELECT avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette,
+         CAST((SELECT count(DISTINCT seg) FROM z) AS INTEGER) AS n_clusters
+  FROM z LEFT JOIN ab USING (k)
+""", round_cols=["silhouette"])
+def silhouette(spark, sf_dir):
+    """E5: exact mean silhouette (squared Euclidean) of market segments,
+    linear time from per-cluster moments."""
+    pts, _ = cl.prepare(derived.customer_features(spark, sf_dir).withColumnRenamed("c_mktsegment", "seg"),
+                        "c_custkey", _CF)
+    seg = derived.customer_features(spark, sf_dir).select("c_custkey", F.col("c_mktsegment").alias("cluster"))
+    return cl.silhouette_squared(pts.join(seg, "c_custkey"), "cluster")
+
+
+@register("pca_2d")
+def pca_2d(spark, sf_dir):
+    """First two principal components of the embeddings."""
+    emb = load_table(spark, sf_dir, "embeddings")
+    return cl.pca_2d(emb, "vec_id", "embedding")

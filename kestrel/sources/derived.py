@@ -170,3 +170,60 @@ RAW_BUSINESS_DAYS_SQL = """
            ELSE strftime(l_shipdate, '%Y%m%d') END AS raw_day
   FROM lineitem
 """
+
+
+def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with whole-text counts as numeric features."""
+    lab = load_table(spark, sf_dir, "labels")
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    t = F.col("text")
+    return lab.join(docs, "doc_id").select(
+        "doc_id", "quality", "toxic",
+        F.col("n_chars").cast("double").alias("n_chars"),
+        (F.length(t) - F.length(F.regexp_replace(t, "\\n", "")) + 1).cast("double").alias("n_lines"),
+        (F.length(t) - F.length(F.regexp_replace(t, " ", ""))).cast("double").alias("n_spaces"),
+        F.length(F.regexp_replace(t, "[^A-Z]", "")).cast("double").alias("n_upper"))
+
+
+DOCUMENT_FEATURES_SQL = """
+  SELECT doc_id, quality, toxic, CAST(n_chars AS DOUBLE) AS n_chars,
+         CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS DOUBLE) AS n_lines,
+         CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS n_spaces,
+         CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS DOUBLE) AS n_upper
+  FROM labels JOIN documents USING (doc_id)
+"""
+DOC_FEATURES = ["n_chars", "n_lines", "n_spaces", "n_upper"]
+
+
+def customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer balance and order aggregates (customers with orders)."""
+    cust = load_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    o = load_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.count(F.lit(1)).cast("double").alias("n_orders"), F.avg("o_totalprice").alias("avg_price"))
+    return cust.join(o, cust.c_custkey == o.o_custkey).select(
+        "c_custkey", "c_mktsegment", "c_acctbal", "n_orders", "avg_price")
+
+
+CUSTOMER_FEATURES_SQL = """
+  SELECT c_custkey, c_mktsegment, c_acctbal, n_orders, avg_price FROM customer
+  JOIN (SELECT o_custkey, CAST(count(*) AS DOUBLE) AS n_orders, avg(o_totalprice) AS avg_price FROM orders GROUP BY o_custkey)
+    ON c_custkey = o_custkey
+"""
+CUSTOMER_FEATURES = ["c_acctbal", "n_orders", "avg_price"]
+
+
+def embedding_columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Embeddings with the vector spread over numeric columns e0..e{d-1}."""
+    emb = load_table(spark, sf_dir, "embeddings")
+    d = len(emb.select("embedding").first()[0])
+    cols = [f"e{i}" for i in range(d)]
+    return emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c)
+                                           for i, c in enumerate(cols)]), cols
+
+
+def line_regression_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = load_table(spark, sf_dir, "lineitem")
+    part = load_table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    return li.join(part, li.l_partkey == part.p_partkey).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"),
+        "l_extendedprice", "l_quantity", "p_retailprice", "l_discount", "l_tax")
