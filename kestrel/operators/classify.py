@@ -152,7 +152,7 @@ def support_vector(df: DataFrame, target: str, key: str, features=None, kernel:
     train = km.transform(p.train)
     test = km.transform(p.test)
     n = p.train.count()
-    svc = LinearSVC(featuresCol="kfeatures", labelCol="label", regParam=1.0 / (C * n), maxIter=200,
+    svc = LinearSVC(featuresCol="kfeatures", labelCol="label", regParam=1.0 / (C * n), maxIter=100, tol=1e-4,
                     standardization=False)
     if len(p.classes) > 2:
         m = OneVsRest(classifier=svc, featuresCol="kfeatures", labelCol="label").fit(train)

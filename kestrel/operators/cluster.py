@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
@@ -112,20 +113,37 @@ def kmeans_assign(points: DataFrame, key: str, feats: list, centroids: list[list
 
 
 def kmeans_k_scan(df: DataFrame, key: str, features=None, k_range=range(2, 11), seed: int = 42,
-                  n_init: int = 10) -> DataFrame:
+                  n_init: int = 10, parallelism: int | None = None) -> DataFrame:
     """K5: inertia (best of ``n_init`` starts) and silhouette per k on one
-    cached vector table; ``suggested`` marks the best silhouette."""
+    cached vector table; ``suggested`` marks the best silhouette.
+
+    The (k, start) fits are independent Spark jobs; they are submitted
+    concurrently from a thread pool (as ``CrossValidator(parallelism=)``
+    does), so small fits share the cluster instead of queueing."""
+    from concurrent.futures import ThreadPoolExecutor
     pts, _ = prepare(df, key, features)
-    pts = pts.cache()
-    rows = []
-    for k in k_range:
-        best = None
-        for s in range(n_init):
-            m = KMeans(k=k, seed=seed + s, featuresCol="features", predictionCol="cluster").fit(pts)
-            if best is None or m.summary.trainingCost < best.summary.trainingCost:
-                best = m
-        sil = silhouette_squared(best.transform(pts)).first()["silhouette"]
-        rows.append((int(k), float(best.summary.trainingCost), sil))
+    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
+    pts.count()
+    par = parallelism or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+
+    def fit(args):
+        k, s = args
+        m = KMeans(k=k, seed=seed + s, featuresCol="features", predictionCol="cluster").fit(pts)
+        return k, m
+
+    jobs = [(int(k), s) for k in k_range for s in range(n_init)]
+    best = {}
+    with ThreadPoolExecutor(max_workers=par) as pool:
+        for k, m in pool.map(fit, jobs):
+            if k not in best or m.summary.trainingCost < best[k].summary.trainingCost:
+                best[k] = m
+
+    def score(k):
+        return k, silhouette_squared(best[k].transform(pts)).first()["silhouette"]
+
+    with ThreadPoolExecutor(max_workers=par) as pool:
+        sil = dict(pool.map(score, sorted(best)))
+    rows = [(k, float(best[k].summary.trainingCost), sil[k]) for k in sorted(best)]
     pts.unpersist()
     res = df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
     top = max((r for r in rows if r[2] is not None), key=lambda r: r[2], default=None)

@@ -25,11 +25,11 @@ Plan shape (no range join over the fact table for all/control):
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .joins import bounded_broadcast
 
 PERIODS = ("before", "after", "yago")
 SCOPES = ("own", "all", "control")
@@ -103,7 +103,10 @@ def own_window_stats(facts: DataFrame, windows: DataFrame) -> DataFrame:
         F.col("store").alias("f_store"), "business_day", *BASE_METRICS)
     w = windows.select(*WINDOW_KEY, "store", "start_day", "end_day")
     cond = ((f.f_store == w.store) & (f.business_day >= w.start_day) & (f.business_day < w.end_day))
-    hits = f.join(bounded_broadcast(w), cond, "inner").groupBy(*WINDOW_KEY).agg(
+    # the window table is small (events x params x 3); AQE turns this join
+    # into a broadcast join from runtime sizes, otherwise it is a shuffle
+    # join on store with the day range as residual
+    hits = f.join(w, cond, "inner").groupBy(*WINDOW_KEY).agg(
         F.count(F.lit(1)).alias("days"), *[F.avg(m).alias(m) for m in BASE_METRICS])
     out = windows.select(*WINDOW_KEY).join(hits, WINDOW_KEY, "left")
     days = F.coalesce(F.col("days"), F.lit(0))
@@ -141,50 +144,64 @@ def _calendar_cumsums(spark, partials: DataFrame, lo, hi) -> DataFrame:
                    F.lit(0).cast("decimal(38,6)")).alias(f"cum_{c}") for c in cols])
 
 
-def pooled_window_stats(facts: DataFrame, windows: DataFrame, calendar_facts: DataFrame | None = None
-                        ) -> DataFrame:
+def window_span(windows: DataFrame):
+    """First and last day any window touches (an events-only aggregate)."""
+    r = windows.agg(F.min("start_day").alias("lo"), F.max("end_day").alias("hi")).first()
+    return r["lo"], r["hi"]
+
+
+# calendar rows (days) up to which the prefix-sum table is broadcast
+CALENDAR_BROADCAST_DAYS = 1_000_000
+
+
+def pooled_window_stats(facts: DataFrame, windows: DataFrame, span=None) -> DataFrame:
     """Per window, mean over (store, day) cells of the daily sums,
-    from prefix sums over the calendar (two broadcast equi-joins)."""
+    from prefix sums over the calendar (two broadcast equi-joins).
+
+    The calendar covers exactly the days the windows touch, so facts are
+    filtered to that range before the per-day aggregate (pushed to the
+    scan) and every window bound is a calendar day."""
     spark = facts.sparkSession
-    span = (calendar_facts if calendar_facts is not None else facts).filter(
-        F.col("business_day").isNotNull()).agg(
-        F.min("business_day").alias("lo"), F.max("business_day").alias("hi")).first()
+    lo, hi = span or window_span(windows)
     cols = list(BASE_METRICS) + ["n_cells", "n_rows"]
-    if span["lo"] is None:
+    if lo is None:
         base = windows.select(*WINDOW_KEY).withColumn("n_cells", F.lit(0).cast("long"))
         return base.select(*WINDOW_KEY, "n_cells", *_ratios({m: F.lit(None) for m in BASE_METRICS},
                                                             F.lit(True)))
-    lo, hi = span["lo"], span["hi"]
-    cum = _calendar_cumsums(spark, day_partials(facts), lo, hi)
-    cum = bounded_broadcast(cum)
-
-    def clamp(c):
-        return F.least(F.greatest(c, F.lit(lo)), F.date_add(F.lit(hi), 1))
-
-    w = windows.select(*WINDOW_KEY, clamp(F.col("start_day")).alias("s_day"),
-                       clamp(F.col("end_day")).alias("e_day"))
+    in_span = facts.filter((F.col("business_day") >= F.lit(lo)) & (F.col("business_day") <= F.lit(hi)))
+    cum = _calendar_cumsums(spark, day_partials(in_span), lo, hi)
+    if (hi - lo).days + 2 <= CALENDAR_BROADCAST_DAYS:
+        cum = F.broadcast(cum)
+    w = windows.select(*WINDOW_KEY, F.col("start_day").alias("s_day"), F.col("end_day").alias("e_day"))
     cs = cum.select(F.col("business_day").alias("s_day"), *[F.col(f"cum_{c}").alias(f"s_{c}") for c in cols])
     ce = cum.select(F.col("business_day").alias("e_day"), *[F.col(f"cum_{c}").alias(f"e_{c}") for c in cols])
     j = w.join(cs, "s_day", "left").join(ce, "e_day", "left")
-    diff = {c: F.coalesce(F.col(f"e_{c}") - F.col(f"s_{c}"), F.lit(0).cast("decimal(38,6)")) for c in cols}
+    zero = F.lit(0).cast("decimal(38,6)")
+    diff = {c: F.coalesce(F.col(f"e_{c}") - F.col(f"s_{c}"), zero) for c in cols}
     n_cells, n_rows = diff["n_cells"].cast("long"), diff["n_rows"].cast("long")
     avgs = {m: F.when(n_cells > 0, diff[m].cast("double") / n_cells) for m in BASE_METRICS}
-    return j.select(*WINDOW_KEY, n_cells.cast("long").alias("n_cells"), *_ratios(avgs, n_rows == 0))
+    return j.select(*WINDOW_KEY, n_cells.alias("n_cells"), *_ratios(avgs, n_rows == 0))
 
 
 def control_facts(facts: DataFrame, events: DataFrame) -> DataFrame:
     """Facts of stores flagged without competitor (semi join)."""
     ctrl = events.filter(F.col("has_competitor") == F.lit("N")).select(
         F.col("store").alias("c_store")).distinct()
-    return facts.join(bounded_broadcast(ctrl), facts.store == ctrl.c_store, "left_semi")
+    return facts.join(ctrl, facts.store == ctrl.c_store, "left_semi")
 
 
 def scope_stats(facts: DataFrame, events: DataFrame, params) -> dict[str, DataFrame]:
+    """Own, all-store and control statistics per window. ``facts`` feeds
+    three differently filtered branches (so Spark cannot reuse one
+    exchange for them): it is persisted (memory and disk) and computed
+    once; a lost block is recomputed from lineage."""
+    facts = facts.persist(StorageLevel.MEMORY_AND_DISK)
     windows = event_windows(events, params)
+    span = window_span(windows)
     return {
         "own": own_window_stats(facts, windows),
-        "all": pooled_window_stats(facts, windows),
-        "control": pooled_window_stats(control_facts(facts, events), windows, calendar_facts=facts),
+        "all": pooled_window_stats(facts, windows, span),
+        "control": pooled_window_stats(control_facts(facts, events), windows, span),
     }
 
 
@@ -206,7 +223,11 @@ def window_metrics_long(stats: dict[str, DataFrame]) -> DataFrame:
 def changes(stats: dict[str, DataFrame]) -> DataFrame:
     """``after/base - 1`` where base > 0, for base in (before, yago),
     long form ``(event, D, T, scope, metric, chg_before, chg_yago)``."""
-    long = window_metrics_long(stats).filter(F.col("metric").isin(*CHANGE_METRICS))
+    return changes_from_long(window_metrics_long(stats))
+
+
+def changes_from_long(long: DataFrame) -> DataFrame:
+    long = long.filter(F.col("metric").isin(*CHANGE_METRICS))
     g = long.groupBy(*EVENT_KEY, "scope", "metric").agg(
         *[F.max(F.when(F.col("period") == p, F.col("value"))).alias(p) for p in PERIODS])
     return g.select(*EVENT_KEY, "scope", "metric", *[
@@ -246,35 +267,31 @@ def influence_report(facts: DataFrame, events: DataFrame, params) -> DataFrame:
     skips such stores). Joined to event attributes on ``event_id`` (not on
     the store name, so several competitors of one store do not fan out)
     and to the store's earliest day (J7)."""
+    facts = facts.persist(StorageLevel.MEMORY_AND_DISK)
     stats = scope_stats(facts, events, params)
     long = window_metrics_long(stats)
-    chg = changes(stats)
-    cells = [F.max(F.when((F.col("scope") == "own") & (F.col("period") == p) & (F.col("metric") == "days"),
-                          F.col("value"))).alias(f"own_{p}_days") for p in PERIODS]
-    for p in PERIODS:
-        for s in SCOPES:
-            for m in REPORT_METRICS:
-                cells.append(F.max(F.when((F.col("scope") == s) & (F.col("period") == p)
-                                          & (F.col("metric") == m), F.col("value"))).alias(f"{s}_{p}_{m}"))
-    wide = long.groupBy(*EVENT_KEY).agg(*cells)
-    chg_cells = []
-    for b in BASES:
-        for m in CHANGE_METRICS:
-            for s in SCOPES:
-                chg_cells.append(F.max(F.when((F.col("scope") == s) & (F.col("metric") == m),
-                                              F.col(f"chg_{b}"))).alias(f"{s}_chg_{b}_{m}"))
-    chg_wide = chg.groupBy(*EVENT_KEY).agg(*chg_cells)
-    for b in BASES:
-        for m in CHANGE_METRICS:
-            for s in ("all", "control"):
-                chg_wide = chg_wide.withColumn(
-                    f"diff_own_{s}_chg_{b}_{m}", F.col(f"own_chg_{b}_{m}") - F.col(f"{s}_chg_{b}_{m}"))
+    cell_names = [f"own_{p}_days" for p in PERIODS] + [
+        f"{s}_{p}_{m}" for p in PERIODS for s in SCOPES for m in REPORT_METRICS]
+    cell_key = F.when(F.col("metric") == "days", F.concat(F.lit("own_"), F.col("period"), F.lit("_days"))).otherwise(
+        F.concat_ws("_", "scope", "period", "metric"))
+    wide = (long.select(*EVENT_KEY, cell_key.alias("k"), "value")
+            .groupBy(*EVENT_KEY).pivot("k", cell_names).agg(F.first("value")))
+    chg = changes_from_long(long)
+    chg_long = chg.select(*EVENT_KEY, "scope", "metric", F.explode(F.array(*[
+        F.struct(F.lit(b).alias("base"), F.col(f"chg_{b}").alias("v")) for b in BASES])).alias("x"))
+    chg_names = [f"{s}_chg_{b}_{m}" for b in BASES for m in CHANGE_METRICS for s in SCOPES]
+    chg_wide = (chg_long.select(*EVENT_KEY, F.concat_ws("_", "scope", F.lit("chg"), "x.base", "metric").alias("k"),
+                                F.col("x.v").alias("v"))
+                .groupBy(*EVENT_KEY).pivot("k", chg_names).agg(F.first("v")))
+    chg_wide = chg_wide.select(*EVENT_KEY, *chg_names, *[
+        (F.col(f"own_chg_{b}_{m}") - F.col(f"{s}_chg_{b}_{m}")).alias(f"diff_own_{s}_chg_{b}_{m}")
+        for b in BASES for m in CHANGE_METRICS for s in ("all", "control")])
     metrics = wide.join(chg_wide, EVENT_KEY, "inner")
 
     has_data = facts.filter(F.col("store").isNotNull()).select(F.col("store").alias("d_store")).distinct()
     ev = events.filter(F.col("has_competitor") == F.lit("Y")).select(
         "event_id", "store", "competitor_name", "competitor_brand", "competitor_distance", "open_date")
-    ev = ev.join(bounded_broadcast(has_data), ev.store == has_data.d_store, "left").withColumn(
+    ev = ev.join(has_data, ev.store == has_data.d_store, "left").withColumn(
         "_has_data", F.col("d_store").isNotNull()).drop("d_store")
     par = F.explode(F.array(*[F.struct(F.lit(d).alias("lead_days"), F.lit(t).alias("gap_days"))
                               for d, t in params])).alias("p")

@@ -84,7 +84,7 @@ def random_forest_regression(df: DataFrame, target: str, key: str, features=None
 
 
 def support_vector_regression(df: DataFrame, target: str, key: str, features=None, kernel: str = "rbf",
-                              C: float = 1.0, epsilon: float = 0.1, gamma="scale", iterations: int = 60,
+                              C: float = 1.0, epsilon: float = 0.1, gamma="scale", iterations: int = 30,
                               ) -> ModelResult:
     """Epsilon-insensitive SVR on the standardised target (predictions
     inverse-scaled), kernel approximated by an explicit feature map.
