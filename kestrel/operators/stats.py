@@ -257,7 +257,9 @@ def correlation_matrix(df: DataFrame, columns=None) -> DataFrame:
     rows = []
     for i, j in pairs:
         r = F.try_divide(F.col(f"c{i}_{j}"), F.col(f"sa{i}_{j}") * F.col(f"sb{i}_{j}"))
-        r = F.when(F.col(f"sa{i}_{j}") > 0, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+        # greatest/least skip NULLs, so clamp only a defined coefficient
+        defined = (F.col(f"sa{i}_{j}") > 0) & (F.col(f"sb{i}_{j}") > 0) & r.isNotNull()
+        r = F.when(defined, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
         rows.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), r.alias("r")))
         if i != j:
             rows.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"), r.alias("r")))
