@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,19 +36,27 @@ def frequent_itemsets(transactions: DataFrame, min_support: float = 0.01, max_le
                       num_partitions: int | None = None) -> DataFrame:
     """B2: ``(items, freq, support, size)`` via ``pyspark.ml.fpm.FPGrowth``;
     ``max_length`` filters the result (FP-Growth has no length bound)."""
-    n_tx = transactions.count()
     spark = transactions.sparkSession
+    # the transactions feed a count and several FP-Growth passes: persist
+    # once (memory and disk); the frequent sets (bounded by the support
+    # threshold, not by rows) are persisted too, because the model's table
+    # is RDD-backed and would re-mine on every action
+    transactions = transactions.select("items").persist(StorageLevel.MEMORY_AND_DISK)
+    n_tx = transactions.count()
     if n_tx == 0:
         return spark.createDataFrame([], "items array<string>, freq long, support double, size int")
     fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0)
     if num_partitions:
         fp = fp.setNumPartitions(num_partitions)
-    model = fp.fit(transactions.select("items"))
+    model = fp.fit(transactions)
     sets = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").cast("long"))
     sets = sets.withColumn("size", F.size("items")).withColumn("support", F.col("freq") / F.lit(float(n_tx)))
     if max_length is not None:
         sets = sets.filter(F.col("size") <= F.lit(max_length))
-    return sets.select("items", "freq", "support", "size")
+    sets = sets.select("items", "freq", "support", "size").persist(StorageLevel.MEMORY_AND_DISK)
+    sets.count()
+    transactions.unpersist()
+    return sets
 
 
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.01, min_lift: float = 0.01
