@@ -97,7 +97,7 @@ def safe_ratio(num: Column, den: Column, otherwise=0.0) -> Column:
 
 def fmt_percent(col: Column, decimals: int = 1) -> Column:
     """Python ``f"{x:.1%}"`` with half-even rounding; missing → 'NA'."""
-    v = F.bround(col * 100.0, decimals)
+    v = F.bround(col.cast("double") * 100.0, decimals)
     return F.when(col.isNull(), F.lit("NA")).otherwise(
         F.concat(F.format_string(f"%.{decimals}f", v), F.lit("%")))
 
@@ -105,4 +105,4 @@ def fmt_percent(col: Column, decimals: int = 1) -> Column:
 def fmt_fixed(col: Column, decimals: int) -> Column:
     """Python ``f"{x:.Nf}"`` with half-even rounding; missing → 'NA'."""
     return F.when(col.isNull(), F.lit("NA")).otherwise(
-        F.format_string(f"%.{decimals}f", F.bround(col, decimals)))
+        F.format_string(f"%.{decimals}f", F.bround(col.cast("double"), decimals)))

@@ -269,24 +269,25 @@ def influence_report(facts: DataFrame, events: DataFrame, params) -> DataFrame:
     and to the store's earliest day (J7)."""
     facts = facts.persist(StorageLevel.MEMORY_AND_DISK)
     stats = scope_stats(facts, events, params)
-    long = window_metrics_long(stats)
-    cell_names = [f"own_{p}_days" for p in PERIODS] + [
-        f"{s}_{p}_{m}" for p in PERIODS for s in SCOPES for m in REPORT_METRICS]
-    cell_key = F.when(F.col("metric") == "days", F.concat(F.lit("own_"), F.col("period"), F.lit("_days"))).otherwise(
-        F.concat_ws("_", "scope", "period", "metric"))
-    wide = (long.select(*EVENT_KEY, cell_key.alias("k"), "value")
-            .groupBy(*EVENT_KEY).pivot("k", cell_names).agg(F.first("value")))
-    chg = changes_from_long(long)
-    chg_long = chg.select(*EVENT_KEY, "scope", "metric", F.explode(F.array(*[
-        F.struct(F.lit(b).alias("base"), F.col(f"chg_{b}").alias("v")) for b in BASES])).alias("x"))
-    chg_names = [f"{s}_chg_{b}_{m}" for b in BASES for m in CHANGE_METRICS for s in SCOPES]
-    chg_wide = (chg_long.select(*EVENT_KEY, F.concat_ws("_", "scope", F.lit("chg"), "x.base", "metric").alias("k"),
-                                F.col("x.v").alias("v"))
-                .groupBy(*EVENT_KEY).pivot("k", chg_names).agg(F.first("v")))
-    chg_wide = chg_wide.select(*EVENT_KEY, *chg_names, *[
-        (F.col(f"own_chg_{b}_{m}") - F.col(f"{s}_chg_{b}_{m}")).alias(f"diff_own_{s}_chg_{b}_{m}")
-        for b in BASES for m in CHANGE_METRICS for s in ("all", "control")])
-    metrics = wide.join(chg_wide, EVENT_KEY, "inner")
+
+    def per_scope(scope: str) -> DataFrame:
+        # one row per event x (D, T): the three periods side by side
+        names = list(REPORT_METRICS) + (["days"] if scope == "own" else [])
+        return stats[scope].groupBy(*EVENT_KEY).agg(*[
+            F.max(F.when(F.col("period") == p, F.col(m))).alias(f"{scope}_{p}_{m}")
+            for p in PERIODS for m in names])
+
+    wide = per_scope("own").join(per_scope("all"), EVENT_KEY).join(per_scope("control"), EVENT_KEY)
+    chg = {}
+    for b in BASES:
+        for m in CHANGE_METRICS:
+            for s in SCOPES:
+                base, after = F.col(f"{s}_{b}_{m}"), F.col(f"{s}_after_{m}")
+                chg[f"{s}_chg_{b}_{m}"] = F.when(base > 0, after / base - 1)
+            for s in ("all", "control"):
+                chg[f"diff_own_{s}_chg_{b}_{m}"] = chg[f"own_chg_{b}_{m}"] - chg[f"{s}_chg_{b}_{m}"]
+    metrics = wide.select(*EVENT_KEY, *[c for c in wide.columns if c not in EVENT_KEY],
+                          *[e.alias(n) for n, e in chg.items()])
 
     has_data = facts.filter(F.col("store").isNotNull()).select(F.col("store").alias("d_store")).distinct()
     ev = events.filter(F.col("has_competitor") == F.lit("Y")).select(

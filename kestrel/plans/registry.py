@@ -64,8 +64,10 @@ def register(name: str, sql: str | None = None, round_cols=()):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
 
-        def run(spark, sf_dir, _fn=fn):
-            return finish(_fn(spark, sf_dir))
+        def run(spark, sf_dir, _fn=fn, _check=sql is not None):
+            # rounding only matters where an oracle compares values
+            out = _fn(spark, sf_dir)
+            return finish(out) if _check else out
 
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
