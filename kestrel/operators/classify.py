@@ -128,7 +128,7 @@ def decision_tree(df: DataFrame, target: str, key: str, features=None, max_depth
     p = prepare(df, target, key, features)
     depth = min(max_depth or MAX_TREE_DEPTH, MAX_TREE_DEPTH)
     m = DecisionTreeClassifier(featuresCol="features", labelCol="label", impurity="gini", maxDepth=depth,
-                               maxBins=max_bins, seed=42).fit(p.train)
+                               maxBins=max_bins, seed=42, maxMemoryInMB=1024, cacheNodeIds=True).fit(p.train)
     return _evaluate(p, m.transform(p.test), key, target, m, "probability")
 
 
@@ -138,7 +138,7 @@ def random_forest(df: DataFrame, target: str, key: str, features=None, n_estimat
     p = prepare(df, target, key, features)
     depth = min(max_depth or FOREST_DEFAULT_DEPTH, MAX_TREE_DEPTH)
     m = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=n_estimators,
-                               featureSubsetStrategy="sqrt", maxDepth=depth, seed=42).fit(p.train)
+                               featureSubsetStrategy="sqrt", maxDepth=depth, seed=42, maxMemoryInMB=1024, cacheNodeIds=True).fit(p.train)
     return _evaluate(p, m.transform(p.test), key, target, m, "probability")
 
 

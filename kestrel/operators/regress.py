@@ -69,7 +69,7 @@ def decision_tree_regression(df: DataFrame, target: str, key: str, features=None
     """Variance-reduction tree; unlimited depth → 30."""
     p = prepare(df, target, key, features, stratify=False, encode=False)
     m = DecisionTreeRegressor(featuresCol="features", labelCol="label",
-                              maxDepth=min(max_depth or MAX_TREE_DEPTH, MAX_TREE_DEPTH), seed=42).fit(p.train)
+                              maxDepth=min(max_depth or MAX_TREE_DEPTH, MAX_TREE_DEPTH), seed=42, maxMemoryInMB=1024, cacheNodeIds=True).fit(p.train)
     return _finish(p, m.transform(p.test), key, m)
 
 
@@ -79,7 +79,7 @@ def random_forest_regression(df: DataFrame, target: str, key: str, features=None
     p = prepare(df, target, key, features, stratify=False, encode=False)
     m = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=n_estimators,
                               featureSubsetStrategy="all",
-                              maxDepth=min(max_depth or FOREST_DEFAULT_DEPTH, MAX_TREE_DEPTH), seed=42).fit(p.train)
+                              maxDepth=min(max_depth or FOREST_DEFAULT_DEPTH, MAX_TREE_DEPTH), seed=42, maxMemoryInMB=1024, cacheNodeIds=True).fit(p.train)
     return _finish(p, m.transform(p.test), key, m)
 
 
