@@ -56,3 +56,42 @@ def test_message_stream_restart_has_no_duplicates(spark):
     sm.ingest_messages(spark, src, out, ck).awaitTermination()
     rows = sorted((r.username, r.text) for r in spark.read.parquet(out).collect())
     assert rows == [("anonymous", "hi"), ("u", "second")]
+
+
+def test_retention_keeps_last_n(spark):
+    base = tempfile.mkdtemp(prefix="kestrel-ret-")
+    src, out, ck = (os.path.join(base, x) for x in ("src", "out", "ck"))
+    os.makedirs(src)
+    for b in range(3):
+        with open(os.path.join(src, f"m{b}.json"), "w") as f:
+            f.write("[" + ", ".join(f'{{"username": "u", "text": "b{b}-{i}"}}' for i in range(4)) + "]")
+        sm.retain_last(spark, src, out, ck, n=5).awaitTermination()
+    texts = sorted(r.text for r in spark.read.parquet(out).collect())
+    assert len(texts) == 5 and all(t.startswith(("b1", "b2")) for t in texts)
+    assert sum(t.startswith("b2") for t in texts) == 4
+
+
+def test_drop_folder_ingest_archives_sources(spark):
+    from pyspark.sql import types as T
+    base = tempfile.mkdtemp(prefix="kestrel-drop-")
+    src, out, ck, arc = (os.path.join(base, x) for x in ("src", "out", "ck", "arc"))
+    os.makedirs(src)
+    with open(os.path.join(src, "a.csv"), "w") as f:
+        f.write("store,item\ns1,ab+c*\ns2,nan\n")
+    schema = T.StructType([T.StructField("store", T.StringType()), T.StructField("item", T.StringType())])
+    sm.ingest_drop_folder(spark, src, schema, out, ck, arc).awaitTermination()
+    rows = sorted((r.store, r.item, r.source_file) for r in spark.read.parquet(out).collect())
+    assert rows == [("s1", "abc", "a.csv"), ("s2", None, "a.csv")]
+
+
+def test_json_array_and_base_tables(spark):
+    d = tempfile.mkdtemp(prefix="kestrel-js-")
+    p = os.path.join(d, "m.json")
+    with open(p, "w") as f:
+        f.write('[{"username": "a", "text": "x", "timestamp": "10:00:00"}, {"text": "y"}]')
+    df = files.read_json_array(spark, p, sm.MESSAGE_SCHEMA)
+    assert sorted(((r.text, r.username) for r in df.collect()), key=lambda t: t[0]) == [("x", "a"), ("y", None)]
+    x = tempfile.mkdtemp(prefix="kestrel-base-")
+    _xlsx(os.path.join(x, "shopInfo.xlsx"), [["store", "region"], ["s1", "n"]])
+    tables = excel.load_base_tables(spark, x)
+    assert list(tables) == ["shopInfo"] and tables["shopInfo"].first().store == "s1"
