@@ -195,9 +195,12 @@ def scope_stats(facts: DataFrame, events: DataFrame, params) -> dict[str, DataFr
     three differently filtered branches (so Spark cannot reuse one
     exchange for them): it is persisted (memory and disk) and computed
     once; a lost block is recomputed from lineage."""
-    facts = facts.persist(StorageLevel.MEMORY_AND_DISK)
     windows = event_windows(events, params)
     span = window_span(windows)
+    if span[0] is not None:
+        # only days some window touches can contribute (windows are [start, end))
+        facts = facts.filter((F.col("business_day") >= F.lit(span[0])) & (F.col("business_day") < F.lit(span[1])))
+    facts = facts.persist(StorageLevel.MEMORY_AND_DISK)
     return {
         "own": own_window_stats(facts, windows),
         "all": pooled_window_stats(facts, windows, span),
