@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kestrel.session import ship_package
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 ROUND_COLS: dict[str, tuple] = {}
@@ -65,6 +67,7 @@ def register(name: str, sql: str | None = None, round_cols=()):
             raise ValueError(f"duplicate query {name}")
 
         def run(spark, sf_dir, _fn=fn, _check=sql is not None):
+            ship_package(spark)
             # rounding only matters where an oracle compares values
             out = _fn(spark, sf_dir)
             return finish(out) if _check else out
