@@ -5,14 +5,19 @@ document's n-grams are those of all documents less its own. A word's score is
 c(context word) / c(context) at the longest context with a count, times
 ``ALPHA`` for each step back; the last step is c(word) / N.
 
-* Documents are dealt into blocks by a hash, about ``BLOCK_BYTES`` of text
+* Documents are dealt into blocks by a hash, about ``block_bytes`` of text
   each. A task explodes a block's n-grams and counts them, so a word that is
-  in every document costs one row a block.
-* The count table is partitioned by the n-gram's hash; totals are joined to
-  the blocks' n-grams there. N-grams of one block only need no total - the
-  block has it - so only shared ones travel back.
+  in every document costs one entry a block.
+* The count table is partitioned by the n-gram's hash: each block sends each
+  partition an array of its n-grams and one of their counts. A partition adds
+  them up and sends each block the totals of its n-grams, in their order; 0
+  says that no other block has the n-gram.
 * Each block's documents meet the block's totals and sum up their words.
 
+Partitions hold the n-grams of about ``part_bytes`` of text. There is a row for
+each block and partition, so ``block_bytes`` and ``part_bytes`` should grow with
+the executors' memory on very large corpora.
+
 What is gathered grows with the corpus; no table is broadcast.
 
 Defined results: words are lower-cased (A-Z) runs without white space; NULL and
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +42,7 @@ ORDER = 2
 ALPHA = 0.4
 UNSEEN = 0.5
 BLOCK_BYTES = 8 << 20
+PART_BYTES = 16 << 20
 
 
 def gram_hashes(h: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
@@ -60,44 +67,50 @@ def _grams(col: pa.Array, order: int):
 
 
 def _own(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block's n-grams, ascending, and their counts; the first one, 0, counts
+    the words."""
     keys, n = np.unique(grams, return_counts=True)
-    return (keys[1:], n[1:]) if len(keys) and keys[0] == 0 else (keys, n)
+    some = keys > 0
+    return np.concatenate([[np.uint64(0)], keys[some]]), np.concatenate([[grams.shape[1]], n[some]]).astype(np.int64)
 
 
-def score(df: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_backoff, log_score, mean_log_score`` of every row:
     the sum of its words' log scores and the words that stepped back at all."""
     docs = texts(df, id_col, text_col)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    n_blocks = F.lit(1 + int(size[0]) // block_bytes)
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), n_blocks).alias("block"))
+    size = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // block_bytes)).alias("block"))
+    bits = np.uint64(64 - max(1, (size // part_bytes).bit_length()))
 
     def count(key, block):
         _, g = _grams(_distinct(block).column("text"), order)
         keys, n = _own(g)
-        words = np.array([g.shape[1]])
-        return pa.table({"block": np.full(len(keys) + 1, key[0].as_py()), "gram": np.concatenate([K.signed(keys), [0]]), "n": np.concatenate([n, words])})
-
-    counted = dealt.groupBy("block").applyInArrow(count, "block long, gram long, n long").repartition("gram")
-    totals = counted.groupBy("gram").agg(F.sum("n").alias("total"), F.min("block").alias("lo"), F.max("block").alias("hi"))
-    shared = totals.where((F.col("lo") != F.col("hi")) | (F.col("gram") == 0)).select("gram", "total")
-    back = counted.join(shared.hint("shuffle_hash"), "gram").select(F.col("block").alias("to"), "gram", "total", "n")
+        part, at = np.unique(keys >> bits, return_index=True)
+        ends = np.append(at, len(keys)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(values)) for values in (K.signed(keys), n)]
+        return pa.table({"block": np.full(len(part), key[0].as_py()), "part": part.astype(np.int64), "grams": lists[0], "n": lists[1]})
+
+    def add(key, part):
+        grams, n = (part.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("grams", "n"))
+        _, back, blocks = np.unique(grams, return_inverse=True, return_counts=True)
+        total = np.bincount(back, weights=n).astype(np.int64)
+        others = np.where(blocks > 1, total, 0)[back]
+        ends = np.concatenate([[0], np.cumsum(part.column("grams").combine_chunks().value_lengths().to_numpy())]).astype(np.int32)
+        return pa.table({"to": part.column("block"), "part": part.column("part"), "totals": pa.ListArray.from_arrays(pa.array(ends), pa.array(others))})
+
+    counted = dealt.groupBy("block").applyInArrow(count, "block long, part long, grams array<long>, n array<long>")
+    totals = counted.groupBy("part").applyInArrow(add, "to long, part long, totals array<long>")
 
     def summed(key, block, totals):
-        one = _distinct(block)
-        _, g = _grams(one.column("text"), order)
+        _, g = _grams(_distinct(block).column("text"), order)
         keys, n = _own(g)
-        n = n.astype(np.int64)
-        got = totals.column("gram").to_numpy().astype(np.int64)
-        total = totals.column("total").to_numpy().astype(np.int64)
-        corpus = int(total[got == 0].sum())
-        if len(keys):
-            at = np.searchsorted(keys, got[got != 0].view(np.uint64))
-            n[at] = total[got != 0]
+        in_order = totals.take(pc.sort_indices(totals.column("part")))
+        total = in_order.column("totals").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        n = np.where(total > 0, total, n)
         row, g = _grams(block.column("text"), order)
-        return _scores(block.column("doc_id"), row, g, keys, n, corpus, order)
+        return _scores(block.column("doc_id"), row, g, keys, n, int(n[0]), order)
 
-    return dealt.groupBy("block").cogroup(back.groupBy("to")).applyInArrow(summed, "doc_id long, n_words long, n_backoff long, log_score double, mean_log_score double")
+    return dealt.groupBy("block").cogroup(totals.groupBy("to")).applyInArrow(summed, "doc_id long, n_words long, n_backoff long, log_score double, mean_log_score double")
 
 
 def _distinct(block: pa.Table) -> pa.Table:
