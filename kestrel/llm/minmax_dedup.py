@@ -10,14 +10,12 @@ everything after the bands is exact.
 Scale:
 
 * Equal sets are one class before any candidate is looked for.
+* Buckets that hold the same classes are one.
 * The members of a bucket are compared with one centre, not with each other.
-  Linked members whose bucket falls into one component need nothing more.
-* The members of buckets that still hold several components are joined again
-  by prefix filtering, which is exact: each is listed under its rarest
-  shingles only, so members that merely share common passages part. In a list
-  that holds several components still, the members outside its largest
-  component are a query set that meets all members, in blocks of bounded
-  size; the members of the largest component never meet each other.
+  Members whose bucket then falls into one component, and buckets of two, need
+  nothing more. In a bucket that holds several components still, the members
+  outside its largest component are a query set that meets all members, in
+  blocks of bounded size; the members of the largest never meet each other.
 * A candidate is confirmed on the full shingle sets. The node's text travels
   once to each of its centres; a popular centre's text is sent once for each
   ``SALT`` of its candidates' cells, so a hot centre is many groups.
@@ -35,7 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm import kernels as K
@@ -128,33 +126,17 @@ def _verified(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     return members.groupBy("centre", "cell").cogroup(centres.groupBy("of", "part")).applyInArrow(similar, "u long, v long")
 
 
-def _prefix_buckets(members: DataFrame, sources: DataFrame) -> DataFrame:
-    """``bucket, node``: a bucket for each shingle that several of the members
-    hold among their rarest. Sets of similarity 0.75 share one of their
-    ``n - ceil(0.75 n) + 1`` first shingles under any order of all shingles;
-    the order by frequency leaves what very many members share to the end."""
-
-    def shingles(batches):
-        for b in batches:
-            nodes = b.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in K.text_slices(b.column(1)):
-                sets = K.shingle_sets(data, off, SHINGLE)
-                if sum(map(len, sets)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[lo:hi], [len(s) for s in sets])), pa.array(K.signed(np.concatenate(sets)))], ["node", "bucket"])
-
-    held = sources.join(members.select("node").distinct(), "node").select("node", "text").mapInArrow(shingles, "node long, bucket long")
-    held = saved(held)
-    often = held.groupBy("bucket").agg(F.count("*").alias("df"))
-    by_node = Window.partitionBy("node")
-    first = held.join(often, "bucket").select("node", "bucket", "df", F.row_number().over(by_node.orderBy("df", "bucket")).alias("place"), F.count("*").over(by_node).alias("n"))
-    return first.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILAR_PERCENT / 100) + 1).where("df > 1").select("bucket", "node")
+def _distinct_buckets(buckets: DataFrame) -> DataFrame:
+    """``buckets`` with one of those that hold the same members, and none with
+    one member only."""
+    alike = buckets.groupBy("bucket").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("all"), F.count("*").alias("members")).where("members > 1")
+    return buckets.join(alike.groupBy("all", "members").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
 
 
 def _star(buckets: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
-    """Links of the members of each bucket with its smallest node."""
-    centre = buckets.groupBy("bucket").agg(F.min("node").alias("centre"))
+    """Links of the members of each bucket with its centre."""
     sizes = nodes.select("node", "n")
-    met = buckets.join(centre, "bucket").where(F.col("node") != F.col("centre")).select("node", "centre").distinct()
+    met = buckets.where(F.col("node") != F.col("centre")).select("node", "centre").distinct()
     met = met.join(sizes, "node").join(sizes.select(F.col("node").alias("centre"), F.col("n").alias("cn")), "centre")
     sized = 100 * F.least("n", "cn") >= SIMILAR_PERCENT * F.greatest("n", "cn")
     return _verified(saved(met.where(sized).select("node", "centre")), sources)
@@ -233,13 +215,13 @@ def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def _roots(buckets: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """``node, root`` of all nodes from the buckets with two members at least."""
-    links = saved(_star(buckets, nodes, sources))
+    centred = saved(buckets.join(buckets.groupBy("bucket").agg(F.min("node").alias("centre")), "bucket"))
+    links = saved(_star(centred, nodes, sources))
     known = _labels(nodes, links)
-    open_ = _mixed(buckets, known).select("bucket", "node")
-    lists = saved(_mixed(_prefix_buckets(open_, sources), known))
-    if lists.isEmpty():
-        return known
-    more = saved(_block_links(lists, sources))
+    rest = centred.where(F.col("node") != F.col("centre")).select("bucket", "node")
+    open_ = _mixed(rest, known)
+    mixed = saved(_mixed(_distinct_buckets(open_.select("bucket", "node")), known))
+    more = saved(_block_links(mixed, sources))
     return known if more.isEmpty() else _labels(nodes, links.unionByName(more))
 
 
@@ -251,9 +233,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = saved(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     node = F.xxhash64("k1", "k2", "n")
     nodes = classes.select(node.alias("node"), "n", "rep", "bands")
-    exploded = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > 1).select("bucket")
-    buckets = saved(exploded.join(shared, "bucket"))
+    buckets = saved(_distinct_buckets(nodes.select("node", F.explode("bands").alias("bucket"))))
     wanted = nodes.join(buckets.select("node").distinct(), "node").select("node", F.col("rep").alias("doc_id"))
     sources = saved(_sources(docs, wanted))
     roots = _roots(buckets, nodes.select("node", "n"), sources)
