@@ -50,6 +50,8 @@ MEMBER_BLOCK = 1024
 
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, ROWS * BANDS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_AGAIN = np.uint64(0x9E3779B97F4A7C15)
+
 
 def min_max_signatures(sets: list[np.ndarray]) -> np.ndarray:
     """``(sets, 2 p)`` values: for each permutation the minimum, then the
@@ -58,7 +60,9 @@ def min_max_signatures(sets: list[np.ndarray]) -> np.ndarray:
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     out = np.empty((len(_SEEDS) * 2, len(sets)), np.uint64)
     for p, seed in enumerate(_SEEDS):
-        h = x * seed
+        h = (x ^ (seed >> np.uint64(7))) * seed  # a bijection; one product alone leaves permutations correlated
+        h ^= h >> np.uint64(32)
+        h *= _AGAIN
         np.minimum.reduceat(h, at, out=out[2 * p])
         np.maximum.reduceat(h, at, out=out[2 * p + 1])
     return out.T
