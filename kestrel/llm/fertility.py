@@ -50,7 +50,7 @@ MEASURES = ("piece_chars", "bpe_chars", "byte_share", "entropy")
 #: The least deviation that is allowed, whatever the language's spread.
 SLACK = {"piece_chars": 1.0, "bpe_chars": 1.0, "byte_share": 0.02, "entropy": 0.1}
 RANKS = "byte_bpe_50k.tiktoken"
-CACHED = 250_000
+CACHED = 100_000
 SCHEMA = ("doc_id long, lang string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "n_pieces long, n_bpe long, n_byte_pieces long, entropy double")
 
@@ -164,6 +164,7 @@ def measures(df: DataFrame, model: str | None = None, ranks: str | None = None)
                 *counts, entropy = measure_slice(data, off, tokens)
                 columns = [pa.array(c.astype(np.int64)) for c in counts]
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), *columns, pa.array(entropy, from_pandas=True)], [x.split()[0] for x in SCHEMA.split(", ")])
+        tokens.known.clear()  # the worker goes on to other work
 
     lang = F.lower(F.trim(F.col("lang").cast("string")))
     slim = texts(df.select("doc_id", "text")).select("doc_id", "text") if "lang" not in df.columns else df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), lang.alias("lang"))

@@ -34,7 +34,7 @@ from kestrel.llm.pieces import SPACE, codes, marked, matcher, model_path, pieces
 from kestrel.llm.tables import texts
 
 CACHED = 400_000
-MAX_PAIRS = 1_000_000
+MAX_PAIRS = 500_000
 NONE = float("-inf")
 _COUNTERS: dict[str, "UnitCounts"] = {}
 
@@ -173,6 +173,7 @@ def prefix_table(df: DataFrame, model: str | None = None, id_col: str = "doc_id"
                 found = counts.tables(values[lo:hi])
                 total = [int(np.frombuffer(x, np.int8).sum(dtype=np.int64)) for x in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(total, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n_bytes", "n_tokens", "changes"])
+        counts.known.clear()  # the worker goes on to other work
 
     slim = texts(df, id_col, text_col).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
     return slim.mapInArrow(rows, "doc_id long, n_bytes long, n_tokens long, changes binary")

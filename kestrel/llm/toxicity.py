@@ -47,7 +47,7 @@ MAX_FEATURES = 50_000
 Z = 2.5
 PRECISION = 0.9
 FOLDS = 5
-CACHED = 400_000
+CACHED = 100_000
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EDGE = 26
 
