@@ -132,6 +132,8 @@ def dbscan(points: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5,
         labels = new
         if changed.limit(1).count() == 0:
             break
+    else:
+        raise RuntimeError(f"clusters did not settle in {max_iter} rounds; raise max_iter")
     cell_comp = labels.select(F.col("node").alias("ckey"), "comp")
     core_lab = core.join(cell_comp, "ckey").select("pid", "comp")
     # border: non-core points adjacent to a core point (same cell or a pair)

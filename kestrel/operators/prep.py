@@ -27,27 +27,14 @@ def default_features(df: DataFrame, target: str | None = None, exclude=()) -> li
     return [c for c in numeric_columns(df) if c != target and c not in exclude]
 
 
-_WIDE = 8  # above this many columns the moments come from one vector Summarizer
-
-
 def scaler_stats(df: DataFrame, cols) -> dict[str, tuple[float, float]]:
     """Mean and population deviation per column (one aggregate row).
 
-    Few columns: SQL ``avg`` / ``stddev_pop`` (bit-comparable with the SQL
-    oracles). Many columns: one ``Summarizer`` over the assembled vector
-    (a single vectorised aggregate instead of 2 x d scalar ones)."""
+    A column's own NULLs are left out, whatever the other columns hold."""
     cols = list(cols)
-    if len(cols) <= _WIDE:
-        r = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
-                   *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
-        return {c: (r[f"m_{i}"], r[f"s_{i}"]) for i, c in enumerate(cols)}
-    from pyspark.ml.stat import Summarizer
-    vec = VectorAssembler(inputCols=cols, outputCol="_sv", handleInvalid="skip").transform(df.select(*cols))
-    r = vec.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_sv")).alias("s")).first()["s"]
-    n = r["count"]
-    scale = (n - 1) / n if n > 1 else 0.0
-    return {c: (float(r["mean"][i]), float(math.sqrt(max(r["variance"][i] * scale, 0.0))))
-            for i, c in enumerate(cols)}
+    r = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
+               *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
+    return {c: (r[f"m_{i}"], r[f"s_{i}"]) for i, c in enumerate(cols)}
 
 
 def standardize(df: DataFrame, cols, stats=None, suffix: str = "") -> DataFrame:
@@ -92,7 +79,11 @@ def hash_split(df: DataFrame, key: str, label: str | None = None, test_fraction:
         too_small = small.filter(F.col("_cn") < 2).limit(1).collect()
         if too_small:
             raise ValueError(f"class {too_small[0][label]!r} has fewer than 2 rows; cannot stratify")
-    j = d.join(F.broadcast(offsets) if label is None else offsets, grp + ["_b"])
+    if label is None:
+        j = d.join(F.broadcast(offsets), "_b")
+    else:  # NULL labels are a class of their own
+        o = offsets.withColumnRenamed(label, "_label").withColumnRenamed("_b", "_ob")
+        j = d.join(o, d[label].eqNullSafe(o["_label"]) & (d["_b"] == o["_ob"])).drop("_label", "_ob")
     local = F.row_number().over(Window.partitionBy(*grp, "_b").orderBy("_h", key))
     rank = F.col("_off") + local
     n_test = F.ceil(F.col("_cn") * F.lit(test_fraction))

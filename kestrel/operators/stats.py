@@ -339,7 +339,7 @@ _SW_C4 = [1.3822, -0.77857, 0.062767, -0.0020322]
 _SW_C5 = [-1.5861, -0.31082, -0.083751, 0.0038915]
 _SW_C6 = [-0.4803, -0.082676, 0.0030302]
 _SW_G = [-2.273, 0.459]
-SW_MAX_N = 5000
+SW_TABLE_N = 5000  # the published approximation is checked up to here
 
 
 def _poly(c, x):
@@ -349,15 +349,16 @@ def _poly(c, x):
 def shapiro_wilk(df: DataFrame, value: str) -> DataFrame:
     """Shapiro-Wilk W and p (Royston 1995). Ranks come from the
     range-partitioned global row number; the weights are a function of
-    (i, n, Σm²), so W is two aggregate passes. p is NULL above n = 5000,
-    where the approximation is not documented."""
+    (i, n, Σm²), so W is two aggregate passes. p is given at every n;
+    ``beyond_table`` marks n above 5000, where the approximation of p has
+    not been published."""
     d = _clean(df, [value]).select(value)
     ranked = ordering.global_row_number(d, [value], "i")
     n = ranked.count()
     spark = df.sparkSession
-    schema = "n long, w double, p_value double, significant boolean"
+    schema = "n long, w double, p_value double, significant boolean, beyond_table boolean"
     if n < 3:
-        return spark.createDataFrame([(n, None, None, None)], schema)
+        return spark.createDataFrame([(n, None, None, None, False)], schema)
     m_expr = dist.norm_ppf((F.col("i").cast("double") - 0.375) / (n + 0.25))
     mm = ranked.withColumn("m", m_expr)
     mm.persist()
@@ -383,7 +384,7 @@ def shapiro_wilk(df: DataFrame, value: str) -> DataFrame:
     ss = r["vp"] * n
     w = min(1.0, r["num"] ** 2 / ss) if ss > 0 else None
     p = None
-    if w is not None and n <= SW_MAX_N:
+    if w is not None:
         if n == 3:
             p = max(0.0, 6 / np.pi * (np.arcsin(np.sqrt(w)) - np.arcsin(np.sqrt(0.75))))
         elif n <= 11:
@@ -393,10 +394,10 @@ def shapiro_wilk(df: DataFrame, value: str) -> DataFrame:
             p = float(dist.norm_sf_np([(y - mu) / sigma])[0])
         else:
             ln = np.log(n)
-            y = np.log1p(-w)
+            y = np.log1p(-min(w, 1 - 1e-15))
             mu, sigma = _poly(_SW_C5, ln), np.exp(_poly(_SW_C6, ln))
             p = float(dist.norm_sf_np([(y - mu) / sigma])[0])
-    return spark.createDataFrame([(n, w, p, (p < ALPHA) if p is not None else None)], schema)
+    return spark.createDataFrame([(n, w, p, (p < ALPHA) if p is not None else None, n > SW_TABLE_N)], schema)
 
 
 def normality_test(df: DataFrame, value: str) -> DataFrame:

@@ -184,21 +184,20 @@ def histogram_bins(spark, sf_dir):
     return st.histogram(load_table(spark, sf_dir, "events"), "value", 20)
 
 
-def _purchases(spark, sf_dir):
-    ev = load_table(spark, sf_dir, "events")
-    return ev.filter(F.col("event_type") == "purchase").select("event_id", "value")
+def _values(spark, sf_dir):
+    return load_table(spark, sf_dir, "events").select("event_id", "value")
 
 
 @register("qq_points")
 def qq_points(spark, sf_dir):
-    """Normal Q-Q points of purchase values."""
-    return st.qq_points(_purchases(spark, sf_dir), "value")
+    """Normal Q-Q points of all event values."""
+    return st.qq_points(_values(spark, sf_dir), "value")
 
 
 @register("shapiro_wilk")
 def shapiro_wilk(spark, sf_dir):
-    """Shapiro-Wilk for raw, sqrt and log1p purchase values."""
-    return st.normality_test(_purchases(spark, sf_dir), "value")
+    """Shapiro-Wilk for raw, sqrt and log1p event values."""
+    return st.normality_test(_values(spark, sf_dir), "value")
 
 
 @register("kde_curve")

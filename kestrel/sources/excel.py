@@ -85,21 +85,36 @@ def read_excel_long(spark: SparkSession, path: str, glob: str = "*.xlsx") -> Dat
     return files.select("path", "content").mapInPandas(_decode_batches, LONG_SCHEMA)
 
 
+def _unique(names: list[str]) -> list[str]:
+    """Repeated names get ``_1``, ``_2`` ... in their order."""
+    out: list[str] = []
+    for n in names:
+        k, name = 0, n
+        while name in out:
+            k += 1
+            name = f"{n}_{k}"
+        out.append(name)
+    return out
+
+
 def read_excel(spark: SparkSession, path: str, skiprows: int = 0, glob: str = "*.xlsx") -> tuple[DataFrame, list]:
     """Workbooks → one table (string columns, union by name); the first
-    row after ``skiprows`` is the header. Returns (table, failed files)."""
+    row after ``skiprows`` is the header. Rows shorter than the header are
+    filled with NULL, cells beyond it become ``col<i>`` columns. Returns (table, failed files)."""
     long = read_excel_long(spark, path, glob).cache()
     failed = [(r["source_file"], r["error"]) for r in long.filter(F.col("error").isNotNull()).collect()]
     ok = long.filter(F.col("error").isNull() & (F.col("row_no") >= skiprows))
     headers = {r["source_file"]: r["cells"] for r in ok.filter(F.col("row_no") == skiprows).collect()}
     frames = []
+    widths = {r["source_file"]: r["w"] for r in ok.groupBy("source_file").agg(F.max(F.size("cells")).alias("w")).collect()}
     by_header: dict[tuple, list] = {}
     for f, h in headers.items():
-        by_header.setdefault(tuple(h), []).append(f)
+        wide = list(h) + [None] * (widths[f] - len(h))
+        by_header.setdefault(tuple(wide), []).append(f)
     for h, files in by_header.items():
-        names = [str(x) if x is not None else f"col{i}" for i, x in enumerate(h)]
+        names = _unique([str(x) if x is not None else f"col{i}" for i, x in enumerate(h)])
         part = ok.filter(F.col("source_file").isin(files) & (F.col("row_no") > skiprows))
-        frames.append(part.select(*[F.col("cells")[i].alias(n) for i, n in enumerate(names)], "source_file"))
+        frames.append(part.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)], "source_file"))
     if not frames:
         return spark.createDataFrame([], "source_file string"), failed
     out = frames[0]

@@ -16,10 +16,12 @@ from ..operators.clean import union_by_name
 
 
 def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, all_strings: bool = True,
-             encoding: str = "UTF-8") -> DataFrame:
+             encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
     """CSV with header; all columns as text unless a schema is given (no
-    type inference). A UTF-8 BOM in the header is dropped by the reader."""
-    r = spark.read.option("header", True).option("encoding", encoding).option("multiLine", False)
+    type inference). A UTF-8 BOM in the header is dropped by the reader.
+    Doubled quotes stand for a quote. ``multi_line`` reads quoted line breaks;
+    such files cannot be split, so it is off by default."""
+    r = spark.read.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     if schema is not None:
         r = r.schema(schema)
     elif not all_strings:

@@ -39,16 +39,21 @@ def ingest_messages(spark: SparkSession, src_dir: str, table_dir: str, checkpoin
     return w.start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def retain_last(spark: SparkSession, src_dir: str, table_dir: str, checkpoint: str, n: int = msg.RETAIN):
     """Keep only the last ``n`` messages in ``table_dir`` (overwrite per
     micro-batch: current table ∪ batch, top n by arrival)."""
 
     def merge(batch: DataFrame, epoch_id: int):
+        # a table that is there but cannot be read raises: history is not lost;
+        # rows of this epoch from a replayed batch are not merged twice
         cur = None
-        try:
-            cur = batch.sparkSession.read.parquet(table_dir)
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            cur = None
+        if _exists(batch.sparkSession, table_dir):
+            cur = batch.sparkSession.read.parquet(table_dir).filter(F.col("epoch") < F.lit(epoch_id))
         stamped = msg.clean_messages(batch.drop("timestamp"), stamp=True).withColumn(
             "epoch", F.lit(epoch_id).cast("long"))
         allm = stamped if cur is None else cur.unionByName(stamped, allowMissingColumns=True)
