@@ -102,7 +102,10 @@ def _evaluate(p: Prepared, pred: DataFrame, key: str, target: str, model, score_
     metrics = metrics.select("accuracy", "precision", "recall", "f1",
                              F.lit(auc).cast("double").alias("roc_auc"),
                              F.lit(n_train).alias("n_train"), F.lit(n_test).alias("n_test"))
-    return ModelResult(metrics, out.drop(score_col) if score_col else out, model,
+    predictions = out
+    if score_col is not None:  # class probabilities as an array in the order of the classes; margins are none
+        predictions = out.drop(score_col) if raw_is_margin else out.withColumn(score_col, vector_to_array(score_col))
+    return ModelResult(metrics, predictions, model,
                        {"confusion": ev.confusion_matrix(out, "true_label", "predicted_label"),
                         "classes": p.classes})
 

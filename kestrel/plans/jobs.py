@@ -31,12 +31,13 @@ def competitor_influence(facts: DataFrame, events: DataFrame, lead_days, gap_day
     return rep
 
 
-def merge_reports(spark: SparkSession, folder: str, out: str | None = None) -> DataFrame:
-    """L3: all report CSV files of a folder, tagged with their file name."""
+def merge_reports(spark: SparkSession, folder: str, out: str | None = None) -> tuple[DataFrame | None, list]:
+    """L3: all report CSV files of a folder, tagged with their file name, and
+    the files that could not be read with their errors."""
     df, failed = files.read_csv_folder(spark, folder, tag="period_tag")
     if df is not None and out:
         files.write_table(df, out, fmt="csv")
-    return df
+    return df, failed
 
 
 def store_activity(deliveries: DataFrame) -> DataFrame:
