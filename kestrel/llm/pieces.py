@@ -46,7 +46,8 @@ class Matcher:
     """All places where pieces stand in a text, found for all positions at
     once: a window grows by a character while it begins some piece."""
 
-    LEVEL_BITS = 20
+    #: Places of a level's table for each key, as a power of two.
+    SPARE_BITS = 2
 
     def __init__(self, vocabulary: Pieces):
         self.longest = vocabulary.longest
@@ -61,11 +62,12 @@ class Matcher:
             raise ValueError("two pieces with one hash")
         self.levels = []
         while len(keys):  # keys that meet at a place of one table go to the next
-            slot = self._slot(keys, len(self.levels))
+            bits = len(keys).bit_length() + self.SPARE_BITS
+            slot = self._slot(keys, len(self.levels), bits)
             _, first = np.unique(slot, return_index=True)
-            held, value = np.zeros(1 << self.LEVEL_BITS, np.uint64), np.full(1 << self.LEVEL_BITS, -2, np.int32)
+            held, value = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -2, np.int32)
             held[slot[first]], value[slot[first]] = keys[first], values[first]
-            self.levels.append((held, value))
+            self.levels.append((bits, held, value))
             rest = np.ones(len(keys), bool)
             rest[first] = False
             keys, values = keys[rest], values[rest]
@@ -77,17 +79,20 @@ class Matcher:
     def _hash(self, c: np.ndarray) -> np.ndarray:
         return sum((self._letter(c[j:j + 1], j) for j in range(len(c))), np.zeros(1, np.uint64))
 
-    def _slot(self, keys: np.ndarray, level: int) -> np.ndarray:
-        return (mix(keys + np.uint64(level)) >> np.uint64(64 - self.LEVEL_BITS)).astype(np.int64)
+    def _slot(self, keys: np.ndarray, level: int, bits: int) -> np.ndarray:
+        return (mix(keys + np.uint64(level)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def _look_up(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), -2, np.int32)
         left = np.arange(len(keys))
-        for n, (held, value) in enumerate(self.levels):
-            slot = self._slot(keys[left], n)
-            hit = (held[slot] == keys[left]) & (value[slot] > -2)
-            out[left[hit]] = value[slot[hit]]
-            left = left[~hit]
+        for n, (bits, held, value) in enumerate(self.levels):
+            slot = self._slot(keys[left], n, bits)
+            found = value[slot]
+            hit = held[slot] == keys[left]
+            out[left[hit]] = found[hit]
+            left = left[~hit & (found > -2)]  # the keys of a free place are nowhere
+            if not len(left):
+                break
         return out
 
     def edges(self, c: np.ndarray, ends: np.ndarray):
