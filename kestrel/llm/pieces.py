@@ -83,16 +83,17 @@ class Matcher:
         return (mix(keys + np.uint64(level)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def _look_up(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), -2, np.int32)
-        left = np.arange(len(keys))
-        for n, (bits, held, value) in enumerate(self.levels):
+        bits, held, value = self.levels[0]
+        slot = self._slot(keys, 0, bits)
+        out = value[slot]
+        other = held[slot] != keys
+        left = np.flatnonzero(other & (out > -2))  # the keys of a free place are nowhere
+        out[other] = -2
+        for n, (bits, held, value) in enumerate(self.levels[1:], 1):
             slot = self._slot(keys[left], n, bits)
-            found = value[slot]
-            hit = held[slot] == keys[left]
+            found, hit = value[slot], held[slot] == keys[left]
             out[left[hit]] = found[hit]
-            left = left[~hit & (found > -2)]  # the keys of a free place are nowhere
-            if not len(left):
-                break
+            left = left[~hit & (found > -2)]
         return out
 
     def edges(self, c: np.ndarray, ends: np.ndarray):
