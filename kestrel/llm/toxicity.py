@@ -6,15 +6,19 @@
    three times in a row, single letters set apart - is decoded: its characters
    span a lattice (each symbol may stand for some letters or for nothing, a
    repeated letter may be one), and Viterbi search finds the reading with the
-   best sum of channel and language-model scores. Other tokens stay.
+   best sum of channel and language-model scores. Other tokens stay. Symbols
+   at a token's ends may be letters or punctuation, so such a token has both
+   readings. Single letters set apart are read as one word, as the words that
+   their wider gaps leave, and with word edges wherever the model sees them;
+   all of these words count. Neither tokens nor runs have a longest length.
 3. Evidence is learnt from labels: of a restored word and its first four,
    five and six letters, the number of toxic and other labelled documents with
    it. A feature's strength is the lower end of its precision's confidence
    interval (Wilson, ``Z``), so a rare word proves nothing; a feature that is
    right less often than ``PRECISION`` stays below one half. Documents that
-   share the smallest hash of their three-word windows are taken for copies
-   and weigh one document together, so that a copied text's own words prove
-   no more than one text does.
+   share the smallest hash of their three-word windows (texts under three
+   words: of the whole text) are taken for copies and weigh one document
+   together, so that a copied text's own words prove no more than one text does.
 4. A document's score is the largest strength of its restored words'
    features, a plain text's is the smallest value. 0.5 and more is toxic.
 
@@ -48,6 +52,7 @@ Z = 2.5
 PRECISION = 0.9
 FOLDS = 5
 CACHED = 100_000
+CACHED_CHARS = 64
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EDGE = 26
 
@@ -59,8 +64,16 @@ _TOKEN = re.compile(r"\S+")
 _TRIM = re.compile(r"^[^\w@$]+|[^\w]+$")
 _MARKS = re.escape("".join(c for c in LEET if not c.isdigit()))
 _DISGUISED = re.compile(rf"[^\W\d_][\d{_MARKS}]+[^\W\d_]|^[\d@$]+[^\W\d_]|[^\W\d_][0-9]$|([a-z])\1\1")
+_BARE = re.compile(rf"^[^\w{_MARKS}]+|[^\w{_MARKS}]+$")
 _SPACED = re.compile(r"(?<![^\s])[a-z0-9@$!](?:[\s.\-_*]+[a-z0-9@$!](?![^\s.\-_*])){3,}(?![^\s.,;:?!])")
+_GAP = re.compile(r"[\s.\-_*]+")
 _SEPARATED = re.compile(r"^(?:[a-z0-9@$!][.\-_*]){2,}[a-z0-9@$!]$")
+_LETTER_LIKE = re.compile(r"[a-z@$]")
+
+# What a character may stand for; a letter after the same letter may be one with it.
+_NOTHING = [("", SAME)]
+_CHOICES = {c: [(c, SAME)] for c in LETTERS} | {c: [(x, AS_VOWEL if len(to) > 2 else AS_LETTER) for x in to] + [("", DROPPED)] for c, to in LEET.items()}
+_REPEATED = {c: [(c, KEPT_REPEAT), ("", SAME)] for c in LETTERS}
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -98,37 +111,43 @@ class Decoder:
         bi = pair / pair.sum(axis=1, keepdims=True)
         self.log = np.log(0.8 * tri + 0.2 * bi[None, :, :]).tolist()
 
-    def options(self, token: str) -> list[list[tuple[str, float]]]:
+    def options(self, token: str):
         """For each character the letters (or nothing) it may stand for."""
-        out = []
-        for i, c in enumerate(token):
-            if "a" <= c <= "z":
-                same = [(c, SAME)]
-                if i and token[i - 1] == c:
-                    same = [(c, KEPT_REPEAT), ("", SAME)]
-                out.append(same)
-            elif c in LEET:
-                cost = AS_VOWEL if len(LEET[c]) > 2 else AS_LETTER
-                out.append([(x, cost) for x in LEET[c]] + [("", DROPPED)])
-            else:
-                out.append([("", SAME)])
-        return out
-
-    def read(self, token: str) -> str:
-        states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+        before = ""
+        for c in token:
+            yield _REPEATED[c] if c == before and c in _REPEATED else _CHOICES.get(c, _NOTHING)
+            before = c
+
+    def read(self, token: str, edges: bool = False) -> str:
+        """The best reading; with ``edges``, words may end anywhere and are set
+        apart by spaces. A state's reading is a chain of back-pointers."""
+        start = self.log[EDGE][EDGE]
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
         for choices in self.options(token):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, word) in states.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, node) in states.items():
+                row = self.log[a][b]
                 for letter, cost in choices:
                     if letter:
                         x = ord(letter) - 97
-                        key, value = (b, x), score + cost + self.log[a][b][x]
+                        key, value = (b, x), score + cost + row[x]
+                        if key not in after or value > after[key][0]:
+                            after[key] = (value, (node, letter))
+                        if edges and b != EDGE:
+                            key, value = (EDGE, x), score + cost + row[EDGE] + start[x]
+                            if key not in after or value > after[key][0]:
+                                after[key] = (value, (node, " " + letter))
                     else:
                         key, value = (a, b), score + cost
-                    if key not in after or value > after[key][0]:
-                        after[key] = (value, word + letter)
+                        if key not in after or value > after[key][0]:
+                            after[key] = (value, node)
             states = after
-        return max(((score + self.log[a][b][EDGE], word) for (a, b), (score, word) in states.items()))[1]
+        node = max(((score + self.log[a][b][EDGE], node) for (a, b), (score, node) in states.items()), key=lambda x: x[0])[1]
+        letters = []
+        while node:
+            node, letter = node
+            letters.append(letter)
+        return "".join(reversed(letters))
 
 
 class Restorer:
@@ -136,29 +155,41 @@ class Restorer:
 
     def __init__(self, counts: np.ndarray):
         self.decoder = Decoder(counts)
-        self.known: dict[str, str] = {}
+        self.known: dict[str, tuple[str, ...]] = {}
 
-    def word(self, token: str) -> str:
+    def readings(self, token: str) -> tuple[str, ...]:
+        """A token's word and, where symbols at its ends may be letters, the
+        word with them."""
         found = self.known.get(token)
         if found is None:
-            core = _TRIM.sub("", token)
-            found = core
-            if len(core) <= 64 and (_DISGUISED.search(core) or _SEPARATED.match(core)):
-                found = self.decoder.read(core) or core
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            self.known[token] = found
+            core, bare = _TRIM.sub("", token), _BARE.sub("", token)
+            word = core
+            if _DISGUISED.search(core) or _SEPARATED.match(core):
+                word = self.decoder.read(core) or core
+            found = (word,)
+            if bare != core and _LETTER_LIKE.search(bare):
+                ended = self.decoder.read(bare)
+                if ended and ended != word:
+                    found = (word, ended)
+            if len(token) <= CACHED_CHARS:
+                if len(self.known) >= CACHED:
+                    self.known.clear()
+                self.known[token] = found
         return found
 
-    def words(self, text: str) -> set[str]:
-        """Distinct restored words of a lower-cased text, besides those read
-        from single letters set apart."""
-        words = set(map(self.word, set(_TOKEN.findall(text))))
+    def spaced(self, text: str):
+        """For each run of single letters set apart, the words it may be."""
         for m in _SPACED.finditer(text):
-            joined = re.sub(r"[\s.\-_*]+", "", m[0])
-            if len(joined) <= 256:
-                words.add(self.decoder.read(joined))
-                words.update(re.findall(r"[a-z]+", joined))
+            gaps = [len(g) for g in _GAP.findall(m[0])]
+            letters = _GAP.split(m[0])
+            joined, least = "".join(letters), min(gaps)
+            parts = "".join(c + " " * (n > least) for c, n in zip(letters, [*gaps, 0], strict=True)).split()
+            yield {w for w in (self.decoder.read(joined), *map(self.decoder.read, parts if len(parts) > 1 else ()), *self.decoder.read(joined, edges=True).split(), *re.findall(r"[a-z]+", joined)) if w}
+
+    def words(self, text: str) -> set[str]:
+        """Distinct restored words of a lower-cased text."""
+        words = {w for token in set(_TOKEN.findall(text)) for w in self.readings(token)}
+        words.update(*self.spaced(text))
         words.discard("")
         return words
 
@@ -194,7 +225,9 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, max_labelled:
             for lo, hi, data, off in K.text_slices(b.column(0)):
                 h, _, _, first = K.words(K.lower(data), off)
                 win, _, w_first = K.windows(h, first, 3)
-                least = [win[a:z].min() if z > a else np.uint64(0) for a, z in zip(w_first[:-1], w_first[1:], strict=True)]
+                least = np.array([win[a:z].min() if z > a else 0 for a, z in zip(w_first[:-1], w_first[1:], strict=True)], np.uint64)
+                short = np.flatnonzero(np.diff(w_first) == 0)
+                least[short] = K.hash_spans(K.lower(data), off[:-1][short], off[1:][short])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(K.signed(least))], ["text", "toxic", "copy"])
 
     rows = saved(rows.mapInArrow(sketched, "text string, toxic int, copy long"))
@@ -236,20 +269,18 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 for token in set(_TOKEN.findall(text)):
                     found = best.get(token)
                     if found is None:
-                        word = restore.word(token)
-                        found = (max((strengths.get(f, 0.0) for f in features(word)), default=0.0), word != _TRIM.sub("", token))
-                        if len(best) >= CACHED:
-                            best.clear()
-                        best[token] = found
+                        words = restore.readings(token)
+                        found = (max(strengths.get(f, 0.0) for w in words for f in features(w)), words != (_TRIM.sub("", token),))
+                        if len(token) <= CACHED_CHARS:
+                            if len(best) >= CACHED:
+                                best.clear()
+                            best[token] = found
                     if found[0] > top:
                         top = found[0]
                     n += found[1]
-                for m in _SPACED.finditer(text):
-                    joined = re.sub(r"[\s.\-_*]+", "", m[0])
-                    if len(joined) <= 256:
-                        read = restore.decoder.read(joined)
-                        top = max(top, *(strengths.get(f, 0.0) for f in features(read)))
-                        n += 1
+                for words in restore.spaced(text):
+                    top = max([top, *(strengths.get(f, 0.0) for w in words for f in features(w))])
+                    n += 1
                 out.append(top)
                 changed.append(n)
             score_ = np.array(out)

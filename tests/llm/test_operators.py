@@ -264,6 +264,33 @@ def test_toxicity_reads_disguises(spark, empty):
     assert toxicity.keep_clean(docs, labels).where("doc_id >= 1000 and doc_id < 5000").count() == 0
 
 
+def test_toxicity_reads_long_runs_and_symbols_at_ends(spark):
+    """Words behind others in a spaced run, runs and tokens of any length."""
+    clean = [(i, sentence(i, 30)) for i in range(300)] + [(400 + i, "fine words") for i in range(60)]
+    bad = [(1000 + i, sentence(1000 + i, 20) + " moronic " + sentence(2000 + i, 10)) for i in range(60)] + [(1100 + i, f"asshat{'abcdefghij'[i % 10]} {WORDS[i % 24]}") for i in range(60)]
+    far = " ".join(sentence(31, 120).replace(" ", ""))
+    hidden = ["a l p h a m o r o n i c", "a l p h a   b e t a   m o r o n i c", far + "   m o r o n i c", "m" + "o" * 80 + "ronic", "moroni(", "(moronic", "a l p h a b e t a g a m m a", far, "alpha! (beta"]
+    docs = spark.createDataFrame(clean + bad + [(5000 + i, t) for i, t in enumerate(hidden)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i, _ in clean] + [(i, 1) for i, _ in bad], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    assert len(far) > 512
+    assert [got[5000 + i].predicted for i in range(len(hidden))] == [1, 1, 1, 1, 1, 1, 0, 0, 0]
+    assert all(got[i].predicted for i, _ in bad)  # texts of two words are not one copy
+
+
+def test_decoder_sets_words_apart():
+    counts = np.zeros((27, 27, 27))
+    for w in ["you", "idiot"] * 50:
+        c = [26, 26, *(ord(x) - 97 for x in w), 26]
+        for t in zip(c, c[1:], c[2:]):
+            counts[t] += 1
+    restore = toxicity.Restorer(counts)
+    assert restore.decoder.read("youidiot", edges=True) == "you idiot"
+    assert {"you", "idiot"} <= restore.words("y o u   i d i o t") and {"you", "idiot"} <= restore.words("y o u i d i o t")
+    assert "idiot" in restore.words("y0u 1d10t!") and "idiot" in restore.words("!diot")
+    assert restore.decoder.read("a" * 100_000) == "a"
+
+
 def test_backoff_matches_plain_counts(spark, docs, rows, empty):
     for order in (1, 2, 3):
         got = Counter((r.doc_id, r.n_words, r.n_backoff, None if r.log_score is None else round(r.log_score, 6)) for r in backoff.score(docs, order, block_bytes=500, part_bytes=300).collect())
