@@ -24,8 +24,10 @@ Scale:
 Defined results: words are lower-cased (A-Z) runs without white space, a text
 with fewer than five is its own only shingle; NULL and empty texts have no
 shingles and are linked with nothing, each its own component; a component's
-id is its smallest non-NULL doc_id; repeated rows are copies of each other
-and all carry their class's component; an empty table gives an empty result;
+id is its smallest non-NULL doc_id; its kept row is the one of the smallest
+(doc_id, hash of the text), NULL ids last, so rows that share an id or have none
+are told apart; repeated rows are copies of each other and all carry their
+class's component; an empty table gives an empty result;
 extra columns are ignored.
 """
 
@@ -85,8 +87,8 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, k1, k2, bands`` of every row; ``bands`` is NULL for an
-    empty set."""
+    """``doc_id, text_hash, n, k1, k2, bands`` of every row; ``bands`` is NULL
+    for an empty set."""
 
     def rows(batches):
         for b in batches:
@@ -98,9 +100,9 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                 flat = K.signed(band_keys(min_max_signatures([sets[i] for i in full])).reshape(-1)) if len(full) else np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(n == 0))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), bands], ["doc_id", "n", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), bands], ["doc_id", "text_hash", "n", "k1", "k2", "bands"])
 
-    return docs.mapInArrow(rows, "doc_id long, n long, k1 long, k2 long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(rows, "doc_id long, text_hash long, n long, k1 long, k2 long, bands array<long>")
 
 
 def _verified(pairs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -231,26 +233,34 @@ def _roots(buckets: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFram
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``df``."""
-    docs = texts(df, id_col, text_col)
+    return _marked(texts(df, id_col, text_col)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` of ``doc_id, text`` with ``text_hash``."""
     rows = saved(signature_rows(docs))
     full = rows.where(F.col("n") > 0)
-    classes = saved(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")  # NULL ids last
+    classes = saved(full.groupBy("k1", "k2", "n").agg(F.min(row).alias("rep"), F.first("bands").alias("bands")))
     node = F.xxhash64("k1", "k2", "n")
     nodes = classes.select(node.alias("node"), "n", "rep", "bands")
     buckets = saved(_distinct_buckets(nodes.select("node", F.explode("bands").alias("bucket"))))
-    wanted = nodes.join(buckets.select("node").distinct(), "node").select("node", F.col("rep").alias("doc_id"))
+    wanted = nodes.join(buckets.select("node").distinct(), "node").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
     sources = saved(_sources(docs, wanted))
     roots = _roots(buckets, nodes.select("node", "n"), sources)
     rooted = nodes.select("node", "rep").join(roots, "node")
-    labels = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root")
-    labels = labels.select(F.col("node").alias("of"), "component_id")
+    labels = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("first")), "root")
+    labels = labels.select(F.col("node").alias("of"), "first")
     out = rows.withColumn("node", F.when(F.col("n") > 0, node)).join(labels, F.col("node") == F.col("of"), "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    some = F.col("n") > 0
+    component = F.when(some, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    kept = ~some | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_hash").eqNullSafe(F.col("first.text_hash")))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def _sources(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, text``: one text for each wanted class, read from the documents."""
+    """``node, text``: one text for each wanted class, read from the documents.
+    ``wanted`` has ``node, id, hash``."""
 
     def checked(batches):
         for b in batches:
@@ -261,13 +271,13 @@ def _sources(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             at, k1, k2, n = (np.array(x, np.int64) for x in zip(*keep, strict=True)) if keep else (np.zeros(0, np.int64),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(k1), pa.array(k2), pa.array(n), b.column(1).take(pa.array(at))], ["node", "k1", "k2", "n", "text"])
 
-    same_id = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
-    found = same_id.mapInArrow(checked, "node long, k1 long, k2 long, n long, text string")
+    same_row = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash"))).select("node", "text")
+    found = same_row.mapInArrow(checked, "node long, k1 long, k2 long, n long, text string")
     return found.where(F.xxhash64("k1", "k2", "n") == F.col("node")).groupBy("node").agg(F.min("text").alias("text"))
 
 
 def one_of_each(df: DataFrame) -> DataFrame:
     """``df`` (with ``doc_id, text``) without the documents that are not their
     component's first, nor repeats of a row's id and text; all columns kept."""
-    gone = near_duplicates(df).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return df.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti").dropDuplicates(["doc_id", "text"])
+    gone = _marked(texts(df)).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return df.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_anti").dropDuplicates(["doc_id", "text"])

@@ -73,6 +73,18 @@ def test_near_duplicates_match_all_pairs(docs, rows, empty):
     assert sorted(r[0] if r[0] is not None else -1 for r in kept) == [-1, 0, 3, 4, 5, 6, 8, 9, 11]
 
 
+def test_one_row_of_each_component_by_id_and_text(spark):
+    """NULL and repeated ids: only near copies go, and one row of each stays."""
+    near = lambda text, at: " ".join("changed" if i == at else w for i, w in enumerate(text.split()))
+    a, b, c, d = (sentence(40 + i, 120) for i in range(4))
+    clean = [(None, sentence(50, 80)), (None, sentence(51, 80)), (7, sentence(52, 80))]
+    rows = [(1, a), (None, near(a, 60)), *clean, (7, near(a, 30)), (3, b), (3, c), (2, near(c, 50)), (None, d), (None, near(d, 70)), (None, None), (None, "")]
+    kept = [(r.doc_id, r.text) for r in minmax_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    lone = [r for r in kept if r in ((None, d), (None, near(d, 70)))]
+    assert len(lone) == 1
+    assert Counter(kept) == Counter([(1, a), *clean, (3, b), (2, near(c, 50)), (None, None), (None, ""), *lone])
+
+
 def test_members_outside_the_largest_component_meet_all(spark):
     """A chain of edits: ends far from each other are linked by the middle."""
     base = sentence(5, 200).split()
