@@ -181,5 +181,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, thr
 def clean_documents(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without contaminated rows, all columns kept."""
     slim = texts(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    bad = contaminations(slim, benchmark, min_match, threshold).select(F.col("row").alias("_leaked_row")).distinct()
-    return docs.join(bad, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")) == bad["_leaked_row"], "left_anti")
+    bad = contaminations(slim, benchmark, min_match, threshold).select(F.col("row").alias("leaked_row")).distinct()
+    return docs.join(bad, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == bad["leaked_row"], "left_anti")

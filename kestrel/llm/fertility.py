@@ -209,5 +209,5 @@ def judged(df: DataFrame, model: str | None = None, ranks: str | None = None) ->
 
 def keep_good(df: DataFrame) -> DataFrame:
     """The rows of ``df`` that pass, all columns kept."""
-    bad = judged(df).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return df.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_anti")
+    bad = judged(df).where(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    return df.join(bad, df["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(df["text"].cast("string")) == bad["bad_hash"]), "left_anti")
