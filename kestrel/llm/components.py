@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.tables import saved
+from kestrel.llm.tables import discard, saved, written
 
 MAX_STEPS = 200
 
@@ -30,13 +30,18 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``u, v`` links of long ids to ``node, root``: every linked node and the
-    smallest id of its component. Self-links and repeats do no harm."""
-    links = saved(links.where(F.col("u") != F.col("v")).distinct())
+    smallest id of its component. Self-links and repeats do no harm. A round's
+    links go once the next round's are written."""
+    links = written(links.where(F.col("u") != F.col("v")).distinct())
     seen = None
     for _ in range(MAX_STEPS):
-        links = saved(_small_star(_large_star(links).where(F.col("u") != F.col("v")).distinct()).distinct())
+        after = written(_small_star(_large_star(links).where(F.col("u") != F.col("v")).distinct()).distinct())
+        discard(links)
+        links = after
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+            roots = saved(links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())
+            discard(links)
+            return roots
         seen = now
     raise RuntimeError(f"components did not settle in {MAX_STEPS} steps")

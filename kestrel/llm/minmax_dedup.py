@@ -13,9 +13,12 @@ Scale:
 * Buckets that hold the same classes are one.
 * The members of a bucket are compared with one centre, not with each other.
   Members whose bucket then falls into one component, and buckets of two, need
-  nothing more. In a bucket that holds several components still, the members
-  outside its largest component are a query set that meets all members, in
-  blocks of bounded size; the members of the largest never meet each other.
+  nothing more. The members of buckets that hold several components still meet
+  in a prefix join: with their shingles in one global order, rare ones first,
+  two sets of similarity 0.75 share a shingle of their short prefixes. Texts
+  that share much, but less than that, differ in more shingles than a prefix
+  has, so they are no candidates and cost no comparison. Rows of one component
+  never meet each other, and candidates are distinct pairs.
 * A candidate is confirmed on the full shingle sets. The node's text travels
   once to each of its centres; a popular centre's text is sent once for each
   ``SALT`` of its candidates' cells, so a hot centre is many groups.
@@ -40,15 +43,18 @@ from pyspark.sql import functions as F
 
 from kestrel.llm import kernels as K
 from kestrel.llm.components import components
-from kestrel.llm.tables import saved, texts
+from kestrel.llm.tables import discard, saved, texts, written
 
 SHINGLE = 5
 SIMILAR_PERCENT = 75
 ROWS = 5
 BANDS = 56
 PER_CELL = 64
-QUERY_BLOCK = 256
-MEMBER_BLOCK = 1024
+#: Shingles whose frequency orders them last in the prefix join; the order only
+#: changes how many candidates there are.
+FREQUENT = 1 << 20
+#: Rounds with other centres before the prefix join.
+MORE_STARS = 3
 
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, ROWS * BANDS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -139,96 +145,136 @@ def _distinct_buckets(buckets: DataFrame) -> DataFrame:
     return buckets.join(alike.groupBy("all", "members").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
 
 
-def _star(buckets: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
-    """Links of the members of each bucket with its centre."""
+def _star(met: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """The similar pairs of ``met`` (``node, centre``)."""
     sizes = nodes.select("node", "n")
-    met = buckets.where(F.col("node") != F.col("centre")).select("node", "centre").distinct()
-    met = met.join(sizes, "node").join(sizes.select(F.col("node").alias("centre"), F.col("n").alias("cn")), "centre")
+    both = met.distinct().join(sizes, "node").join(sizes.select(F.col("node").alias("centre"), F.col("n").alias("cn")), "centre")
     sized = 100 * F.least("n", "cn") >= SIMILAR_PERCENT * F.greatest("n", "cn")
-    return _verified(saved(met.where(sized).select("node", "centre")), sources)
-
-
-def _mixed(buckets: DataFrame, known: DataFrame) -> DataFrame:
-    """``bucket, node, root, main, members`` of the buckets that hold several
-    components; ``main`` is the largest component of the bucket."""
-    labelled = buckets.join(known, "node")
-    weight = F.least("size", F.lit(1 << 20)) * F.lit(1 << 40) + F.pmod("root", F.lit(1 << 40))
-    whole = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("root", weight).alias("main"), F.count("*").alias("members")).where("lo != hi")
-    return labelled.join(whole.select("bucket", "main", "members"), "bucket").select("bucket", "node", "root", "main", "members")
-
-
-def common_counts(queries: list[np.ndarray], members: list[np.ndarray]):
-    """Yield ``(first query, counts)``: the intersection sizes of some queries
-    in a row (columns) with all members (rows)."""
-    lo = 0
-    while lo < len(queries):
-        hi, total = lo, 0
-        while hi < len(queries) and (hi == lo or (total + len(queries[hi])) * (hi + 1 - lo) <= 1 << 25):
-            total += len(queries[hi])
-            hi += 1
-        vocabulary = np.unique(np.concatenate(queries[lo:hi]))
-        held = np.zeros((len(vocabulary), hi - lo), np.uint8)
-        for i in range(lo, hi):
-            held[np.searchsorted(vocabulary, queries[i]), i - lo] = 1
-        counts = np.zeros((len(members), hi - lo), np.int64)
-        for j, m in enumerate(members):
-            at = np.minimum(np.searchsorted(vocabulary, m), len(vocabulary) - 1)
-            counts[j] = held[at[vocabulary[at] == m]].sum(axis=0, dtype=np.int64)
-        yield lo, counts
-        lo = hi
-
-
-def _block_links(mixed: DataFrame, sources: DataFrame) -> DataFrame:
-    """Links between components in mixed buckets: the members outside the main
-    component, in blocks, against all members, in blocks; of the links of a
-    member into one component one is enough."""
-    outside = F.col("root") != F.col("main")
-    sizes = mixed.groupBy("bucket").agg(F.ceil(F.count_if(outside) / F.lit(QUERY_BLOCK)).alias("qn"), F.ceil(F.first("members") / F.lit(MEMBER_BLOCK)).alias("mn"))
-    dealt = mixed.join(sizes, "bucket").withColumn("h", F.xxhash64("node"))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    members = dealt.select("bucket", every("qn").alias("q"), F.pmod("h", "mn").alias("m"), "node", "root").join(sources, "node")
-    queries = dealt.where(outside).select("bucket", F.pmod("h", "qn").alias("q"), every("mn").alias("m"), "node", "root").join(sources, "node")
-    queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("bucket", "q", "m", "node", "root", "text")])
-
-    def parts(t: pa.Table, prefix: str):
-        sets = []
-        for _, _, data, off in K.text_slices(t.column(prefix + "text")):
-            sets += K.shingle_sets(data, off, SHINGLE)
-        return *(t.column(prefix + c).to_numpy().astype(np.int64) for c in ("node", "root")), sets
-
-    def compare(left, right):
-        found = [np.zeros((0, 2), np.int64)]
-        if left.num_rows and right.num_rows:
-            node, root, sets = parts(left, "")
-            q_node, q_root, q_sets = parts(right, "q_")
-            n, q_n = np.array([len(s) for s in sets]), np.array([len(s) for s in q_sets])
-            for lo, common in common_counts(q_sets, sets):
-                of = slice(lo, lo + common.shape[1])
-                j, i = np.nonzero((100 * common >= SIMILAR_PERCENT * (n[:, None] + q_n[None, of] - common)) & (root[:, None] != q_root[None, of]))
-                _, one = np.unique(np.stack([i, root[j]]), axis=1, return_index=True)
-                found.append(np.stack([q_node[lo + i[one]], node[j[one]]], axis=1))
-        both = np.concatenate(found)
-        return pa.table({"u": both[:, 0], "v": both[:, 1]})
+    return _verified(both.where(sized).select("node", "centre"), sources)
+
+
+def _open_members(buckets: DataFrame, known: DataFrame) -> DataFrame:
+    """``bucket, node, root, main`` of the buckets that hold several components;
+    ``main`` has the most members of the bucket."""
+    labelled = buckets.join(known, "node").select("bucket", "node", "root")
+    by_root = labelled.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    several = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("bucket", "main")
+    return labelled.join(several, "bucket")
 
-    return members.groupBy("bucket", "q", "m").cogroup(queries.groupBy("q_bucket", "q_q", "q_m")).applyInArrow(compare, "u long, v long")
 
+def frequent_shingles(sets: DataFrame, most: int = FREQUENT) -> np.ndarray:
+    """The hashes of the most frequent shingles of ``sets`` (``node, text``),
+    the most frequent last: at most ``most``, found by counting all of them."""
 
-def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``node, root, size`` of all nodes."""
-    known = nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    return saved(known.join(known.groupBy("root").agg(F.count("*").alias("size")), "root"))
+    def counts(batches):
+        for b in batches:
+            for _, _, data, off in K.text_slices(b.column(0)):
+                found = [x for x in K.shingle_sets(data, off, SHINGLE) if len(x)]
+                if found:
+                    kinds, n = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(kinds)), pa.array(n)], ["shingle", "n"])
+
+    total = sets.select("text").mapInArrow(counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
+    rows = total.orderBy(F.desc("n"), "shingle").limit(most).toPandas()
+    return rows["shingle"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+
+
+def rare_first(s: np.ndarray, frequent: np.ndarray, by_hash: np.ndarray) -> np.ndarray:
+    """A sorted set in the global order: shingles that are not ``frequent`` by
+    hash, then the frequent ones by their place. ``by_hash`` sorts them."""
+    if not len(frequent):
+        return s
+    at = np.minimum(np.searchsorted(frequent, s, sorter=by_hash), len(frequent) - 1)
+    place = by_hash[at]
+    return s[np.argsort(np.where(frequent[place] == s, place + 1, 0), kind="stable")]
+
+
+def prefix_rows(sets: DataFrame, frequent) -> DataFrame:
+    """``shingle, node, root, n, at, indexed``: the prefix of each set in the
+    global order. Two sets of similarity 0.75 share a shingle that is in the
+    longer prefix (n - ceil(0.75 n) + 1) of the larger and in the shorter one
+    (n - ceil(1.5 n / 1.75) + 1, ``indexed``) of the smaller."""
+
+    def run(batches):
+        order = frequent.value
+        by_hash = np.argsort(order)
+        for b in batches:
+            nodes, roots = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for lo, hi, data, off in K.text_slices(b.column(2)):
+                sets = K.shingle_sets(data, off, SHINGLE)
+                n = np.array([len(x) for x in sets], np.int64)
+                long = np.where(n > 0, n + (-SIMILAR_PERCENT * n) // 100 + 1, 0)
+                short = n + (-2 * SIMILAR_PERCENT * n) // (100 + SIMILAR_PERCENT) + 1
+                first = [rare_first(x, order, by_hash)[:k] for x, k in zip(sets, long.tolist(), strict=True)]
+                at = np.concatenate([np.arange(k) for k in long]) if len(long) else long
+                whose = np.repeat(np.arange(hi - lo), long)
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.concatenate(first))), pa.array(nodes[lo:hi][whose]), pa.array(roots[lo:hi][whose]), pa.array(n[whose]), pa.array(at.astype(np.int32)), pa.array(at < short[whose])], ["shingle", "node", "root", "n", "at", "indexed"])
+
+    return sets.select("node", "root", "text").mapInArrow(run, "shingle long, node long, root long, n long, at int, indexed boolean")
+
+
+def _prefix_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct ``node, centre`` pairs of different roots that may be similar.
+    Of the rows of a shingle, those outside its most frequent root meet all."""
+    by_root = rows.groupBy("shingle", "root").agg(F.count("*").alias("k"))
+    main = by_root.groupBy("shingle").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("shingle", "main")
+    open_ = rows.join(main, "shingle")
+    mine = open_.where("root != main").select("shingle", *(F.col(c).alias(f"m_{c}") for c in ("node", "root", "n", "at", "indexed")))
+    both = mine.join(open_, "shingle").where(F.col("root") != F.col("m_root"))
+    larger = (F.col("n") > F.col("m_n")) | ((F.col("n") == F.col("m_n")) & (F.col("node") > F.col("m_node")))
+    small = F.least("n", "m_n")
+    sized = 100 * small >= SIMILAR_PERCENT * F.greatest("n", "m_n")
+    # the shingles behind this one bound what else the two can share
+    most = 1 + F.least(F.col("n") - F.col("at"), F.col("m_n") - F.col("m_at")) + F.least("at", "m_at") - 1
+    enough = (100 + SIMILAR_PERCENT) * most >= SIMILAR_PERCENT * (F.col("n") + F.col("m_n"))
+    indexed = F.when(larger, F.col("m_indexed")).otherwise(F.col("indexed"))
+    return both.where(sized & enough & indexed).select(F.least("node", "m_node").alias("node"), F.greatest("node", "m_node").alias("centre")).distinct()
+
+
+def _cross_links(open_nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Links between different roots among ``open_nodes`` (``node, root``), by
+    a prefix join that loses none; ids travel first, texts for candidates only."""
+    sets = written(open_nodes.join(sources, "node"))
+    frequent = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets))
+    rows = written(prefix_rows(sets, frequent))
+    pairs = written(_prefix_pairs(rows))
+    discard(rows)
+    links = written(_verified(pairs, sources))
+    discard(sets, pairs)
+    return links
+
+
+def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` (``node, root``) with the roots that ``links`` join as one."""
+    root_of = lambda end: known.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    between = links.join(root_of("u"), "u").join(root_of("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
+    new = components(between).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    after = written(known.join(new, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")))
+    discard(known, links)
+    return after
 
 
 def _roots(buckets: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """``node, root`` of all nodes from the buckets with two members at least."""
-    centred = saved(buckets.join(buckets.groupBy("bucket").agg(F.min("node").alias("centre")), "bucket"))
-    links = saved(_star(centred, nodes, sources))
-    known = _labels(nodes, links)
-    rest = centred.where(F.col("node") != F.col("centre")).select("bucket", "node")
-    open_ = _mixed(rest, known)
-    mixed = saved(_mixed(_distinct_buckets(open_.select("bucket", "node")), known))
-    more = saved(_block_links(mixed, sources))
-    return known if more.isEmpty() else _labels(nodes, links.unionByName(more))
+    centres = buckets.groupBy("bucket").agg(F.min("node").alias("centre"))
+    links = written(_star(buckets.join(centres, "bucket").where("node != centre").select("node", "centre"), nodes, sources))
+    known = _merged(written(nodes.select("node", F.col("node").alias("root"))), links)
+    for turn in range(MORE_STARS):
+        open_ = written(_open_members(buckets, known))
+        if open_.isEmpty():
+            discard(open_)
+            return known
+        outside = open_.where("root != main").select("bucket", "node", "root")
+        centres = outside.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root"))
+        met = open_.join(centres, "bucket").where("root != centre_root").select("node", "centre")
+        links = written(_star(met, nodes, sources))
+        discard(open_)
+        known = _merged(known, links)
+    open_nodes = written(_open_members(buckets, known).select("node", "root").distinct())
+    if not open_nodes.isEmpty():
+        known = _merged(known, _cross_links(open_nodes, sources))
+    discard(open_nodes)
+    return known
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,20 +284,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _marked(docs: DataFrame) -> DataFrame:
     """``near_duplicates`` of ``doc_id, text`` with ``text_hash``."""
-    rows = saved(signature_rows(docs))
-    full = rows.where(F.col("n") > 0)
+    signed = written(signature_rows(docs))
+    full = signed.where(F.col("n") > 0)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")  # NULL ids last
-    classes = saved(full.groupBy("k1", "k2", "n").agg(F.min(row).alias("rep"), F.first("bands").alias("bands")))
     node = F.xxhash64("k1", "k2", "n")
-    nodes = classes.select(node.alias("node"), "n", "rep", "bands")
-    buckets = saved(_distinct_buckets(nodes.select("node", F.explode("bands").alias("bucket"))))
-    wanted = nodes.join(buckets.select("node").distinct(), "node").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
-    sources = saved(_sources(docs, wanted))
-    roots = _roots(buckets, nodes.select("node", "n"), sources)
-    rooted = nodes.select("node", "rep").join(roots, "node")
+    nodes = written(full.groupBy("k1", "k2", "n").agg(F.min(row).alias("rep"), F.first("bands").alias("bands")).select(node.alias("node"), "n", "rep", "bands"))
+    rows = saved(signed.select("doc_id", "text_hash", "n", node.alias("node")))
+    discard(signed)
+    buckets = written(_distinct_buckets(nodes.select("node", F.explode("bands").alias("bucket"))))
+    slim = written(nodes.select("node", "n", "rep"))
+    discard(nodes)
+    wanted = slim.join(buckets.select("node").distinct(), "node").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
+    sources = written(_sources(docs, wanted))
+    roots = _roots(buckets, slim.select("node", "n"), sources)
+    rooted = slim.select("node", "rep").join(roots, "node")
     labels = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("first")), "root")
-    labels = labels.select(F.col("node").alias("of"), "first")
-    out = rows.withColumn("node", F.when(F.col("n") > 0, node)).join(labels, F.col("node") == F.col("of"), "left")
+    labels = saved(labels.select(F.col("node").alias("of"), "first"))
+    discard(buckets, slim, sources, roots)
+    out = rows.withColumn("node", F.when(F.col("n") > 0, F.col("node"))).join(labels, F.col("node") == F.col("of"), "left")
     some = F.col("n") > 0
     component = F.when(some, F.col("first.doc_id")).otherwise(F.col("doc_id"))
     kept = ~some | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_hash").eqNullSafe(F.col("first.text_hash")))
@@ -279,5 +329,6 @@ def _sources(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def one_of_each(df: DataFrame) -> DataFrame:
     """``df`` (with ``doc_id, text``) without the documents that are not their
     component's first, nor repeats of a row's id and text; all columns kept."""
-    gone = _marked(texts(df)).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return df.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_anti").dropDuplicates(["doc_id", "text"])
+    gone = _marked(texts(df)).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    same = df["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(df["text"].cast("string")) == gone["gone_hash"])
+    return df.join(gone, same, "left_anti").dropDuplicates(["doc_id", "text"])

@@ -101,12 +101,30 @@ def test_members_outside_the_largest_component_meet_all(spark):
     assert far < 0.75 and set(got.values()) == {0}
 
 
-def test_blocked_counts():
-    rng = np.random.default_rng(0)
-    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in rng.integers(1, 40, 25)]
-    for lo, counts in minmax_dedup.common_counts(sets[:7], sets):
-        for i in range(counts.shape[1]):
-            assert counts[:, i].tolist() == [len(np.intersect1d(s, sets[lo + i])) for s in sets]
+def test_prefix_join_loses_no_link(spark):
+    """Families that share most words, edits at every distance: the candidates
+    hold all similar pairs, and the members of a family that are just not
+    similar are no candidates."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for i in range(25):
+            w = list(base)
+            for at in rng.choice(60, int(rng.integers(0, 6)), replace=False):
+                w[at] = f"e{rng.integers(0, 9)}"
+            rows.append(" ".join(w[int(rng.integers(0, 3)):]))
+    boiler = [f"b{i}" for i in range(160)]
+    rows += [" ".join(boiler + [f"own{k}x{i}" for i in range(40)]) for k in range(60)]
+    nodes = spark.createDataFrame([(i, i, t) for i, t in enumerate(rows)], "node long, root long, text string")
+    sets = [shingles(t) for t in rows]
+    similar = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    for most in (1 << 20, 10, 0):
+        frequent = spark.sparkContext.broadcast(minmax_dedup.frequent_shingles(nodes, most) if most else np.zeros(0, np.uint64))
+        pairs = {(r.node, r.centre) for r in minmax_dedup._prefix_pairs(minmax_dedup.prefix_rows(nodes, frequent)).collect()}
+        assert similar <= pairs
+        if most > 10:
+            assert not any(i >= 100 and j >= 100 for i, j in pairs)
 
 
 def test_min_max_values_estimate_similarity():
