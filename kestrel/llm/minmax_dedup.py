@@ -19,6 +19,8 @@ Scale:
   that share much, but less than that, differ in more shingles than a prefix
   has, so they are no candidates and cost no comparison. Rows of one component
   never meet each other, and candidates are distinct pairs.
+* Sizes and a 512-bit parity word of each set rule out most candidates before
+  any text travels; the bound is exact, so no similar pair is lost.
 * A candidate is confirmed on the full shingle sets. The node's text travels
   once to each of its centres; a popular centre's text is sent once for each
   ``SALT`` of its candidates' cells, so a hot centre is many groups.
@@ -50,9 +52,11 @@ SIMILAR_PERCENT = 75
 ROWS = 5
 BANDS = 56
 PER_CELL = 64
-#: Shingles whose frequency orders them last in the prefix join; the order only
-#: changes how many candidates there are.
-FREQUENT = 1 << 20
+#: Buckets (as bits) that count shingles for the order of the prefix join; the
+#: order only changes how many candidates there are.
+COUNT_BITS = 18
+#: Length of the bit words that rule out pairs before their texts travel.
+BITS = 512
 #: Rounds with other centres before the prefix join.
 MORE_STARS = 3
 
@@ -92,9 +96,25 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+def parity_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """``(sets, BITS / 64)`` words: whether an odd number of a set's shingles
+    falls on a bit. Where two sets differ in d shingles, at most d bits differ."""
+    at = np.repeat(np.arange(len(sets)), [len(x) for x in sets]) * BITS + (np.concatenate(sets) & np.uint64(BITS - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(sets) * BITS).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(sets), BITS), axis=1).view(np.int64)
+
+
+def _may_be_similar(n: str, bits: str, other_n: str, other_bits: str):
+    """Sizes and bits allow a similarity of 0.75: of sets with s shingles together
+    at most s / 7 may be in one only. No similar pair is lost."""
+    sized = 100 * F.least(n, other_n) >= SIMILAR_PERCENT * F.greatest(n, other_n)
+    apart = F.aggregate(F.zip_with(bits, other_bits, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return sized & ((100 + SIMILAR_PERCENT) * apart <= (100 - SIMILAR_PERCENT) * (F.col(n) + F.col(other_n)))
+
+
 def signature_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, n, k1, k2, bands`` of every row; ``bands`` is NULL
-    for an empty set."""
+    """``doc_id, text_hash, n, k1, k2, bands, bits`` of every row; ``bands`` and
+    ``bits`` are NULL for an empty set."""
 
     def rows(batches):
         for b in batches:
@@ -106,9 +126,11 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                 flat = K.signed(band_keys(min_max_signatures([sets[i] for i in full])).reshape(-1)) if len(full) else np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(n == 0))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), bands], ["doc_id", "text_hash", "n", "k1", "k2", "bands"])
+                words = parity_bits([sets[i] for i in full]).ravel() if len(full) else np.zeros(0, np.int64)
+                bits = pa.ListArray.from_arrays(pa.array((ends // BANDS * (BITS // 64)).astype(np.int32)), pa.array(words), mask=pa.array(n == 0))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), bands, bits], ["doc_id", "text_hash", "n", "k1", "k2", "bands", "bits"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(rows, "doc_id long, text_hash long, n long, k1 long, k2 long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(rows, "doc_id long, text_hash long, n long, k1 long, k2 long, bands array<long>, bits array<long>")
 
 
 def _verified(pairs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -145,12 +167,17 @@ def _distinct_buckets(buckets: DataFrame) -> DataFrame:
     return buckets.join(alike.groupBy("all", "members").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct ``node, centre`` pairs that sizes and bits do not rule out."""
+    own = nodes.select("node", "n", "bits")
+    other = nodes.select(F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("bits").alias("cbits"))
+    both = pairs.distinct().join(own, "node").join(other, "centre")
+    return both.where(_may_be_similar("n", "bits", "cn", "cbits")).select("node", "centre")
+
+
 def _star(met: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """The similar pairs of ``met`` (``node, centre``)."""
-    sizes = nodes.select("node", "n")
-    both = met.distinct().join(sizes, "node").join(sizes.select(F.col("node").alias("centre"), F.col("n").alias("cn")), "centre")
-    sized = 100 * F.least("n", "cn") >= SIMILAR_PERCENT * F.greatest("n", "cn")
-    return _verified(both.where(sized).select("node", "centre"), sources)
+    return _verified(_possible(met, nodes), sources)
 
 
 def _open_members(buckets: DataFrame, known: DataFrame) -> DataFrame:
@@ -162,42 +189,42 @@ def _open_members(buckets: DataFrame, known: DataFrame) -> DataFrame:
     return labelled.join(several, "bucket")
 
 
-def frequent_shingles(sets: DataFrame, most: int = FREQUENT) -> np.ndarray:
-    """The hashes of the most frequent shingles of ``sets`` (``node, text``),
-    the most frequent last: at most ``most``, found by counting all of them."""
+def shingle_counts(sets: DataFrame, bits: int = COUNT_BITS) -> np.ndarray:
+    """How many sets of ``node, text`` hold a shingle of each of ``2**bits``
+    buckets of hashes: a table of fixed size, whatever the corpus."""
 
     def counts(batches):
+        total = np.zeros(1 << bits, np.int64)
         for b in batches:
             for _, _, data, off in K.text_slices(b.column(0)):
-                found = [x for x in K.shingle_sets(data, off, SHINGLE) if len(x)]
-                if found:
-                    kinds, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(kinds)), pa.array(n)], ["shingle", "n"])
+                for x in K.shingle_sets(data, off, SHINGLE):
+                    np.add.at(total, _bucket(x, bits), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    found = sets.select("text").mapInArrow(counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << bits, np.int64)
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    return out
+
 
-    total = sets.select("text").mapInArrow(counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
-    rows = total.orderBy(F.desc("n"), "shingle").limit(most).toPandas()
-    return rows["shingle"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+def _bucket(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (shingles >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(shingles), np.int64)
 
 
-def rare_first(s: np.ndarray, frequent: np.ndarray, by_hash: np.ndarray) -> np.ndarray:
-    """A sorted set in the global order: shingles that are not ``frequent`` by
-    hash, then the frequent ones by their place. ``by_hash`` sorts them."""
-    if not len(frequent):
-        return s
-    at = np.minimum(np.searchsorted(frequent, s, sorter=by_hash), len(frequent) - 1)
-    place = by_hash[at]
-    return s[np.argsort(np.where(frequent[place] == s, place + 1, 0), kind="stable")]
+def rare_first(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A sorted set in the global order: by the count of a shingle's bucket,
+    then by hash."""
+    return s[np.argsort(counts[_bucket(s, len(counts).bit_length() - 1)], kind="stable")]
 
 
-def prefix_rows(sets: DataFrame, frequent) -> DataFrame:
+def prefix_rows(sets: DataFrame, counts) -> DataFrame:
     """``shingle, node, root, n, at, indexed``: the prefix of each set in the
     global order. Two sets of similarity 0.75 share a shingle that is in the
     longer prefix (n - ceil(0.75 n) + 1) of the larger and in the shorter one
     (n - ceil(1.5 n / 1.75) + 1, ``indexed``) of the smaller."""
 
     def run(batches):
-        order = frequent.value
-        by_hash = np.argsort(order)
         for b in batches:
             nodes, roots = b.column(0).to_numpy(), b.column(1).to_numpy()
             for lo, hi, data, off in K.text_slices(b.column(2)):
@@ -205,7 +232,7 @@ def prefix_rows(sets: DataFrame, frequent) -> DataFrame:
                 n = np.array([len(x) for x in sets], np.int64)
                 long = np.where(n > 0, n + (-SIMILAR_PERCENT * n) // 100 + 1, 0)
                 short = n + (-2 * SIMILAR_PERCENT * n) // (100 + SIMILAR_PERCENT) + 1
-                first = [rare_first(x, order, by_hash)[:k] for x, k in zip(sets, long.tolist(), strict=True)]
+                first = [rare_first(x, counts.value)[:k] for x, k in zip(sets, long.tolist(), strict=True)]
                 at = np.concatenate([np.arange(k) for k in long]) if len(long) else long
                 whose = np.repeat(np.arange(hi - lo), long)
                 yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.concatenate(first))), pa.array(nodes[lo:hi][whose]), pa.array(roots[lo:hi][whose]), pa.array(n[whose]), pa.array(at.astype(np.int32)), pa.array(at < short[whose])], ["shingle", "node", "root", "n", "at", "indexed"])
@@ -231,13 +258,13 @@ def _prefix_pairs(rows: DataFrame) -> DataFrame:
     return both.where(sized & enough & indexed).select(F.least("node", "m_node").alias("node"), F.greatest("node", "m_node").alias("centre")).distinct()
 
 
-def _cross_links(open_nodes: DataFrame, sources: DataFrame) -> DataFrame:
+def _cross_links(open_nodes: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """Links between different roots among ``open_nodes`` (``node, root``), by
     a prefix join that loses none; ids travel first, texts for candidates only."""
     sets = written(open_nodes.join(sources, "node"))
-    frequent = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets))
-    rows = written(prefix_rows(sets, frequent))
-    pairs = written(_prefix_pairs(rows))
+    counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
+    rows = written(prefix_rows(sets, counts))
+    pairs = written(_possible(_prefix_pairs(rows), nodes))
     discard(rows)
     links = written(_verified(pairs, sources))
     discard(sets, pairs)
@@ -272,7 +299,7 @@ def _roots(buckets: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFram
         known = _merged(known, links)
     open_nodes = written(_open_members(buckets, known).select("node", "root").distinct())
     if not open_nodes.isEmpty():
-        known = _merged(known, _cross_links(open_nodes, sources))
+        known = _merged(known, _cross_links(open_nodes, nodes, sources))
     discard(open_nodes)
     return known
 
@@ -288,15 +315,15 @@ def _marked(docs: DataFrame) -> DataFrame:
     full = signed.where(F.col("n") > 0)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")  # NULL ids last
     node = F.xxhash64("k1", "k2", "n")
-    nodes = written(full.groupBy("k1", "k2", "n").agg(F.min(row).alias("rep"), F.first("bands").alias("bands")).select(node.alias("node"), "n", "rep", "bands"))
+    nodes = written(full.groupBy("k1", "k2", "n").agg(F.min(row).alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")).select(node.alias("node"), "n", "rep", "bands", "bits"))
     rows = saved(signed.select("doc_id", "text_hash", "n", node.alias("node")))
     discard(signed)
     buckets = written(_distinct_buckets(nodes.select("node", F.explode("bands").alias("bucket"))))
-    slim = written(nodes.select("node", "n", "rep"))
+    slim = written(nodes.select("node", "n", "rep", "bits"))
     discard(nodes)
     wanted = slim.join(buckets.select("node").distinct(), "node").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
     sources = written(_sources(docs, wanted))
-    roots = _roots(buckets, slim.select("node", "n"), sources)
+    roots = _roots(buckets, slim.select("node", "n", "bits"), sources)
     rooted = slim.select("node", "rep").join(roots, "node")
     labels = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("first")), "root")
     labels = saved(labels.select(F.col("node").alias("of"), "first"))

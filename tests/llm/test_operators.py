@@ -119,14 +119,27 @@ def test_prefix_join_loses_no_link(spark):
     nodes = spark.createDataFrame([(i, i, t) for i, t in enumerate(rows)], "node long, root long, text string")
     sets = [shingles(t) for t in rows]
     similar = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
-    for most in (1 << 20, 10, 0):
-        frequent = spark.sparkContext.broadcast(minmax_dedup.frequent_shingles(nodes, most) if most else np.zeros(0, np.uint64))
-        pairs = {(r.node, r.centre) for r in minmax_dedup._prefix_pairs(minmax_dedup.prefix_rows(nodes, frequent)).collect()}
+    for bits in (18, 3, 0):
+        counts = spark.sparkContext.broadcast(minmax_dedup.shingle_counts(nodes, bits))
+        pairs = {(r.node, r.centre) for r in minmax_dedup._prefix_pairs(minmax_dedup.prefix_rows(nodes, counts)).collect()}
         assert similar <= pairs
-        if most > 10:
+        if bits == 18:
             assert not any(i >= 100 and j >= 100 for i, j in pairs)
 
 
+def test_bits_rule_out_no_similar_pair(spark):
+    rng = np.random.default_rng(12)
+    base = mix(np.arange(500, dtype=np.uint64))
+    sets = [np.unique(rng.choice(base, int(rng.integers(1, 300)), replace=False)) for _ in range(40)]
+    sets += [np.unique(np.concatenate([x[int(rng.integers(0, 12)):], mix(rng.integers(0, 1 << 60, int(rng.integers(0, 12))).astype(np.uint64))])) for x in sets if len(x) > 12]
+    words = minmax_dedup.parity_bits(sets)
+    pairs = [(i, j, len(sets[i]), words[i].tolist(), len(sets[j]), words[j].tolist()) for i, j in itertools.combinations(range(len(sets)), 2)]
+    df = spark.createDataFrame(pairs, "i int, j int, n long, b array<long>, cn long, cb array<long>")
+    kept = {(r.i, r.j) for r in df.where(minmax_dedup._may_be_similar("n", "b", "cn", "cb")).collect()}
+    similar = {(i, j) for i, j, *_ in pairs if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert similar and similar <= kept and len(kept) < 3 * len(similar)
+
+
 def test_min_max_values_estimate_similarity():
     a, b = mix(np.arange(0, 900, dtype=np.uint64)), mix(np.arange(300, 1200, dtype=np.uint64))
     s = minmax_dedup.min_max_signatures([a, b])
