@@ -322,12 +322,6 @@ def _cust_points(spark, sf_dir):
     return pts
 
 
-@register("dbscan")
-def dbscan(spark, sf_dir):
-    """K3: DBSCAN (eps 0.5, 5 samples) of customers; noise = -1."""
-    return nb.dbscan(_cust_points(spark, sf_dir), "c_custkey", 0.5, 5)
-
-
 _CZ = f"""
   WITH f AS ({derived.CUSTOMER_FEATURES_SQL}),
   st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _CF)} FROM f),
@@ -335,13 +329,47 @@ _CZ = f"""
 _SQD = " + ".join(f"(x.{c} - y.{c}) * (x.{c} - y.{c})" for c in _CF)
 
 
+# Core points and their components; a border point joins the cluster with the
+# smallest first core key near it.
+_DBSCAN_SQL = f"""{_CZ.replace("WITH f", "WITH RECURSIVE f", 1)},
+  near AS MATERIALIZED (SELECT x.k AS a, y.k AS b FROM z x JOIN z y ON sqrt({_SQD}) <= 0.5),
+  core AS MATERIALIZED (SELECT a AS k FROM near GROUP BY a HAVING count(*) >= 5),
+  link AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (SELECT k FROM core) AND b IN (SELECT k FROM core)),
+  reach(a, b) AS (SELECT k, k FROM core UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+  comp AS MATERIALIZED (SELECT a AS k, min(b) AS first FROM reach GROUP BY a),
+  num AS (SELECT first, row_number() OVER (ORDER BY first) - 1 AS cluster FROM (SELECT DISTINCT first FROM comp)),
+  lab AS (SELECT n.a AS k, min(first) AS first FROM near n JOIN comp c ON c.k = n.b GROUP BY n.a),
+  out AS (SELECT z.k AS c_custkey, CAST(coalesce(num.cluster, -1) AS INTEGER) AS cluster, core.k IS NOT NULL AS is_core
+          FROM z LEFT JOIN core ON core.k = z.k LEFT JOIN lab ON lab.k = z.k LEFT JOIN num ON num.first = lab.first)"""
+
+
+@register("dbscan", sql=f"{_DBSCAN_SQL} SELECT * FROM out")
+def dbscan(spark, sf_dir):
+    """K3: DBSCAN (eps 0.5, 5 samples) of customers; noise = -1."""
+    return nb.dbscan(_cust_points(spark, sf_dir), "c_custkey", 0.5, 5, whole_counts=False)
+
+
+@register("dbscan_report", sql=f"""{_DBSCAN_SQL},
+  c AS (SELECT z.*, out.cluster FROM z JOIN out ON out.c_custkey = z.k WHERE out.cluster >= 0),
+  pd AS (SELECT x.k, x.cluster AS own, y.cluster AS other, sum({_SQD}) AS sd, count(*) AS n FROM c x JOIN c y ON x.k <> y.k GROUP BY 1, 2, 3),
+  ab AS (SELECT k, max(CASE WHEN own = other THEN sd / n END) AS a, min(CASE WHEN own <> other THEN sd / n END) AS b FROM pd GROUP BY k),
+  s AS (SELECT CASE WHEN count(DISTINCT cluster) > 1 THEN avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END) END AS silhouette FROM c LEFT JOIN ab USING (k))
+  SELECT count(DISTINCT cluster) FILTER (cluster >= 0) AS n_clusters, count(*) FILTER (cluster < 0) AS n_noise,
+         count(*) FILTER (cluster < 0) / count(*) AS noise_share, any_value(s.silhouette) AS silhouette FROM out, s
+""", round_cols=["silhouette", "noise_share"])
+def dbscan_report(spark, sf_dir):
+    """K3: cluster and noise counts, and the squared silhouette without noise."""
+    pts = _cust_points(spark, sf_dir)
+    return nb.dbscan_report(pts, nb.dbscan(pts, "c_custkey", 0.5, 5, whole_counts=False), "c_custkey")
+
+
 @register("dbscan_degrees", sql=f"""{_CZ}
   SELECT x.k AS c_custkey, count(*) AS n_neighbors, count(*) >= 5 AS is_core
   FROM z x JOIN z y ON sqrt({_SQD}) <= 0.5 GROUP BY x.k
 """)
 def dbscan_degrees(spark, sf_dir):
     """K3 check: eps-neighbour counts and core flags."""
-    return nb.dbscan(_cust_points(spark, sf_dir), "c_custkey", 0.5, 5).select("c_custkey", "n_neighbors", "is_core")
+    return nb.eps_degrees(_cust_points(spark, sf_dir), "c_custkey", 0.5, 5)
 
 
 @register("silhouette", sql=f"""{_CZ},
