@@ -1,6 +1,6 @@
 """Market-basket mining (B1-B5): transactions, frequent item sets by
-MLlib's parallel FP-Growth, and association rules for every split of each
-frequent set (multi-item consequents), built as DataFrame joins.
+MLlib's parallel FP-Growth, and association rules with consequents of any
+size, grown level by level as DataFrame joins.
 
 Support denominators are the transactions that survive the item-frequency
 filter (a transaction made only of rare items disappears)."""
@@ -14,6 +14,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .joins import bounded_broadcast
 
 _SEP = "\u0001"
@@ -61,30 +62,48 @@ def frequent_itemsets(transactions: DataFrame, min_support: float = 0.01, max_le
 
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.01, min_lift: float = 0.01
                       ) -> DataFrame:
-    """Every non-empty proper split A → C of every frequent set.
-
-    Splits come from bit masks ``1 .. 2^m - 2`` over the sorted items; the
-    supports of A and C are equi-joins on the item-set key (every subset
-    of a frequent set is frequent, so the joins always hit)."""
-    key = F.array_join("items", _SEP)
-    sup = itemsets.select(key.alias("_k"), F.col("support").alias("_s"))
-    big = itemsets.filter(F.col("size") >= 2)
-    masks = big.select("items", "support", F.explode(
-        F.expr("sequence(CAST(1 AS BIGINT), shiftleft(CAST(1 AS BIGINT), size) - 2)")).alias("mask"))
-    split = masks.select(
-        "support",
-        F.expr("filter(items, (x, i) -> ((mask >> i) & 1) = 1)").alias("ante"),
-        F.expr("filter(items, (x, i) -> ((mask >> i) & 1) = 0)").alias("cons"))
-    sa = sup.select(F.col("_k").alias("a_key"), F.col("_s").alias("a_sup"))
-    sc = sup.select(F.col("_k").alias("c_key"), F.col("_s").alias("c_sup"))
-    j = (split.withColumn("a_key", F.array_join("ante", _SEP)).withColumn("c_key", F.array_join("cons", _SEP))
-         .join(sa, "a_key").join(sc, "c_key"))
+    """Every rule A → C of a frequent set whose confidence is reached,
+    C of any size.
+
+    Consequents grow level by level: if A → C misses the confidence, so does
+    every rule of the same set with a larger C, because its antecedent is
+    smaller and not rarer. A level's consequents are pairs of the level before
+    that differ in their last item, so a set of m items costs what its rules
+    cost and not 2^m splits. The supports of antecedents and consequents are
+    equi-joins on the item-set key. The lift filter is applied at the end: it
+    is not monotone."""
+    ensure_checkpoint_dir(itemsets.sparkSession)
+    key = lambda c: F.array_join(c, _SEP)
+    sup = itemsets.select(key("items").alias("a_key"), F.col("support").alias("a_sup"))
+    big = itemsets.where(F.col("size") >= 2).select("items", "support", "size")
+
+    def confident(splits: DataFrame) -> DataFrame:
+        ante = F.array_except("items", "cons")
+        joined = splits.withColumn("ante", ante).withColumn("a_key", key("ante")).join(sup, "a_key")
+        return joined.where(F.col("support") / F.col("a_sup") >= F.lit(min_confidence)).select("items", "support", "size", "ante", "cons", "a_sup")
+
+    level = confident(big.withColumn("cons", F.explode(F.transform("items", lambda x: F.array(x))))).checkpoint()
+    levels, n = [level], 1
+    while True:
+        n += 1
+        parts = level.where(F.col("size") > n).select("items", "support", "size", F.slice("cons", 1, n - 2).alias("head"), F.element_at("cons", -1).alias("tail"))
+        other = parts.select(key("items").alias("set_key"), F.col("head").alias("o_head"), F.col("tail").alias("o_tail"))
+        same = (key("items") == F.col("set_key")) & (F.col("head") == F.col("o_head")) & (F.col("tail") < F.col("o_tail"))
+        grown = parts.join(other, same).select("items", "support", "size", F.concat("head", F.array("tail", "o_tail")).alias("cons"))
+        level = confident(grown).checkpoint()
+        if level.isEmpty():
+            break
+        levels.append(level)
+    rules = levels[0]
+    for more in levels[1:]:
+        rules = rules.unionByName(more)
+    rules = rules.withColumn("c_key", key("cons")).join(sup.select(F.col("a_key").alias("c_key"), F.col("a_sup").alias("c_sup")), "c_key")
     conf = F.col("support") / F.col("a_sup")
     lift = conf / F.col("c_sup")
-    rules = j.select(F.array_join("ante", ", ").alias("antecedents"), F.array_join("cons", ", ").alias("consequents"),
-                     "support", conf.alias("confidence"), lift.alias("lift"),
-                     F.col("a_sup").alias("antecedent_support"), F.col("c_sup").alias("consequent_support"))
-    return rules.filter((F.col("confidence") >= F.lit(min_confidence)) & (F.col("lift") >= F.lit(min_lift)))
+    out = rules.select(F.array_join("ante", ", ").alias("antecedents"), F.array_join("cons", ", ").alias("consequents"),
+                       "support", conf.alias("confidence"), lift.alias("lift"),
+                       F.col("a_sup").alias("antecedent_support"), F.col("c_sup").alias("consequent_support"))
+    return out.where(F.col("lift") >= F.lit(min_lift))
 
 
 def top_rules(rules: DataFrame, n: int = 20, label_top: int = 5) -> DataFrame:
