@@ -8,13 +8,13 @@ solver; lasso ``regParam = alpha``; features never re-standardised."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, LinearRegression, RandomForestRegressor)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluate as ev
+from . import margins
 from .classify import FOREST_DEFAULT_DEPTH, MAX_TREE_DEPTH, ModelResult, prepare
 from .features import fit_kernel_map
 
@@ -83,55 +83,42 @@ def random_forest_regression(df: DataFrame, target: str, key: str, features=None
     return _finish(p, m.transform(p.test), key, m)
 
 
+def fit_svr(rows: DataFrame, dim: int, n: int, C: float = 1.0, epsilon: float = 0.1, accuracy: float = margins.ACCURACY) -> dict:
+    """Weights of ``1 / (2 C n) |w|^2`` plus the mean epsilon-insensitive loss
+    for rows ``z, y``, with the ``objective`` reached."""
+
+    def loss(f, batch, mu):
+        r = f - batch.column(1).to_numpy()[:, None]
+        value, slope = margins.corner(np.abs(r) - epsilon, mu)
+        return value, slope * np.sign(r)
+
+    got = margins.fit(rows, dim, np.array([float(n)]), loss, C, accuracy)
+    return got | {"w": got["w"][0], "b": float(got["b"][0]), "objective": float(got["objective"][0])}
+
+
 def support_vector_regression(df: DataFrame, target: str, key: str, features=None, kernel: str = "rbf",
-                              C: float = 1.0, epsilon: float = 0.1, gamma="scale", iterations: int = 30,
-                              ) -> ModelResult:
+                              C: float = 1.0, epsilon: float = 0.1, gamma="scale") -> ModelResult:
     """Epsilon-insensitive SVR on the standardised target (predictions
-    inverse-scaled), kernel approximated by an explicit feature map.
-
-    Full-batch subgradient descent: each iteration sums the per-row
-    gradients in Spark (``mapInPandas`` per partition → one vector per
-    partition → sum); only the weight vector lives on the driver."""
+    inverse-scaled), kernel approximated by an explicit feature map; solved to
+    its optimum by L-BFGS with gradients summed in Spark. The metrics carry
+    ``converged`` and the ``objective`` reached."""
     p = prepare(df, target, key, features, stratify=False, encode=False)
     ys = p.train.agg(F.avg("label").alias("m"), F.stddev_pop("label").alias("s"), F.count(F.lit(1)).alias("n")).first()
     y_m, y_s, n = ys["m"], (ys["s"] or 1.0), ys["n"]
     km = fit_kernel_map(p.train, kernel, gamma, key=key)
-    tr = km.transform(p.train).select(vector_to_array("kfeatures").alias("z"),
-                                      ((F.col("label") - y_m) / y_s).alias("y")).cache()
-    dim = len(tr.first()["z"])
-    w = np.zeros(dim)
-    b = 0.0
-    lam = 1.0 / (C * n)
-    for it in range(iterations):
-        w_b, b_b = w.copy(), b
-
-        def grad(batches, w_b=w_b, b_b=b_b):
-            g = np.zeros(dim + 1)
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                z = np.vstack(pdf["z"].to_numpy())
-                r = z @ w_b + b_b - pdf["y"].to_numpy()
-                s = np.where(r > epsilon, 1.0, np.where(r < -epsilon, -1.0, 0.0))
-                g[:dim] += z.T @ s
-                g[dim] += s.sum()
-            yield pd.DataFrame({"g": [g.tolist()]})
-
-        parts = tr.mapInPandas(grad, "g array<double>")
-        tot = parts.agg(F.array(*[F.sum(F.col("g")[i]) for i in range(dim + 1)]).alias("t")).first()["t"]
-        gvec = np.array(tot) / n
-        step = 1.0 / (1.0 + it) ** 0.5
-        w = w - step * (gvec[:dim] + lam * w)
-        b = b - step * gvec[dim]
-    tr.unpersist()
+    rows = km.transform(p.train).select(vector_to_array("kfeatures").alias("z"), ((F.col("label") - y_m) / y_s).alias("y"))
+    dim = len(rows.first()["z"])
+    rows = margins.packed(rows, n, dim)
+    fit = fit_svr(rows, dim, n, C, epsilon)
+    rows.unpersist()
     te = km.transform(p.test)
-    wl = [float(x) for x in w]
+    wl, b = [float(x) for x in fit["w"]], fit["b"]
     pred = te.withColumn("_z", vector_to_array("kfeatures")).withColumn(
         "prediction",
         (F.aggregate(F.zip_with("_z", F.array(*[F.lit(x) for x in wl]), lambda a, c: a * c),
                      F.lit(0.0), lambda acc, v: acc + v) + F.lit(b)) * F.lit(y_s) + F.lit(y_m))
-    res = _finish(p, pred, key, {"w": wl, "b": b, "kernel": km})
-    res.metrics = res.metrics.withColumn("approximate", F.lit(True))
+    res = _finish(p, pred, key, {"w": wl, "b": b, "kernel": km, "passes": fit["passes"]})
+    res.metrics = res.metrics.withColumns({"approximate": F.lit(True), "converged": F.lit(fit["converged"]), "objective": F.lit(fit["objective"])})
     return res
 
 
