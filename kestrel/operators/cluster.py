@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import prep
+from .passes import matrices, summed
 
 
 @dataclass
@@ -112,42 +113,146 @@ def kmeans_assign(points: DataFrame, key: str, feats: list, centroids: list[list
     return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in feats])
 
 
-def kmeans_k_scan(df: DataFrame, key: str, features=None, k_range=range(2, 11), seed: int = 42,
-                  n_init: int = 10, parallelism: int | None = None) -> DataFrame:
-    """K5: inertia (best of ``n_init`` starts) and silhouette per k on one
-    cached vector table; ``suggested`` marks the best silhouette.
-
-    The (k, start) fits are independent Spark jobs; they are submitted
-    concurrently from a thread pool (as ``CrossValidator(parallelism=)``
-    does), so small fits share the cluster instead of queueing."""
-    from concurrent.futures import ThreadPoolExecutor
-    pts, _ = prepare(df, key, features)
-    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
-    pts.count()
-    par = parallelism or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+class _Scan:
+    """All centres of a scan side by side: model ``m`` owns rows
+    ``start[m]:start[m + 1]`` of ``centres``."""
+
+    def __init__(self, sizes: list[int], centres: np.ndarray):
+        self.start = np.concatenate([[0], np.cumsum(sizes)])
+        self.centres = centres
+
+    def nearest(self, x: np.ndarray, models) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each of ``models`` the nearest centre of each row and its squared
+        distance, from one product with all their centres."""
+        at = np.concatenate([np.arange(self.start[m], self.start[m + 1]) for m in models])
+        c = self.centres[at]
+        sq = np.maximum((x**2).sum(axis=1)[:, None] - 2 * (x @ c.T) + (c**2).sum(axis=1)[None], 0)
+        out, lo = {}, 0
+        for m in models:
+            hi = lo + self.start[m + 1] - self.start[m]
+            j = sq[:, lo:hi].argmin(axis=1)
+            out[m] = (j, sq[np.arange(len(x)), lo + j])
+            lo = hi
+        return out
+
+
+def _plus_plus(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ starting centres from a sample."""
+    centres = [sample[rng.integers(len(sample))]]
+    far = ((sample - centres[0]) ** 2).sum(axis=1)
+    for _ in range(k - 1):
+        total = far.sum()
+        at = rng.choice(len(sample), p=far / total) if total > 0 else rng.integers(len(sample))
+        centres.append(sample[at])
+        far = np.minimum(far, ((sample - centres[-1]) ** 2).sum(axis=1))
+    return np.array(centres)
 
-    def fit(args):
-        k, s = args
-        m = KMeans(k=k, seed=seed + s, featuresCol="features", predictionCol="cluster").fit(pts)
-        return k, m
 
-    jobs = [(int(k), s) for k in k_range for s in range(n_init)]
-    best = {}
-    with ThreadPoolExecutor(max_workers=par) as pool:
-        for k, m in pool.map(fit, jobs):
-            if k not in best or m.summary.trainingCost < best[k].summary.trainingCost:
-                best[k] = m
-
-    def score(k):
-        return k, silhouette_squared(best[k].transform(pts)).first()["silhouette"]
-
-    with ThreadPoolExecutor(max_workers=par) as pool:
-        sil = dict(pool.map(score, sorted(best)))
-    rows = [(k, float(best[k].summary.trainingCost), sil[k]) for k in sorted(best)]
-    pts.unpersist()
-    res = df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
-    top = max((r for r in rows if r[2] is not None), key=lambda r: r[2], default=None)
-    return res.withColumn("suggested", F.col("k") == F.lit(top[0] if top else -1))
+def kmeans_k_scan(df: DataFrame, key: str, features=None, k_range=range(2, 11), seed: int = 42,
+                  n_init: int = 10, tol: float = 1e-4, max_iter: int = 300, start_sample: int = 20_000) -> DataFrame:
+    """K5: inertia (best of ``n_init`` starts) and silhouette per k; ``suggested``
+    marks the best silhouette, ``converged`` whether the best start settled.
+
+    All (k, start) fits advance together: an iteration is one pass that
+    compares each row with the centres of every fit still moving and returns
+    their sums. Starts are k-means++ on a sample of ``start_sample`` rows by
+    hash; a fit ends when no centre moves by more than ``tol``. One more pass
+    gives the silhouettes (squared distance, linear) of the best fits."""
+    pts, _ = prepare(df, key, features)
+    rows = pts.select(vector_to_array("features").alias("x"), F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("h")).persist(StorageLevel.MEMORY_AND_DISK)
+    n = rows.count()
+    ks = [int(k) for k in k_range]
+    spark = df.sparkSession
+    if not n:
+        return spark.createDataFrame([], "k int, inertia double, silhouette double, suggested boolean, converged boolean")
+    sample = np.array([r["x"] for r in rows.orderBy("h").limit(start_sample).select("x").collect()])
+    rng = np.random.default_rng(seed)
+    sizes = [k for k in ks for _ in range(n_init)]
+    scan = _Scan(sizes, np.concatenate([_plus_plus(sample, k, rng) for k in sizes]))
+    d, total = sample.shape[1], len(scan.centres)
+    rows = rows.select("x")
+    inertia, moving, settled = np.full(len(sizes), np.inf), list(range(len(sizes))), np.zeros(len(sizes), bool)
+    for _ in range(max_iter + 1):
+
+        def sums(batches, scan=scan, moving=tuple(moving)):
+            out, cost = np.zeros((total, d + 1)), np.zeros(len(sizes))
+            for x in matrices(batches):
+                for m, (j, dist) in scan.nearest(x, moving).items():
+                    own = np.zeros((len(x), sizes[m]))
+                    own[np.arange(len(x)), j] = 1
+                    out[scan.start[m]:scan.start[m + 1], :d] += own.T @ x
+                    out[scan.start[m]:scan.start[m + 1], d] += own.sum(axis=0)
+                    cost[m] += dist.sum()
+            return np.concatenate([out.ravel(), cost])
+
+        got = summed(rows, sums, total * (d + 1) + len(sizes))
+        cells, cost = got[:total * (d + 1)].reshape(total, d + 1), got[total * (d + 1):]
+        after, still = scan.centres.copy(), []
+        for m in moving:
+            inertia[m] = cost[m]
+            at = slice(scan.start[m], scan.start[m + 1])
+            full = cells[at, d] > 0  # a centre without rows stays where it is
+            new = np.where(full[:, None], cells[at, :d] / np.maximum(cells[at, d:], 1), scan.centres[at])
+            if ((new - scan.centres[at]) ** 2).sum(axis=1).max() > tol * tol:
+                after[at] = new
+                still.append(m)
+            else:
+                settled[m] = True
+        scan, moving = _Scan(sizes, after), still
+        if not moving:
+            break
+    best = [min(range(i * n_init, (i + 1) * n_init), key=lambda m: inertia[m]) for i in range(len(ks))]
+    sil = _scan_silhouettes(rows, scan, best, d)
+    rows.unpersist()
+    table = [(k, float(inertia[m]), sil[m], bool(settled[m])) for k, m in zip(ks, best, strict=True)]
+    res = spark.createDataFrame(table, "k int, inertia double, silhouette double, converged boolean")
+    top = max((r for r in table if r[2] is not None), key=lambda r: r[2], default=None)
+    return res.select("k", "inertia", "silhouette", (F.col("k") == F.lit(top[0] if top else -1)).alias("suggested"), "converged")
+
+
+def _scan_silhouettes(rows: DataFrame, scan: _Scan, models: list[int], d: int) -> dict[int, float | None]:
+    """Mean squared-distance silhouette of each model in two shared passes: the
+    clusters' counts, sums and sums of squares, then the mean over rows."""
+    sizes = {m: scan.start[m + 1] - scan.start[m] for m in models}
+    lo = dict(zip(models, np.cumsum([0, *[sizes[m] for m in models]]), strict=False))
+    total = sum(sizes.values())
+
+    def moments(batches):
+        out = np.zeros((total, d + 2))
+        for x in matrices(batches):
+            sq = (x**2).sum(axis=1)
+            for m, (j, _) in scan.nearest(x, models).items():
+                own = np.zeros((len(x), sizes[m]))
+                own[np.arange(len(x)), j] = 1
+                out[lo[m]:lo[m] + sizes[m]] += own.T @ np.column_stack([x, sq, np.ones(len(x))])
+        return out.ravel()
+
+    cells = summed(rows, moments, total * (d + 2)).reshape(total, d + 2)
+
+    def scores(batches):
+        out = np.zeros(len(models) * 2)
+        for x in matrices(batches):
+            sq = (x**2).sum(axis=1)
+            near = scan.nearest(x, models)
+            for i, m in enumerate(models):
+                own = cells[lo[m]:lo[m] + sizes[m]]
+                full = np.flatnonzero(own[:, d + 1] > 0)
+                n, mean, msq = own[full, d + 1], own[full, :d] / own[full, d + 1:], own[full, d] / own[full, d + 1]
+                dist = np.maximum(sq[:, None] - 2 * (x @ mean.T) + msq, 0)
+                j = np.searchsorted(full, near[m][0])
+                mine = dist[np.arange(len(x)), j].copy()
+                dist[np.arange(len(x)), j] = np.inf
+                other = dist.min(axis=1)
+                a = mine * n[j] / np.maximum(n[j] - 1, 1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = np.where(n[j] > 1, (other - a) / np.maximum(a, other), 0.0)
+                out[2 * i] += np.nan_to_num(s, nan=0.0, posinf=0.0, neginf=0.0).sum()
+                out[2 * i + 1] += len(x)
+        return out
+
+    got = summed(rows, scores, len(models) * 2).reshape(-1, 2)
+    several = {m: (cells[lo[m]:lo[m] + sizes[m], d + 1] > 0).sum() > 1 for m in models}
+    return {m: float(got[i, 0] / got[i, 1]) if several[m] else None for i, m in enumerate(models)}
 
 
 def gaussian_mixture(df: DataFrame, key: str, features=None, k: int = 3, seed: int = 42) -> ClusterResult:
@@ -175,12 +280,12 @@ def pca_2d(df: DataFrame, key: str, features=None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- K2
-MAX_MICRO = 2000
+N_MICRO = 256
 
 
 def _agglomerate(centers: np.ndarray, weights: np.ndarray, k: int, linkage: str) -> np.ndarray:
     """Lance-Williams agglomeration of weighted points down to k groups;
-    returns the group of every input point (m <= MAX_MICRO)."""
+    returns the group of every input point."""
     m = len(centers)
     diff = centers[:, None, :] - centers[None, :, :]
     sq = np.einsum("ijk,ijk->ij", diff, diff)
@@ -223,38 +328,26 @@ def _agglomerate(centers: np.ndarray, weights: np.ndarray, k: int, linkage: str)
 
 
 def hierarchical(df: DataFrame, key: str, features=None, k: int = 3, linkage: str = "ward",
-                 max_micro: int = MAX_MICRO, seed: int = 42) -> ClusterResult:
-    """K2: agglomerative clustering in two stages: (i) distributed k-means to
-    at most ``max_micro`` weighted micro-clusters (exact points when there
-    are fewer rows), (ii) Lance-Williams merging of those (size independent
-    of the row count), (iii) a broadcast mapping back to rows."""
+                 n_micro: int = N_MICRO, seed: int = 42) -> ClusterResult:
+    """K2: agglomerative clustering in two stages, the same at every size:
+    distributed k-means to ``n_micro`` weighted micro-clusters, Lance-Williams
+    merging of those centres (a bounded set, whatever the table is), and a
+    broadcast mapping back to the rows. The metrics carry ``approximate``."""
     pts, _ = prepare(df, key, features)
-    pts = pts.cache()
-    n = pts.count()
-    dim = len(pts.first()["features"])
-    if n <= max_micro:
-        # few rows: every row is its own micro-cluster (exact agglomeration)
-        micro = pts.withColumn("micro", F.dense_rank().over(Window.orderBy(key)) - 1)
-        km = None
-    else:
-        km = KMeans(k=max_micro, seed=seed, featuresCol="features", predictionCol="micro", maxIter=20).fit(pts)
-        micro = km.transform(pts)
-    micro = micro.select(key, F.col("micro").cast("int").alias("micro"), "features")
-    from pyspark.ml.stat import Summarizer
-    stats = micro.groupBy("micro").agg(F.count(F.lit(1)).alias("w"),
-                                       Summarizer.mean(F.col("features")).alias("c")).collect()
-    ids = [r["micro"] for r in stats]
-    centers = np.array([r["c"].toArray() for r in stats]).reshape(len(stats), dim)
-    weights = np.array([r["w"] for r in stats], float)
-    groups = _agglomerate(centers, weights, min(k, len(ids)), linkage)
-    mapping = df.sparkSession.createDataFrame([(int(i), int(g)) for i, g in zip(ids, groups)],
+    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
+    km = KMeans(k=n_micro, seed=seed, featuresCol="features", predictionCol="micro").fit(pts)
+    weights = np.array(km.summary.clusterSizes, float)
+    ids = np.flatnonzero(weights)
+    centers = np.array(km.clusterCenters())[ids]
+    groups = _agglomerate(centers, weights[ids], min(k, len(ids)), linkage)
+    mapping = df.sparkSession.createDataFrame([(int(i), int(g)) for i, g in zip(ids, groups, strict=True)],
                                               "micro int, cluster int")
-    out = micro.join(F.broadcast(mapping), "micro").select(key, "cluster", "features")
-    # renumber clusters by their smallest key
+    out = km.transform(pts).select(key, "micro", "features").join(F.broadcast(mapping), "micro").select(key, "cluster", "features")
+    # renumber the k clusters by their smallest key
     first = out.groupBy("cluster").agg(F.min(key).alias("_mk"))
     ren = first.select("cluster", (F.row_number().over(Window.orderBy("_mk")) - 1).alias("_c"))
     out = out.join(F.broadcast(ren), "cluster").select(key, F.col("_c").alias("cluster"), "features")
     sil = silhouette_squared(out).first()["silhouette"]
     metrics = df.sparkSession.createDataFrame(
-        [(int(k), linkage, int(len(ids)), sil)], "k int, linkage string, n_micro int, silhouette double")
+        [(int(k), linkage, int(len(ids)), sil, True)], "k int, linkage string, n_micro int, silhouette double, approximate boolean")
     return ClusterResult(out.select(key, "cluster"), metrics, km)
