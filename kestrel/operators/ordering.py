@@ -1,103 +1,84 @@
 """Global order without a single-partition window.
 
 ``Window.orderBy`` with no partition key makes Spark move every row to one
-task. Here the order key is cut into contiguous ranges at approximate
-quantiles (a driver-side list whose length is the number of ranges, not the
-number of rows); each range is a window partition, and what crosses range
-boundaries (row offsets, the last non-missing value) is a per-range
-aggregate: one small row per range, combined by a window over that small
-table and broadcast back.
-
-The range id is a deterministic function of the key value, so recomputing
-a lost partition reproduces the same assignment (no dependence on physical
-partitioning, no local checkpoint).
+task. Here the rows are range partitioned on the whole order tuple (any
+orderable types; Spark samples the cuts) and sorted within their ranges, so a
+value that very many rows share is split by the columns behind it, and by a
+hash of the row behind those. The ranges are written once to the checkpoint
+folder with each row's place in its range; what crosses range borders (row
+offsets, the last non-missing value, totals) is one small row a range, combined
+by a window over that small table and broadcast back.
+
+Writing the ranges once matters twice: the source is read once however many
+branches use them, and a lost executor reads the same ranges again instead of
+sampling others.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-RANGE_COL = "_kr_range"
+from ..session import ensure_checkpoint_dir
 
+RANGE_COL = "_kr_range"
+PLACE_COL = "_kr_place"
+_PLACE_BITS = 33  # of monotonically_increasing_id
 
-def _default_ranges(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 
+def _order_cols(order_by):
+    return [F.col(c) if isinstance(c, str) else c for c in order_by]
 
-def _numeric_key(df: DataFrame, key: str) -> Column:
-    dt = df.schema[key].dataType
-    c = F.col(key)
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dt, T.TimestampNTZType):
-        return F.unix_micros(c.cast("string").cast("timestamp")).cast("double")
-    if isinstance(dt, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    return c.cast("double")
 
+def in_ranges(df: DataFrame, order_by, n_ranges: int | None = None) -> DataFrame:
+    """``df`` with ``_kr_range`` and ``_kr_place``: rows in the order of
+    ``order_by`` have ascending ranges, and ascending places from 0 inside one."""
+    ensure_checkpoint_dir(df.sparkSession)
+    order = _order_cols(order_by)
+    split = [F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not f.dataType.simpleString().startswith(("map", "variant"))])]
+    cut = df.repartitionByRange(n_ranges, *order, *split) if n_ranges else df.repartitionByRange(*order, *split)
+    at = F.monotonically_increasing_id()
+    placed = cut.sortWithinPartitions(*order, *split).withColumn("_kr_at", at)
+    placed = placed.withColumn(RANGE_COL, F.shiftright("_kr_at", _PLACE_BITS).cast("int")).withColumn(PLACE_COL, F.col("_kr_at").bitwiseAND((1 << _PLACE_BITS) - 1))
+    return placed.drop("_kr_at").checkpoint()
 
-def with_range_id(df: DataFrame, key: str, n_ranges: int | None = None) -> DataFrame:
-    """Add ``_kr_range``: the index of the quantile range holding ``key``.
 
-    Ranges are monotone in ``key`` so rows with equal keys share a range.
-    The cut points are an approximate-percentile aggregate (one small row
-    reaches the driver)."""
-    n = n_ranges or _default_ranges(df)
-    probs = [i / n for i in range(1, n)]
-    k = _numeric_key(df, key)
-    row = df.agg(F.percentile_approx(k, probs, 10000).alias("q")).first()
-    cuts = sorted(set(x for x in (row["q"] or []) if x is not None))
-    rid = F.lit(0)
-    for c in cuts:
-        rid = rid + F.when(k > F.lit(c), 1).otherwise(0)
-    # NULL keys sort first (ascending order): range -1
-    return df.withColumn(RANGE_COL, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(rid))
+def _earlier(ranged: DataFrame, aggs: dict[str, Column]) -> DataFrame:
+    """Per range the sums of ``aggs`` over all earlier ranges (one row a range)."""
+    totals = ranged.groupBy(RANGE_COL).agg(*[a.alias(n) for n, a in aggs.items()])
+    before = Window.orderBy(RANGE_COL).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(RANGE_COL, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in aggs])
 
 
-def _order_cols(order_by):
-    return [F.col(c) if isinstance(c, str) else c for c in order_by]
+def global_row_number(df: DataFrame, order_by: list, name: str = "row_no",
+                      n_ranges: int | None = None) -> DataFrame:
+    """1-based row number over the whole table in ``order_by`` order: a row's
+    place plus the rows of the ranges before it."""
+    ranged = in_ranges(df, order_by, n_ranges)
+    offsets = _earlier(ranged, {"_kr_off": F.count(F.lit(1))})
+    return (ranged.join(F.broadcast(offsets), RANGE_COL)
+            .withColumn(name, F.col("_kr_off") + F.col(PLACE_COL) + 1)
+            .drop("_kr_off", RANGE_COL, PLACE_COL))
 
 
-def global_row_number(df: DataFrame, order_by: list[str], name: str = "row_no",
-                      n_ranges: int | None = None) -> DataFrame:
-    """1-based row number over the whole table in ``order_by`` order
-    (first column numeric; ties broken by the remaining columns)."""
-    ranged = with_range_id(df, order_by[0], n_ranges)
-    counts = ranged.groupBy(RANGE_COL).agg(F.count(F.lit(1)).alias("_kr_n"))
-    offsets = counts.select(
-        RANGE_COL,
-        (F.sum("_kr_n").over(Window.orderBy(RANGE_COL).rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_kr_off"))
-    local = F.row_number().over(Window.partitionBy(RANGE_COL).orderBy(*_order_cols(order_by)))
-    return (ranged.withColumn("_kr_local", local)
-            .join(F.broadcast(offsets), RANGE_COL)
-            .withColumn(name, F.coalesce(F.col("_kr_off"), F.lit(0)) + F.col("_kr_local"))
-            .drop("_kr_local", "_kr_off", RANGE_COL))
-
-
-def global_fill(df: DataFrame, columns: list[str], order_by: list[str], backward: bool = False,
+def global_fill(df: DataFrame, columns: list[str], order_by: list, backward: bool = False,
                 n_ranges: int | None = None) -> DataFrame:
     """Forward (or backward) fill of ``columns`` in the global ``order_by``
     order. Within a range: ``last/first(ignorenulls)`` over a running frame;
     across ranges: the last (first) non-missing value of each range, carried
     by a window over the per-range table."""
-    ranged = with_range_id(df, order_by[0], n_ranges)
-    order = _order_cols(order_by)
-    w = Window.partitionBy(RANGE_COL).orderBy(*order)
+    ranged = in_ranges(df, order_by, n_ranges)
+    w = Window.partitionBy(RANGE_COL).orderBy(PLACE_COL)
     if backward:
         frame = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     else:
         frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    key = F.struct(*order)
     edge_aggs, locals_ = [], {}
     for c in columns:
         fill = F.first(c, ignorenulls=True) if backward else F.last(c, ignorenulls=True)
         locals_[c] = fill.over(frame)
         pick = F.min_by if backward else F.max_by
-        edge_aggs.append(pick(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"_kr_edge_{c}"))
+        edge_aggs.append(pick(F.col(c), F.when(F.col(c).isNotNull(), F.col(PLACE_COL))).alias(f"_kr_edge_{c}"))
     edges = ranged.groupBy(RANGE_COL).agg(*edge_aggs)
     wr = Window.orderBy(F.col(RANGE_COL).desc() if backward else F.col(RANGE_COL))
     carry_cols = [RANGE_COL]
@@ -110,27 +91,19 @@ def global_fill(df: DataFrame, columns: list[str], order_by: list[str], backward
     out = out.join(F.broadcast(carries), RANGE_COL)
     for c in columns:
         out = out.withColumn(c, F.coalesce(F.col(f"_kr_loc_{c}"), F.col(f"_kr_carry_{c}")))
-    return out.drop(RANGE_COL, *[f"_kr_loc_{c}" for c in columns], *[f"_kr_carry_{c}" for c in columns])
-
-
-def rank_key(col: str | Column) -> Column:
-    return F.col(col) if isinstance(col, str) else col
+    return out.drop(RANGE_COL, PLACE_COL, *[f"_kr_loc_{c}" for c in columns], *[f"_kr_carry_{c}" for c in columns])
 
 
 def global_cumsum(df: DataFrame, order_by: str, columns: list[str], descending: bool = False,
                   n_ranges: int | None = None) -> DataFrame:
     """Running sums (inclusive) of ``columns`` in ``order_by`` order over
     the whole table: per-range running sums plus the totals of the earlier
-    ranges (a per-range table combined by a small window)."""
-    src = df.withColumn("_kr_key", -F.col(order_by) if descending else F.col(order_by))
-    ranged = with_range_id(src, "_kr_key", n_ranges)
-    totals = ranged.groupBy(RANGE_COL).agg(*[F.sum(c).alias(f"_kr_t_{c}") for c in columns])
-    prev = totals.select(RANGE_COL, *[
-        F.coalesce(F.sum(f"_kr_t_{c}").over(Window.orderBy(RANGE_COL).rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias(f"_kr_p_{c}") for c in columns])
-    w = Window.partitionBy(RANGE_COL).orderBy("_kr_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges."""
+    ranged = in_ranges(df, [F.col(order_by).desc() if descending else F.col(order_by)], n_ranges)
+    prev = _earlier(ranged, {f"_kr_p_{c}": F.sum(c) for c in columns})
+    w = Window.partitionBy(RANGE_COL).orderBy(PLACE_COL).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = ranged.select("*", *[F.sum(c).over(w).alias(f"_kr_l_{c}") for c in columns])
     out = out.join(F.broadcast(prev), RANGE_COL)
     for c in columns:
         out = out.withColumn(f"cum_{c}", F.col(f"_kr_l_{c}") + F.col(f"_kr_p_{c}"))
-    return out.drop(RANGE_COL, "_kr_key", *[f"_kr_l_{c}" for c in columns], *[f"_kr_p_{c}" for c in columns])
+    return out.drop(RANGE_COL, PLACE_COL, *[f"_kr_l_{c}" for c in columns], *[f"_kr_p_{c}" for c in columns])
