@@ -8,12 +8,17 @@ in the same job. Significance is ``p < 0.05``.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distributions as dist
+from ..session import ensure_checkpoint_dir
 from . import ordering
+from .graph import components
+from .passes import summed
 
 ALPHA = 0.05
 
@@ -76,55 +81,95 @@ def two_way_cells(df: DataFrame, value: str, factor_a: str, factor_b: str) -> Da
         F.coalesce(F.var_samp(value) * (F.count(value) - 1), F.lit(0.0)).alias("ss_within"))
 
 
-def two_way_anova(df: DataFrame, value: str, factor_a: str, factor_b: str) -> DataFrame:
+MAX_LEVELS = 1 << 22
+
+
+def _level_ids(cells: DataFrame, factor: str, name: str) -> DataFrame:
+    levels = ordering.global_row_number(cells.select(F.col(factor).alias(f"{name}_level")).distinct(), [f"{name}_level"], name)
+    return levels.withColumn(name, (F.col(name) - 1).cast("int"))
+
+
+def _additive_rss(cells: DataFrame, n_a: int, n_b: int, tol: float) -> float:
+    """Residual sum of squares of the additive model on the cells' means (``i, j,
+    n, mean``): conjugate gradients on the normal equations, diagonal
+    preconditioner; a product with the cells is one pass."""
+    total = n_a + n_b
+
+    def cell_arrays(batches):
+        for b in batches:
+            yield tuple(b.column(k).to_numpy() for k in range(4))
+
+    def both_sides(batches, weigh):
+        out = np.zeros(total)
+        for i, j, n, m in cell_arrays(batches):
+            v = weigh(i, j, n, m)
+            out[:n_a] += np.bincount(i, v, n_a)
+            out[n_a:] += np.bincount(j, v, n_b)
+        return out
+
+    def product(p):
+        return summed(cells, lambda batches: both_sides(batches, lambda i, j, n, m: n * (p[i] + p[n_a + j])), total)
+
+    diagonal = summed(cells, lambda batches: both_sides(batches, lambda i, j, n, m: n), total)
+    r = summed(cells, lambda batches: both_sides(batches, lambda i, j, n, m: n * m), total)
+    x, z = np.zeros(total), r / diagonal
+    p, rz, first = z, float(r @ z), float(r @ z)
+    while rz > tol * tol * first and first > 0:
+        q = product(p)
+        curve = float(p @ q)
+        if curve <= 0:  # the rest lies in the null space
+            break
+        x, r = x + rz / curve * p, r - rz / curve * q
+        z = r / diagonal
+        rz, old = float(r @ z), rz
+        p = z + rz / old * p
+
+    def rest(batches):
+        return [sum(float((n * (m - x[i] - x[n_a + j]) ** 2).sum()) for i, j, n, m in cell_arrays(batches))]
+
+    return float(summed(cells, rest, 1)[0])
+
+
+def two_way_anova(df: DataFrame, value: str, factor_a: str, factor_b: str, tol: float = 1e-9) -> DataFrame:
     """Two-way ANOVA with interaction, Type II sums of squares.
 
-    Spark computes the cell table (size a x b, independent of the row
-    count); the additive model's residual is a weighted least squares on
-    the cell means solved on the driver from that small table."""
-    cells = two_way_cells(df, value, factor_a, factor_b).collect()
+    The cell table stays in Spark however many levels there are; the additive
+    model is solved by conjugate gradients, so the driver holds one number a
+    level (at most ``MAX_LEVELS``, else an error) and no cell."""
     spark = df.sparkSession
     schema = "source string, sum_sq double, df double, f_stat double, p_value double, significant boolean"
-    if not cells:
+    ensure_checkpoint_dir(spark)
+    cells = two_way_cells(df, value, factor_a, factor_b).checkpoint()
+    whole = cells.agg(F.count("*").alias("cells"), F.sum("n").alias("n"), F.sum("ss_within").alias("ssw"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean")).first()
+    if not whole["cells"]:
         return spark.createDataFrame([], schema)
-    la = sorted({r[factor_a] for r in cells}, key=str)
-    lb = sorted({r[factor_b] for r in cells}, key=str)
-    n = np.array([r["n"] for r in cells], float)
-    m = np.array([r["mean"] for r in cells], float)
-    ssw = float(sum(r["ss_within"] for r in cells))
-    ia = np.array([la.index(r[factor_a]) for r in cells])
-    ib = np.array([lb.index(r[factor_b]) for r in cells])
-    N = n.sum()
-
-    def rss(design):
-        if design.shape[1] == 0:
-            fit = np.zeros_like(m)
-        else:
-            sw = np.sqrt(n)
-            coef, *_ = np.linalg.lstsq(design * sw[:, None], m * sw, rcond=None)
-            fit = design @ coef
-        return ssw + float(np.sum(n * (m - fit) ** 2)), (np.linalg.matrix_rank(design) if design.size else 0)
-
-    one = np.ones((len(cells), 1))
-    da = np.eye(len(la))[ia][:, 1:]
-    db = np.eye(len(lb))[ib][:, 1:]
-    rss_a, _ = rss(np.hstack([one, da]))
-    rss_b, _ = rss(np.hstack([one, db]))
-    rss_ab, rank_ab = rss(np.hstack([one, da, db]))
-    n_cells = len(cells)
-    df_res = N - n_cells
-    ss_a, ss_b, ss_ab = rss_b - rss_ab, rss_a - rss_ab, rss_ab - ssw
-    df_a, df_b = len(la) - 1, len(lb) - 1
-    df_ab = n_cells - rank_ab
+    ids = [_level_ids(cells, f, n).checkpoint() for f, n in ((factor_a, "i"), (factor_b, "j"))]
+    n_a, n_b = (x.count() for x in ids)
+    if n_a + n_b > MAX_LEVELS:
+        raise ValueError(f"{n_a + n_b} levels; two_way_anova takes {MAX_LEVELS}")
+    placed = cells.join(ids[0], F.col(factor_a) == F.col("i_level")).join(ids[1], F.col(factor_b) == F.col("j_level"))
+    placed = placed.select("i", "j", F.col("n").cast("double").alias("n"), (F.col("mean") - F.lit(whole["mean"])).alias("mean")).persist()
+
+    def one_sided(side):
+        """Residual sum of squares of the cells' means with one factor only."""
+        by = placed.groupBy(side).agg(F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum("n").alias("w"))
+        return float(placed.agg(F.sum(F.col("n") * F.col("mean") ** 2)).first()[0]) - float(by.agg(F.sum(F.col("s") ** 2 / F.col("w"))).first()[0])
+
+    rest = _additive_rss(placed, n_a, n_b, tol)
+    links = placed.select(F.concat(F.lit("a"), F.col("i")).alias("a"), F.concat(F.lit("b"), F.col("j")).alias("b"))
+    parts = components(links).select("comp").distinct().count()
+    ss_a, ss_b, ssw = one_sided("j") - rest, one_sided("i") - rest, float(whole["ssw"])
+    placed.unpersist()
+    df_res = whole["n"] - whole["cells"]
+    df_ab = whole["cells"] - (n_a + n_b - parts)
     mse = ssw / df_res if df_res > 0 else float("nan")
     rows = []
-    for name, ss, d in ((factor_a, ss_a, df_a), (factor_b, ss_b, df_b),
-                        (f"{factor_a}:{factor_b}", ss_ab, df_ab)):
-        f = (ss / d) / mse if d > 0 and mse and mse > 0 else float("nan")
-        p = float(dist.f_sf_np([f], [d], [df_res])[0]) if d > 0 and df_res > 0 and f == f else float("nan")
+    for name, ss, d in ((factor_a, ss_a, n_a - 1), (factor_b, ss_b, n_b - 1), (f"{factor_a}:{factor_b}", rest, df_ab)):
+        f = (ss / d) / mse if d > 0 and mse > 0 else float("nan")
+        p = float(dist.f_sf_np([f], [d], [df_res])[0]) if f == f else float("nan")
         rows.append((name, float(ss), float(d), float(f) if f == f else None,
                      float(p) if p == p else None, bool(p < ALPHA) if p == p else None))
-    rows.append(("Residual", float(ssw), float(df_res), None, None, None))
+    rows.append(("Residual", ssw, float(df_res), None, None, None))
     return spark.createDataFrame(rows, schema)
 
 
@@ -300,35 +345,105 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
         (F.col("lo") + F.col("bin") * width).alias("bin_hi"), "n")
 
 
-def kde_curve(hist: DataFrame, grid_points: int = 100, bandwidth: float | None = None) -> DataFrame:
-    """Gaussian KDE evaluated on a grid from histogram bin centres (the
-    histogram has ``bins`` rows, so the curve cost is bins x grid)."""
-    h = hist.select(((F.col("bin_lo") + F.col("bin_hi")) / 2).alias("c"), "n",
-                    (F.col("bin_hi") - F.col("bin_lo")).alias("w"))
-    s = h.agg(F.sum("n").alias("tot"), F.min("c").alias("cmin"), F.max("c").alias("cmax"),
-              F.sqrt(F.sum(F.col("n") * F.col("c") ** 2) / F.sum("n") - (F.sum(F.col("n") * F.col("c")) / F.sum("n")) ** 2)
-              .alias("sd"), F.first("w").alias("w")).first()
-    if s is None or not s["tot"]:
-        return hist.sparkSession.createDataFrame([], "x double, density double")
-    bw = bandwidth or max(1.06 * (s["sd"] or 0.0) * s["tot"] ** (-0.2), (s["w"] or 1.0) / 2, 1e-12)
-    xs = [s["cmin"] + (s["cmax"] - s["cmin"]) * i / max(grid_points - 1, 1) for i in range(grid_points)]
-    pts = h.select("*", F.explode(F.array(*[F.lit(float(x)) for x in xs])).alias("x"))
-    k = F.col("n") * F.exp(-0.5 * ((F.col("x") - F.col("c")) / bw) ** 2) / (bw * np.sqrt(2 * np.pi) * s["tot"])
-    return pts.groupBy("x").agg(F.sum(k).alias("density"))
+KDE_BINS = 4096
+
+
+def kde_curve(df: DataFrame, value: str, grid_points: int = 200, bins: int = KDE_BINS, bandwidth: float | None = None) -> DataFrame:
+    """Gaussian density of all values on ``grid_points`` from their smallest to
+    their largest: ``x, density``. The bandwidth is Scott's (sample deviation
+    times n**-0.2) unless given.
+
+    Each value is shared between the two nearest of ``bins + 1`` places (linear
+    binning), one aggregate; the curve is then the places' weighted kernels. The
+    binning moves the curve by at most ``d**2 / (8 h**2)`` of a kernel's peak
+    ``1 / (h sqrt(2 pi))``, where d is the places' distance and h the bandwidth."""
+    d = _clean(df, [value]).select(F.col(value).cast("double").alias("v"))
+    s = d.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_samp("v").alias("sd"), F.count("v").alias("n")).first()
+    schema = "x double, density double"
+    h = bandwidth or ((s["sd"] or 0.0) * s["n"] ** -0.2 if s["n"] else 0.0)
+    if not h or s["hi"] == s["lo"]:
+        return df.sparkSession.createDataFrame([], schema)
+    lo, hi = float(s["lo"]), float(s["hi"])
+    step = (hi - lo) / bins
+    at = (F.col("v") - F.lit(lo)) / F.lit(step)
+    left = F.least(F.floor(at), F.lit(bins - 1)).cast("int")
+    share = at - left
+    places = d.select(F.explode(F.array(F.struct(left.alias("i"), (1 - share).alias("w")), F.struct((left + 1).alias("i"), share.alias("w")))).alias("p"))
+    weights = places.groupBy("p.i").agg(F.sum("p.w").alias("w"))  # at most bins + 1 rows
+    grid = F.sequence(F.lit(0), F.lit(grid_points - 1))
+    points = weights.select((F.lit(lo) + F.col("i") * F.lit(step)).alias("c"), "w", F.explode(grid).alias("g"))
+    x = F.lit(lo) + F.col("g") * F.lit((hi - lo) / max(grid_points - 1, 1))
+    k = F.col("w") * F.exp(-0.5 * ((x - F.col("c")) / F.lit(h)) ** 2)
+    return points.groupBy("g").agg(F.sum(k).alias("s")).select(x.alias("x"), (F.col("s") / F.lit(h * np.sqrt(2 * np.pi) * s["n"])).alias("density"))
 
 
 # ------------------------------------------------------------------ W7/T8
+def _order_medians(i, n: int):
+    """Filliben's medians of the order statistics' probabilities."""
+    last = 0.5 ** (1.0 / n) if n else 0.0
+    return (F.when(i == 1, F.lit(1.0 - last)).when(i == n, F.lit(last))
+            .otherwise((i.cast("double") - 0.3175) / (n + 0.365)))
+
+
 def qq_points(df: DataFrame, value: str) -> DataFrame:
     """Normal Q-Q points: ordered sample vs Filliben order-statistic medians
     (global rank without a single-partition window)."""
     d = _clean(df, [value]).select(value)
     n = d.count()
     ranked = ordering.global_row_number(d, [value], "i")
-    i = F.col("i").cast("double")
-    last = 0.5 ** (1.0 / n) if n else 0.0
-    med = (F.when(F.col("i") == 1, F.lit(1.0 - last)).when(F.col("i") == n, F.lit(last))
-           .otherwise((i - 0.3175) / (n + 0.365)))
-    return ranked.select("i", F.col(value).alias("sample"), dist.norm_ppf(med).alias("theoretical"))
+    return ranked.select("i", F.col(value).alias("sample"), dist.norm_ppf(_order_medians(F.col("i"), n)).alias("theoretical"))
+
+
+#: The three views of the normality report; all keep the order of the values,
+#: and a view's domain is the upper part of it.
+VIEWS = {"raw": (lambda x: x, None), "sqrt": (F.sqrt, lambda x: x >= 0), "log1p": (F.log1p, lambda x: x > -1)}
+
+
+def ordered_views(df: DataFrame, value: str) -> tuple[DataFrame, dict[str, int]]:
+    """``x`` with its rank ``i`` over all values, from one sort, and each view's
+    number of values. A view's rank is ``i`` less the values below its domain."""
+    ranked = ordering.global_row_number(_clean(df, [value]).select(F.col(value).cast("double").alias("x")), ["x"], "i").persist()
+    counts = ranked.agg(F.count("*").alias("raw"), *[F.count_if(ok(F.col("x"))).alias(v) for v, (_, ok) in VIEWS.items() if ok]).first().asDict()
+    return ranked, counts
+
+
+def view_of(ranked: DataFrame, counts: dict[str, int], view: str) -> DataFrame:
+    """``i, x`` of one view."""
+    change, ok = VIEWS[view]
+    rows = ranked if ok is None else ranked.where(ok(F.col("x")))
+    return rows.select((F.col("i") - F.lit(counts["raw"] - counts[view])).alias("i"), change(F.col("x")).alias("x"))
+
+
+@dataclass
+class NormalityReport:
+    tests: DataFrame
+    qq: DataFrame
+    histograms: DataFrame
+    curves: DataFrame
+
+
+def normality_report(df: DataFrame, value: str, bins: int = 20) -> NormalityReport:
+    """The tests, Q-Q points, histograms and density curves of the raw,
+    square-root and log1p values, all from one order of the values."""
+    ranked, counts = ordered_views(df, value)
+
+    def each(make):
+        out = None
+        for view in VIEWS:
+            part = make(view).select(F.lit(view).alias("transform"), "*")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def points(view):
+        rows = view_of(ranked, counts, view)
+        return rows.select("i", F.col("x").alias("sample"), dist.norm_ppf(_order_medians(F.col("i"), counts[view])).alias("theoretical"))
+
+    tests = each(lambda v: _shapiro(view_of(ranked, counts, v), counts[v]))
+    dropped = F.lit(None).cast("long")
+    for v in VIEWS:
+        dropped = F.when(F.col("transform") == v, F.lit(counts["raw"] - counts[v]).cast("long")).otherwise(dropped)
+    return NormalityReport(tests.withColumn("n_dropped", dropped), each(points), each(lambda v: histogram(view_of(ranked, counts, v), "x", bins)),
+                           each(lambda v: kde_curve(view_of(ranked, counts, v), "x")))
 
 
 # Royston (1995) polynomial coefficients for Shapiro-Wilk.
@@ -352,10 +467,14 @@ def shapiro_wilk(df: DataFrame, value: str) -> DataFrame:
     (i, n, Σm²), so W is two aggregate passes. p is given at every n;
     ``beyond_table`` marks n above 5000, where the approximation of p has
     not been published."""
-    d = _clean(df, [value]).select(value)
-    ranked = ordering.global_row_number(d, [value], "i")
-    n = ranked.count()
-    spark = df.sparkSession
+    d = _clean(df, [value]).select(F.col(value).alias("x"))
+    ranked = ordering.global_row_number(d, ["x"], "i")
+    return _shapiro(ranked, ranked.count())
+
+
+def _shapiro(ranked: DataFrame, n: int) -> DataFrame:
+    """``shapiro_wilk`` of ranked values ``i, x``."""
+    value, spark = "x", ranked.sparkSession
     schema = "n long, w double, p_value double, significant boolean, beyond_table boolean"
     if n < 3:
         return spark.createDataFrame([(n, None, None, None, False)], schema)
@@ -402,14 +521,5 @@ def shapiro_wilk(df: DataFrame, value: str) -> DataFrame:
 
 def normality_test(df: DataFrame, value: str) -> DataFrame:
     """Shapiro-Wilk p for raw, sqrt and log1p data (negatives → dropped
-    for sqrt, values <= -1 for log1p; dropped counts reported)."""
-    total = df.filter(F.col(value).isNotNull()).count()
-    out = None
-    for name, expr, ok in (("raw", F.col(value), F.lit(True)),
-                           ("sqrt", F.sqrt(value), F.col(value) >= 0),
-                           ("log1p", F.log1p(value), F.col(value) > -1)):
-        t = df.filter(F.col(value).isNotNull() & ok).select(expr.alias("x"))
-        r = shapiro_wilk(t, "x").select(F.lit(name).alias("transform"), "*")
-        r = r.withColumn("n_dropped", F.lit(total) - F.col("n"))
-        out = r if out is None else out.unionByName(r)
-    return out
+    for sqrt, values <= -1 for log1p; dropped counts reported), one sort."""
+    return normality_report(df, value).tests

@@ -49,6 +49,32 @@ def two_way_anova(spark, sf_dir):
     return st.two_way_anova(o, "o_totalprice", "o_orderpriority", "o_orderstatus")
 
 
+@register("two_way_anova_table", sql="""
+  WITH c AS (SELECT o_orderpriority AS a, o_orderstatus AS b, count(o_totalprice) AS n, avg(o_totalprice) AS m,
+                    coalesce(var_samp(o_totalprice) * (count(o_totalprice) - 1), 0.0) AS ss
+             FROM orders WHERE o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY 1, 2),
+  g AS (SELECT sum(n * m) / sum(n) AS mean, sum(ss) AS ssw, sum(n) AS n, count(*) AS cells, count(DISTINCT a) AS ka, count(DISTINCT b) AS kb FROM c),
+  z AS (SELECT a, b, c.n, m - mean AS y FROM c, g),
+  ra AS (SELECT sum(n * y * y) - (SELECT sum(s * s / w) FROM (SELECT sum(n * y) AS s, sum(n) AS w FROM z GROUP BY a)) AS rss FROM z),
+  rb AS (SELECT sum(n * y * y) - (SELECT sum(s * s / w) FROM (SELECT sum(n * y) AS s, sum(n) AS w FROM z GROUP BY b)) AS rss FROM z),
+  -- the second factor's three levels after the first is swept out: two unknowns
+  sw AS (SELECT z.*, sum(n * y) OVER (PARTITION BY a) / sum(n) OVER (PARTITION BY a) AS ya, sum(n) OVER (PARTITION BY a) AS na FROM z),
+  r AS (SELECT sum(n * (y - ya)) FILTER (b = 'O') AS r1, sum(n * (y - ya)) FILTER (b = 'P') AS r2,
+               sum(n - n * n / na) FILTER (b = 'O') AS s11, sum(n - n * n / na) FILTER (b = 'P') AS s22,
+               -(SELECT sum(x.n * w.n / x.na) FROM sw x JOIN sw w ON x.a = w.a AND x.b = 'O' AND w.b = 'P') AS s12 FROM sw),
+  ab AS (SELECT ra.rss - (r1 * (s22 * r1 - s12 * r2) + r2 * (s11 * r2 - s12 * r1)) / (s11 * s22 - s12 * s12) AS rest FROM r, ra),
+  t AS (SELECT 'o_orderpriority' AS source, rb.rss - rest AS ss, ka - 1 AS d FROM rb, ab, g
+        UNION ALL SELECT 'o_orderstatus', ra.rss - rest, kb - 1 FROM ra, ab, g
+        UNION ALL SELECT 'o_orderpriority:o_orderstatus', rest, cells - (ka + kb - 1) FROM ab, g
+        UNION ALL SELECT 'Residual', ssw, n - cells FROM g)
+  SELECT source, ss AS sum_sq, CAST(d AS DOUBLE) AS df, CASE WHEN source <> 'Residual' THEN ss / d / (g.ssw / (g.n - g.cells)) END AS f_stat FROM t, g
+""", round_cols=["sum_sq", "f_stat"])
+def two_way_anova_table(spark, sf_dir):
+    """Sums of squares, degrees of freedom and F of the Type II table."""
+    o = load_table(spark, sf_dir, "orders")
+    return st.two_way_anova(o, "o_totalprice", "o_orderpriority", "o_orderstatus").select("source", "sum_sq", "df", "f_stat")
+
+
 _TWO = """
   SELECT count(CASE WHEN {g} = '{a}' THEN {v} END) AS n1, count(CASE WHEN {g} = '{b}' THEN {v} END) AS n2,
          avg(CASE WHEN {g} = '{a}' THEN {v} END) AS mean1, avg(CASE WHEN {g} = '{b}' THEN {v} END) AS mean2,
@@ -200,10 +226,28 @@ def shapiro_wilk(spark, sf_dir):
     return st.normality_test(_values(spark, sf_dir), "value")
 
 
-@register("kde_curve")
+@register("kde_curve", sql="""
+  WITH v AS (SELECT CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
+  s AS (SELECT min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / 4096 AS step, stddev_samp(v) * pow(count(*), -0.2) AS h, count(*) AS n FROM v),
+  pl AS (SELECT (v - lo) / step AS a, least(floor((v - lo) / step), 4095) AS i FROM v, s),
+  w AS (SELECT i, sum(w) AS w FROM (SELECT i, 1 - (a - i) AS w FROM pl UNION ALL SELECT i + 1, a - i FROM pl) GROUP BY i)
+  SELECT lo + g * ((hi - lo) / 199) AS x, sum(w * exp(-0.5 * pow((lo + g * ((hi - lo) / 199) - (lo + i * step)) / h, 2))) / any_value(h * sqrt(2 * pi()) * n) AS density
+  FROM w, s, range(200) r(g) GROUP BY g, lo, hi
+""", round_cols=["x", "density"])
 def kde_curve(spark, sf_dir):
-    """Gaussian density curve of event values from the histogram."""
-    return st.kde_curve(st.histogram(load_table(spark, sf_dir, "events"), "value", 20))
+    """Gaussian density curve of all event values, from smallest to largest."""
+    return st.kde_curve(load_table(spark, sf_dir, "events"), "value")
+
+
+@register("normality_views", sql="""
+  WITH v AS (SELECT CAST(value AS DOUBLE) AS x FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
+  t AS (SELECT 'raw' AS transform, x FROM v UNION ALL SELECT 'sqrt', sqrt(x) FROM v WHERE x >= 0 UNION ALL SELECT 'log1p', ln(1 + x) FROM v WHERE x > -1)
+  SELECT transform, row_number() OVER (PARTITION BY transform ORDER BY x) AS i, x AS sample FROM t
+""", round_cols=["sample"])
+def normality_views(spark, sf_dir):
+    """Order of the raw, sqrt and log1p values (Q-Q points without the
+    normal quantiles), from one sort."""
+    return st.normality_report(_values(spark, sf_dir), "value").qq.select("transform", "i", "sample")
 
 
 __all__ = ["derived"]
