@@ -59,9 +59,14 @@ def read_csv_folder(spark: SparkSession, path: str, tag: str = "source_file") ->
     """Every ``*.csv`` of a folder, grouped by header, tagged with
     its file name, unioned by name. Unreadable files are reported and
     skipped. Returns (table or None, [(file, error)])."""
+    return read_csv_files(spark, _list_files(spark, path, ".csv"), tag)
+
+
+def read_csv_files(spark: SparkSession, paths: list[str], tag: str = "source_file") -> tuple[DataFrame | None, list]:
+    """``read_csv_folder`` over the given files."""
     groups: dict[str, list[str]] = {}
     failed = []
-    for f in _list_files(spark, path, ".csv"):
+    for f in paths:
         try:
             groups.setdefault(_first_line(spark, f), []).append(f)
         except Exception as e:  # noqa: BLE001
@@ -96,3 +101,50 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
         w.option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
+
+
+# --- small files and folders in whatever store a path names -------------------
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def move_file(spark: SparkSession, path: str, folder: str) -> None:
+    """Move one file into ``folder``, keeping its name; a file that is gone is no error."""
+    fs, p = _fs(spark, path)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    fs.mkdirs(target)
+    if fs.exists(p) and not fs.rename(p, jvm.org.apache.hadoop.fs.Path(target, p.getName())):
+        raise OSError(f"could not move {path} to {folder}")
+
+
+def read_pointer(spark: SparkSession, path: str) -> str | None:
+    """The one line of a pointer file, None where there is none."""
+    return _first_line(spark, path) if exists(spark, path) else None
+
+
+def write_pointer(spark: SparkSession, path: str, line: str) -> None:
+    """Set a pointer file by a rename over the old one, so a reader sees the old
+    line or the new one and nothing else."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, draft = _fs(spark, f"{path}.draft")
+    out = fs.create(draft, True)
+    out.write(bytearray(line.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else fs.getUri(), conf)
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    rename = spark.sparkContext._gateway.new_array(kind, 1)
+    rename[0] = kind.OVERWRITE
+    context.rename(fs.makeQualified(draft), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(path)), rename)
