@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from . import evaluate as ev
 from . import margins, prep
 from .features import fit_kernel_map
+from .passes import packed
 
 MAX_TREE_DEPTH = 30        # MLlib's limit; "unlimited" depth maps here
 FOREST_DEFAULT_DEPTH = 15  # documented cap for unlimited forest depth
@@ -231,7 +232,7 @@ def support_vector(df: DataFrame, target: str, key: str, features=None, kernel:
     rows = km.transform(p.train).select(vector_to_array("kfeatures").alias("z"), F.col("label").cast("int").alias("label"), fold.alias("fold"))
     k, dim = len(p.classes), len(rows.first()["z"])
     sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count("*").alias("n")).collect()}
-    rows = margins.packed(rows, sum(sizes.values()), dim)
+    rows = packed(rows, sum(sizes.values()), 8 * dim)
     w, b, fitted = _fit_svms(rows, dim, sizes, k, C, accuracy)
     apart = _margins(w[-1], b[-1], F.col("z"))
     for i, f in enumerate(sizes if len(sizes) > 1 else ()):

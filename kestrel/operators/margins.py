@@ -6,7 +6,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from .optimise import lbfgs
@@ -14,8 +13,6 @@ from .passes import summed
 
 #: Share of the objective that smoothing may hide at the end.
 ACCURACY = 0.005
-#: Smallest piece of a table that is worth a task of its own in a pass.
-TASK_BYTES = 4 << 20
 
 
 def corner(over: np.ndarray, mu: float) -> tuple[np.ndarray, np.ndarray]:
@@ -27,12 +24,6 @@ def corner(over: np.ndarray, mu: float) -> tuple[np.ndarray, np.ndarray]:
     return value, np.clip(over / mu, 0, 1)
 
 
-def packed(rows: DataFrame, n: int, dim: int) -> DataFrame:
-    """``rows`` kept in memory and on disk, in no more tasks than they fill."""
-    tasks = max(1, min(rows.rdd.getNumPartitions(), n * dim * 8 // TASK_BYTES))
-    return rows.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def fit(rows: DataFrame, dim: int, sizes: np.ndarray, loss: Callable, C: float = 1.0, accuracy: float = ACCURACY) -> dict:
     """Weights ``w`` (models, dim) and ``b`` that minimise, for each model, ``1 /
     (2 C n) |w|^2`` plus the mean of ``loss`` over its ``n = sizes[m]`` rows.

@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 #: Partitions whose vectors go to the driver directly.
 DIRECT = 16
+#: Smallest piece of a table that is worth a task of its own in a pass.
+TASK_BYTES = 4 << 20
 
 
-def summed(rows: DataFrame, partial, length: int) -> np.ndarray:
-    """Add up the vectors of ``length`` numbers that ``partial(batches)`` makes of
-    each partition's Arrow batches. Beyond ``DIRECT`` partitions about
-    sqrt(partitions) groups are summed in Spark first."""
+def packed(rows: DataFrame, n: int, row_bytes: int) -> DataFrame:
+    """``rows`` kept in memory and on disk, in no more tasks than they fill."""
+    tasks = max(1, min(rows.rdd.getNumPartitions(), n * row_bytes // TASK_BYTES))
+    return rows.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def summed(rows: DataFrame, partial, length: int, add=np.add, start: float = 0.0) -> np.ndarray:
+    """Add up (or combine by ``add``, from ``start``) the vectors of ``length``
+    numbers that ``partial(batches)`` makes of each partition's Arrow batches.
+    Beyond ``DIRECT`` partitions about sqrt(partitions) groups are combined in
+    Spark first."""
     parts = rows.rdd.getNumPartitions()
     groups = max(1, int(np.sqrt(parts)))
 
@@ -23,15 +33,18 @@ def summed(rows: DataFrame, partial, length: int) -> np.ndarray:
         total = np.asarray(partial(b for b in batches if b.num_rows), "<f8")
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "v"])
 
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(length)
-        for v in t.column("v"):
-            total += np.frombuffer(v.as_buffer(), "<f8")
-        return pa.table({"v": pa.array([total.tobytes()], pa.binary())})
+    def combined(vectors) -> np.ndarray:
+        total = np.full(length, start)
+        for v in vectors:
+            add(total, np.frombuffer(v, "<f8"), out=total)
+        return total
+
+    def group(t: pa.Table) -> pa.Table:
+        return pa.table({"v": pa.array([combined(v.as_buffer() for v in t.column("v")).tobytes()], pa.binary())})
 
     vectors = rows.mapInArrow(run, "part int, v binary")
-    found = (vectors if parts <= DIRECT else vectors.groupBy("part").applyInArrow(add, "v binary")).collect()
-    return sum((np.frombuffer(bytes(r["v"]), "<f8") for r in found), np.zeros(length))
+    found = (vectors if parts <= DIRECT else vectors.groupBy("part").applyInArrow(group, "v binary")).collect()
+    return combined(bytes(r["v"]) for r in found)
 
 
 def matrices(batches):

@@ -17,6 +17,7 @@ from . import evaluate as ev
 from . import margins
 from .classify import FOREST_DEFAULT_DEPTH, MAX_TREE_DEPTH, ModelResult, prepare
 from .features import fit_kernel_map
+from .passes import packed
 
 
 def _finish(p, pred: DataFrame, key: str, model, extra=None) -> ModelResult:
@@ -108,7 +109,7 @@ def support_vector_regression(df: DataFrame, target: str, key: str, features=Non
     km = fit_kernel_map(p.train, kernel, gamma, key=key)
     rows = km.transform(p.train).select(vector_to_array("kfeatures").alias("z"), ((F.col("label") - y_m) / y_s).alias("y"))
     dim = len(rows.first()["z"])
-    rows = margins.packed(rows, n, dim)
+    rows = packed(rows, n, 8 * dim)
     fit = fit_svr(rows, dim, n, C, epsilon)
     rows.unpersist()
     te = km.transform(p.test)

@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import distributions as dist
 from ..session import ensure_checkpoint_dir
 from . import ordering
-from .graph import components
-from .passes import summed
+from .passes import packed, summed
 
 ALPHA = 0.05
 
@@ -84,50 +83,79 @@ def two_way_cells(df: DataFrame, value: str, factor_a: str, factor_b: str) -> Da
 MAX_LEVELS = 1 << 22
 
 
-def _level_ids(cells: DataFrame, factor: str, name: str) -> DataFrame:
-    levels = ordering.global_row_number(cells.select(F.col(factor).alias(f"{name}_level")).distinct(), [f"{name}_level"], name)
-    return levels.withColumn(name, (F.col(name) - 1).cast("int"))
+def _level_ids(cells: DataFrame, factor: str, name: str) -> tuple[DataFrame, int]:
+    """A factor's levels with numbers from 0; the driver numbers them."""
+    levels = cells.select(factor).distinct().orderBy(factor).limit(MAX_LEVELS + 1).collect()
+    if len(levels) > MAX_LEVELS:
+        raise ValueError(f"{factor!r} has more than {MAX_LEVELS} levels")
+    kind = cells.schema[factor].dataType.simpleString()
+    return cells.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(levels)], f"{name}_level {kind}, {name} int"), len(levels)
 
 
-def _additive_rss(cells: DataFrame, n_a: int, n_b: int, tol: float) -> float:
-    """Residual sum of squares of the additive model on the cells' means (``i, j,
-    n, mean``): conjugate gradients on the normal equations, diagonal
-    preconditioner; a product with the cells is one pass."""
-    total = n_a + n_b
+class _Design:
+    """Passes over numbered cells ``i, j, n, mean``; a vector has a number for
+    each level of the first factor, then of the second."""
 
-    def cell_arrays(batches):
+    def __init__(self, cells: DataFrame, n_a: int, n_b: int):
+        self.cells, self.n_a, self.n_b, self.total = cells, n_a, n_b, n_a + n_b
+
+    @staticmethod
+    def arrays(batches):
         for b in batches:
             yield tuple(b.column(k).to_numpy() for k in range(4))
 
-    def both_sides(batches, weigh):
-        out = np.zeros(total)
-        for i, j, n, m in cell_arrays(batches):
-            v = weigh(i, j, n, m)
-            out[:n_a] += np.bincount(i, v, n_a)
-            out[n_a:] += np.bincount(j, v, n_b)
-        return out
-
-    def product(p):
-        return summed(cells, lambda batches: both_sides(batches, lambda i, j, n, m: n * (p[i] + p[n_a + j])), total)
-
-    diagonal = summed(cells, lambda batches: both_sides(batches, lambda i, j, n, m: n), total)
-    r = summed(cells, lambda batches: both_sides(batches, lambda i, j, n, m: n * m), total)
-    x, z = np.zeros(total), r / diagonal
-    p, rz, first = z, float(r @ z), float(r @ z)
-    while rz > tol * tol * first and first > 0:
-        q = product(p)
-        curve = float(p @ q)
-        if curve <= 0:  # the rest lies in the null space
-            break
-        x, r = x + rz / curve * p, r - rz / curve * q
-        z = r / diagonal
-        rz, old = float(r @ z), rz
-        p = z + rz / old * p
-
-    def rest(batches):
-        return [sum(float((n * (m - x[i] - x[n_a + j]) ** 2).sum()) for i, j, n, m in cell_arrays(batches))]
-
-    return float(summed(cells, rest, 1)[0])
+    def sides(self, weigh, extra=None) -> np.ndarray:
+        """Sums of ``weigh(i, j, n, m)`` by level, then of ``extra`` over all cells."""
+        n_a, n_b = self.n_a, self.n_b
+
+        def partial(batches):
+            out = np.zeros(n_a + n_b + 1)
+            for i, j, n, m in _Design.arrays(batches):
+                v = weigh(i, j, n, m)
+                out[:n_a] += np.bincount(i, v, n_a)
+                out[n_a:-1] += np.bincount(j, v, n_b)
+                out[-1] += extra(i, j, n, m).sum() if extra else 0.0
+            return out
+
+        return summed(self.cells, partial, self.total + 1)
+
+    def additive_rss(self, r: np.ndarray, diagonal: np.ndarray, tol: float) -> float:
+        """Residual sum of squares of the additive model: conjugate gradients on
+        the normal equations, diagonal preconditioner; one pass a step."""
+        n_a, x, z = self.n_a, np.zeros(self.total), r / diagonal
+        p, rz = z, float(r @ z)
+        first = rz
+        while rz > tol * tol * first and first > 0:
+            q = self.sides(lambda i, j, n, m, p=p: n * (p[i] + p[n_a + j]))[:-1]
+            curve = float(p @ q)
+            if curve <= 0:  # the rest lies in the null space
+                break
+            x, r = x + rz / curve * p, r - rz / curve * q
+            z = r / diagonal
+            rz, old = float(r @ z), rz
+            p = z + rz / old * p
+        return float(self.sides(lambda i, j, n, m: n, lambda i, j, n, m: n * (m - x[i] - x[n_a + j]) ** 2)[-1])
+
+    def parts(self) -> int:
+        """Connected parts of the levels: smallest labels over the cells, with
+        jumps along the labels between passes."""
+        n_a, n_b, label = self.n_a, self.n_b, np.arange(self.total)
+        while True:
+
+            def partial(batches, label=label):
+                out = label.astype(float)
+                for i, j, _, _ in _Design.arrays(batches):
+                    least = np.minimum(label[i], label[n_a + j])
+                    np.minimum.at(out, i, least)
+                    np.minimum.at(out, n_a + j, least)
+                return out
+
+            new = summed(self.cells, partial, n_a + n_b, np.minimum, np.inf).astype(np.int64)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == label).all():
+                return len(np.unique(label))
+            label = new
 
 
 def two_way_anova(df: DataFrame, value: str, factor_a: str, factor_b: str, tol: float = 1e-9) -> DataFrame:
@@ -143,22 +171,17 @@ def two_way_anova(df: DataFrame, value: str, factor_a: str, factor_b: str, tol:
     whole = cells.agg(F.count("*").alias("cells"), F.sum("n").alias("n"), F.sum("ss_within").alias("ssw"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean")).first()
     if not whole["cells"]:
         return spark.createDataFrame([], schema)
-    ids = [_level_ids(cells, f, n).checkpoint() for f, n in ((factor_a, "i"), (factor_b, "j"))]
-    n_a, n_b = (x.count() for x in ids)
-    if n_a + n_b > MAX_LEVELS:
-        raise ValueError(f"{n_a + n_b} levels; two_way_anova takes {MAX_LEVELS}")
-    placed = cells.join(ids[0], F.col(factor_a) == F.col("i_level")).join(ids[1], F.col(factor_b) == F.col("j_level"))
-    placed = placed.select("i", "j", F.col("n").cast("double").alias("n"), (F.col("mean") - F.lit(whole["mean"])).alias("mean")).persist()
-
-    def one_sided(side):
-        """Residual sum of squares of the cells' means with one factor only."""
-        by = placed.groupBy(side).agg(F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum("n").alias("w"))
-        return float(placed.agg(F.sum(F.col("n") * F.col("mean") ** 2)).first()[0]) - float(by.agg(F.sum(F.col("s") ** 2 / F.col("w"))).first()[0])
-
-    rest = _additive_rss(placed, n_a, n_b, tol)
-    links = placed.select(F.concat(F.lit("a"), F.col("i")).alias("a"), F.concat(F.lit("b"), F.col("j")).alias("b"))
-    parts = components(links).select("comp").distinct().count()
-    ss_a, ss_b, ssw = one_sided("j") - rest, one_sided("i") - rest, float(whole["ssw"])
+    (ids_a, n_a), (ids_b, n_b) = (_level_ids(cells, f, n) for f, n in ((factor_a, "i"), (factor_b, "j")))
+    placed = cells.join(ids_a, F.col(factor_a) == F.col("i_level")).join(ids_b, F.col(factor_b) == F.col("j_level"))
+    placed = packed(placed.select("i", "j", F.col("n").cast("double").alias("n"), (F.col("mean") - F.lit(whole["mean"])).alias("mean")), whole["cells"], 24)
+    design = _Design(placed, n_a, n_b)
+    diagonal = design.sides(lambda i, j, n, m: n)[:-1]
+    rhs = design.sides(lambda i, j, n, m: n * m, lambda i, j, n, m: n * m * m)
+    rhs, spread = rhs[:-1], rhs[-1]
+    by_level = rhs**2 / diagonal
+    rest, ssw = design.additive_rss(rhs, diagonal, tol), float(whole["ssw"])
+    ss_a, ss_b = spread - by_level[n_a:].sum() - rest, spread - by_level[:n_a].sum() - rest
+    parts = design.parts()
     placed.unpersist()
     df_res = whole["n"] - whole["cells"]
     df_ab = whole["cells"] - (n_a + n_b - parts)
