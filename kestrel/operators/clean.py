@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from . import ordering
+from .selection import exact_medians
 
 _FLOAT_TYPES = (T.DoubleType, T.FloatType)
 
@@ -110,8 +111,8 @@ def fill_na(df: DataFrame, columns=None, method: str = "mean", value=0,
             order_by=None, partition_by=None) -> DataFrame:
     """Fill missing values.
 
-    * ``mean`` / ``median``: numeric columns, statistic from one aggregate
-      pass (a single row reaches the driver).
+    * ``mean`` / ``median``: numeric columns; means from one aggregate pass,
+      exact medians by radix selection (no reducer holds a column).
     * ``value``: constant for numeric and string columns alike.
     * ``ffill`` / ``bfill``: in ``order_by`` order, per ``partition_by``
       group (window) or over the whole table (range-partitioned global
@@ -120,9 +121,11 @@ def fill_na(df: DataFrame, columns=None, method: str = "mean", value=0,
         cols = [c for c in (columns or numeric_columns(df)) if c in numeric_columns(df)]
         if not cols:
             return df
-        f = F.avg if method == "mean" else F.median
-        stats = df.agg(*[f(F.nanvl(F.col(_q(c)).cast("double"), F.lit(None).cast("double"))).alias(c)
-                         for c in cols]).first().asDict()
+        if method == "median":
+            stats = exact_medians(df, cols)
+        else:
+            stats = df.agg(*[F.avg(F.nanvl(F.col(_q(c)).cast("double"), F.lit(None).cast("double"))).alias(c)
+                             for c in cols]).first().asDict()
         fills = {c: v for c, v in stats.items() if v is not None}
         out = nan_to_null(df, [c for c in cols if isinstance(df.schema[c].dataType, _FLOAT_TYPES)])
         exprs = [F.coalesce(F.col(_q(c)), F.lit(fills[c]).cast(df.schema[c].dataType)).alias(c)

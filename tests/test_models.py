@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from kestrel.functions import distributions as dist
-from kestrel.operators import basket, classify, cluster, kdtree, margins, neighbors, optimise, ordering, regress, stats
+from kestrel.operators import basket, classify, cluster, kdtree, margins, neighbors, optimise, ordering, regress, selection, stats
 
 
 def _rows(spark, columns: dict, names="id long, a double, b double, c double, y double"):
@@ -344,3 +344,17 @@ def test_three_views_from_one_order(spark):
         assert rep.curves.where(F.col("transform") == view).count() == 200
     dropped = {r.transform: (r.n, r.n_dropped) for r in rep.tests.collect()}
     assert dropped == {"raw": (8, 0), "sqrt": (6, 2), "log1p": (7, 1)}
+
+
+def test_medians_by_radix_selection(spark):
+    rng = np.random.default_rng(11)
+    cols = [rng.normal(size=501) * 1e6, np.round(rng.normal(size=501), 1), np.full(501, -3.25), rng.choice([0.0, -0.0, 1e-300, -np.inf, np.inf], 501)]
+    rows = [tuple(None if i % 7 == j else float(c[i]) for j, c in enumerate(cols)) + (None, float("nan") if i % 2 else float(i)) for i in range(501)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, `d x` double, e double, f double").repartition(4)
+    got = selection.exact_medians(df, df.columns)
+    for j, c in enumerate(("a", "b", "c")):
+        assert got[c] == np.median([r[j] for r in rows if r[j] is not None])
+    assert got["d x"] == sorted(r[3] for r in rows if r[3] is not None)[len([r for r in rows if r[3] is not None]) // 2]
+    assert got["e"] is None and got["f"] == np.median(range(0, 501, 2))
+    keys = selection.sort_keys(np.array([-np.inf, -2.0, -1e-9, 0.0, 5e-324, 3.0, np.inf]))
+    assert all(a < b for a, b in itertools.pairwise(keys.tolist()))
