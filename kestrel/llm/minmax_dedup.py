@@ -58,7 +58,7 @@ COUNT_BITS = 18
 #: Length of the bit words that rule out pairs before their texts travel.
 BITS = 512
 #: Rounds with other centres before the prefix join.
-MORE_STARS = 3
+MORE_STARS = 1
 
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, ROWS * BANDS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -108,7 +108,7 @@ def _may_be_similar(n: str, bits: str, other_n: str, other_bits: str):
     """Sizes and bits allow a similarity of 0.75: of sets with s shingles together
     at most s / 7 may be in one only. No similar pair is lost."""
     sized = 100 * F.least(n, other_n) >= SIMILAR_PERCENT * F.greatest(n, other_n)
-    apart = F.aggregate(F.zip_with(bits, other_bits, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    apart = sum((F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(other_bits)[i])) for i in range(BITS // 64)), F.lit(0))
     return sized & ((100 + SIMILAR_PERCENT) * apart <= (100 - SIMILAR_PERCENT) * (F.col(n) + F.col(other_n)))
 
 
@@ -219,7 +219,7 @@ def rare_first(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def prefix_rows(sets: DataFrame, counts) -> DataFrame:
-    """``shingle, node, root, n, at, indexed``: the prefix of each set in the
+    """``shingle, node, root, n, at, indexed, bits``: the prefix of each set in the
     global order. Two sets of similarity 0.75 share a shingle that is in the
     longer prefix (n - ceil(0.75 n) + 1) of the larger and in the shorter one
     (n - ceil(1.5 n / 1.75) + 1, ``indexed``) of the smaller."""
@@ -235,9 +235,11 @@ def prefix_rows(sets: DataFrame, counts) -> DataFrame:
                 first = [rare_first(x, counts.value)[:k] for x, k in zip(sets, long.tolist(), strict=True)]
                 at = np.concatenate([np.arange(k) for k in long]) if len(long) else long
                 whose = np.repeat(np.arange(hi - lo), long)
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.concatenate(first))), pa.array(nodes[lo:hi][whose]), pa.array(roots[lo:hi][whose]), pa.array(n[whose]), pa.array(at.astype(np.int32)), pa.array(at < short[whose])], ["shingle", "node", "root", "n", "at", "indexed"])
+                words = parity_bits(sets)[whose]
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, BITS // 64, dtype=np.int32)), pa.array(words.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.concatenate(first))), pa.array(nodes[lo:hi][whose]), pa.array(roots[lo:hi][whose]), pa.array(n[whose]), pa.array(at.astype(np.int32)), pa.array(at < short[whose]), bits], ["shingle", "node", "root", "n", "at", "indexed", "bits"])
 
-    return sets.select("node", "root", "text").mapInArrow(run, "shingle long, node long, root long, n long, at int, indexed boolean")
+    return sets.select("node", "root", "text").mapInArrow(run, "shingle long, node long, root long, n long, at int, indexed boolean, bits array<long>")
 
 
 def _prefix_pairs(rows: DataFrame) -> DataFrame:
@@ -246,25 +248,23 @@ def _prefix_pairs(rows: DataFrame) -> DataFrame:
     by_root = rows.groupBy("shingle", "root").agg(F.count("*").alias("k"))
     main = by_root.groupBy("shingle").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("shingle", "main")
     open_ = rows.join(main, "shingle")
-    mine = open_.where("root != main").select("shingle", *(F.col(c).alias(f"m_{c}") for c in ("node", "root", "n", "at", "indexed")))
+    mine = open_.where("root != main").select("shingle", *(F.col(c).alias(f"m_{c}") for c in ("node", "root", "n", "at", "indexed", "bits")))
     both = mine.join(open_, "shingle").where(F.col("root") != F.col("m_root"))
     larger = (F.col("n") > F.col("m_n")) | ((F.col("n") == F.col("m_n")) & (F.col("node") > F.col("m_node")))
-    small = F.least("n", "m_n")
-    sized = 100 * small >= SIMILAR_PERCENT * F.greatest("n", "m_n")
     # the shingles behind this one bound what else the two can share
     most = 1 + F.least(F.col("n") - F.col("at"), F.col("m_n") - F.col("m_at")) + F.least("at", "m_at") - 1
     enough = (100 + SIMILAR_PERCENT) * most >= SIMILAR_PERCENT * (F.col("n") + F.col("m_n"))
     indexed = F.when(larger, F.col("m_indexed")).otherwise(F.col("indexed"))
-    return both.where(sized & enough & indexed).select(F.least("node", "m_node").alias("node"), F.greatest("node", "m_node").alias("centre")).distinct()
+    return both.where(enough & indexed & _may_be_similar("n", "bits", "m_n", "m_bits")).select(F.least("node", "m_node").alias("node"), F.greatest("node", "m_node").alias("centre")).distinct()
 
 
-def _cross_links(open_nodes: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
+def _cross_links(open_nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """Links between different roots among ``open_nodes`` (``node, root``), by
     a prefix join that loses none; ids travel first, texts for candidates only."""
     sets = written(open_nodes.join(sources, "node"))
     counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
     rows = written(prefix_rows(sets, counts))
-    pairs = written(_possible(_prefix_pairs(rows), nodes))
+    pairs = written(_prefix_pairs(rows))
     discard(rows)
     links = written(_verified(pairs, sources))
     discard(sets, pairs)
@@ -299,7 +299,7 @@ def _roots(buckets: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFram
         known = _merged(known, links)
     open_nodes = written(_open_members(buckets, known).select("node", "root").distinct())
     if not open_nodes.isEmpty():
-        known = _merged(known, _cross_links(open_nodes, nodes, sources))
+        known = _merged(known, _cross_links(open_nodes, sources))
     discard(open_nodes)
     return known
 
