@@ -104,6 +104,15 @@ def fill_na_mean(spark, sf_dir):
     return clean.fill_na(ev, ["value"], method="mean")
 
 
+@register("fill_na_median", sql=f"""
+  SELECT event_id, coalesce(value, (SELECT quantile_cont(value, 0.5) FROM ({_GAPS}))) AS value FROM ({_GAPS})
+""", round_cols=["value"])
+def fill_na_median(spark, sf_dir):
+    """Fill numeric missing values with the exact column median."""
+    ev = derived.events_with_gaps(spark, sf_dir).select("event_id", "value")
+    return clean.fill_na(ev, ["value"], method="median")
+
+
 @register("fill_na_value", sql=f"""
   SELECT event_id, coalesce(value, 0.0) AS value, coalesce(props, '0') AS props FROM ({_GAPS})
 """, round_cols=["value"])
