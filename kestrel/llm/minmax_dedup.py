@@ -13,17 +13,18 @@ Scale:
 * Buckets that hold the same classes are one.
 * The members of a bucket are compared with one centre, not with each other.
   Members whose bucket then falls into one component, and buckets of two, need
-  nothing more. The members of buckets that hold several components still meet
-  in a prefix join: with their shingles in one global order, rare ones first,
-  two sets of similarity 0.75 share a shingle of their short prefixes. Texts
-  that share much, but less than that, differ in more shingles than a prefix
-  has, so they are no candidates and cost no comparison. Rows of one component
-  never meet each other, and candidates are distinct pairs.
+  nothing more; the others get one more round with another centre. The members
+  of buckets that hold several components even then meet in a prefix join: with
+  their shingles in one global order, rare ones first, two sets of similarity
+  0.75 share a shingle of their short prefixes. Texts that share much, but less
+  than that, differ in more shingles than a prefix has, so they seldom meet.
+  Rows of one component never meet each other, and candidates are distinct
+  pairs.
 * Sizes and a 512-bit parity word of each set rule out most candidates before
   any text travels; the bound is exact, so no similar pair is lost.
 * A candidate is confirmed on the full shingle sets. The node's text travels
   once to each of its centres; a popular centre's text is sent once for each
-  ``SALT`` of its candidates' cells, so a hot centre is many groups.
+  cell of ``PER_CELL`` candidates, so a hot centre is many groups.
 * Components come from joins and grouped minima (``components``).
 
 Defined results: words are lower-cased (A-Z) runs without white space, a text
