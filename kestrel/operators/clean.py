@@ -151,13 +151,11 @@ def fill_na(df: DataFrame, columns=None, method: str = "mean", value=0,
         cols = columns or [c for c in df.columns if c not in order_by and c not in (partition_by or [])]
         out = nan_to_null(df, [c for c in cols if isinstance(df.schema[c].dataType, _FLOAT_TYPES)])
         if partition_by:
-            w = Window.partitionBy(*partition_by).orderBy(*order_by)
-            if method == "ffill":
-                frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-                fills = {c: F.last(F.col(_q(c)), ignorenulls=True).over(frame) for c in cols}
-            else:
-                frame = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-                fills = {c: F.first(F.col(_q(c)), ignorenulls=True).over(frame) for c in cols}
+            # bfill is the same running frame, down the order
+            order = [F.col(_q(c)).desc() for c in order_by] if method == "bfill" else order_by
+            w = Window.partitionBy(*partition_by).orderBy(*order)
+            frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            fills = {c: F.last(F.col(_q(c)), ignorenulls=True).over(frame) for c in cols}
             return out.select(*[fills[c].alias(c) if c in fills else F.col(_q(c)) for c in df.columns])
         return ordering.global_fill(out, cols, order_by, backward=(method == "bfill"))
     raise ValueError("method must be 'mean', 'median', 'value', 'ffill' or 'bfill'")

@@ -64,19 +64,17 @@ def global_row_number(df: DataFrame, order_by: list, name: str = "row_no",
 def global_fill(df: DataFrame, columns: list[str], order_by: list, backward: bool = False,
                 n_ranges: int | None = None) -> DataFrame:
     """Forward (or backward) fill of ``columns`` in the global ``order_by``
-    order. Within a range: ``last/first(ignorenulls)`` over a running frame;
+    order. Within a range: ``last(ignorenulls)`` over a running frame;
     across ranges: the last (first) non-missing value of each range, carried
     by a window over the per-range table."""
     ranged = in_ranges(df, order_by, n_ranges)
-    w = Window.partitionBy(RANGE_COL).orderBy(PLACE_COL)
-    if backward:
-        frame = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    else:
-        frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a backward fill runs down the places: a frame that ends at the last row
+    # would be read anew for every row
+    w = Window.partitionBy(RANGE_COL).orderBy(F.col(PLACE_COL).desc() if backward else F.col(PLACE_COL))
+    frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge_aggs, locals_ = [], {}
     for c in columns:
-        fill = F.first(c, ignorenulls=True) if backward else F.last(c, ignorenulls=True)
-        locals_[c] = fill.over(frame)
+        locals_[c] = F.last(c, ignorenulls=True).over(frame)
         pick = F.min_by if backward else F.max_by
         edge_aggs.append(pick(F.col(c), F.when(F.col(c).isNotNull(), F.col(PLACE_COL))).alias(f"_kr_edge_{c}"))
     edges = ranged.groupBy(RANGE_COL).agg(*edge_aggs)
