@@ -123,7 +123,7 @@ def day_partials(facts: DataFrame) -> DataFrame:
     return f.groupBy("business_day").agg(
         *[F.sum(F.when(keyed, F.coalesce(F.col(m), F.lit(0.0))).otherwise(F.lit(0.0))).alias(m)
           for m in BASE_METRICS],
-        F.countDistinct(F.when(keyed, F.col("store"))).alias("n_cells"),
+        F.countDistinct("store").alias("n_cells"),
         F.count(F.lit(1)).alias("n_rows"),
     )
 
