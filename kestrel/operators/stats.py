@@ -81,6 +81,7 @@ def two_way_cells(df: DataFrame, value: str, factor_a: str, factor_b: str) -> Da
 
 
 MAX_LEVELS = 1 << 22
+BROADCAST_LEVELS = 1 << 16
 
 
 def _level_ids(cells: DataFrame, factor: str, name: str) -> tuple[DataFrame, int]:
@@ -172,6 +173,9 @@ def two_way_anova(df: DataFrame, value: str, factor_a: str, factor_b: str, tol:
     if not whole["cells"]:
         return spark.createDataFrame([], schema)
     (ids_a, n_a), (ids_b, n_b) = (_level_ids(cells, f, n) for f, n in ((factor_a, "i"), (factor_b, "j")))
+    # few levels are broadcast: a sort-merge join of a handful of cells claims its
+    # buffers in every partition, and one packed task would add them all up
+    ids_a, ids_b = (F.broadcast(ids) if n <= BROADCAST_LEVELS else ids for ids, n in ((ids_a, n_a), (ids_b, n_b)))
     placed = cells.join(ids_a, F.col(factor_a) == F.col("i_level")).join(ids_b, F.col(factor_b) == F.col("j_level"))
     placed = packed(placed.select("i", "j", F.col("n").cast("double").alias("n"), (F.col("mean") - F.lit(whole["mean"])).alias("mean")), whole["cells"], 24)
     design = _Design(placed, n_a, n_b)
