@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Partitions whose vectors go to the driver directly.
-DIRECT = 16
+#: Partitions whose vectors go to the driver directly, and how many bytes of them.
+DIRECT, DIRECT_BYTES = 16, 1 << 20
 #: Smallest piece of a table that is worth a task of its own in a pass.
 TASK_BYTES = 4 << 20
 
@@ -23,7 +24,8 @@ def summed(rows: DataFrame, partial, length: int, add=np.add, start: float = 0.0
     """Add up (or combine by ``add``, from ``start``) the vectors of ``length``
     numbers that ``partial(batches)`` makes of each partition's Arrow batches.
     Beyond ``DIRECT`` partitions about sqrt(partitions) groups are combined in
-    Spark first."""
+    Spark first, and vectors of more than ``DIRECT_BYTES`` together become one
+    there, so that the driver gets no more of them however many tasks there are."""
     parts = rows.rdd.getNumPartitions()
     groups = max(1, int(np.sqrt(parts)))
 
@@ -42,8 +44,12 @@ def summed(rows: DataFrame, partial, length: int, add=np.add, start: float = 0.0
     def group(t: pa.Table) -> pa.Table:
         return pa.table({"v": pa.array([combined(v.as_buffer() for v in t.column("v")).tobytes()], pa.binary())})
 
-    vectors = rows.mapInArrow(run, "part int, v binary")
-    found = (vectors if parts <= DIRECT else vectors.groupBy("part").applyInArrow(group, "v binary")).collect()
+    vectors, left = rows.mapInArrow(run, "part int, v binary"), parts
+    if parts > DIRECT:
+        vectors, left = vectors.groupBy("part").applyInArrow(group, "v binary"), groups
+    if left > 1 and left * length * 8 > DIRECT_BYTES:
+        vectors = vectors.select(F.lit(0).alias("part"), "v").groupBy("part").applyInArrow(group, "v binary")
+    found = vectors.collect()
     return combined(bytes(r["v"]) for r in found)
 
 
