@@ -49,7 +49,7 @@ def prepare(df: DataFrame, target: str, key: str, features=None, stratify: bool
         return _prepare_array(df, target, key, features, stratify, encode)
     feats = list(features) if features else prep.default_features(df, target, exclude=[key])
     prep.validate_columns(df, [target, key, *feats])
-    d = df.select(key, target, *feats).dropna()
+    d = df.select(key, target, *feats).dropna().persist()  # classes, split and scaler read it several times
     classes = None
     if encode:
         d, classes = prep.label_encode(d, target, "label")
@@ -66,7 +66,7 @@ def prepare(df: DataFrame, target: str, key: str, features=None, stratify: bool
 
 def _prepare_array(df, target, key, arr, stratify, encode) -> Prepared:
     prep.validate_columns(df, [target, key, arr])
-    d = df.select(key, target, F.col(arr).cast("array<double>").alias("_x")).dropna()
+    d = df.select(key, target, F.col(arr).cast("array<double>").alias("_x")).dropna().persist()
     classes = None
     if encode:
         d, classes = prep.label_encode(d, target, "label")
@@ -203,7 +203,7 @@ def _fit_svms(rows: DataFrame, dim: int, sizes: dict[int, int], k: int, C: float
         y = np.where(batch.column(1).to_numpy()[:, None] == own, 1.0, -1.0)
         value, slope = margins.corner(1 - y * f, mu)
         used = batch.column(2).to_numpy()[:, None] != out
-        return value * used, -y * slope * used
+        return value * used, -y * slope * used, margins.bend(1 - y * f, mu) * used
 
     got = margins.fit(rows, dim, n, loss, C, accuracy)
     shape = (len(left_out), len(classes))

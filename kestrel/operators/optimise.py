@@ -1,7 +1,7 @@
 """Smooth convex minimisation where one evaluation is a pass over the data.
 
-L-BFGS keeps a few vectors of the size of the model on the driver; sums over
-rows are made in Spark. A pass evaluates several step lengths at once, so a
+L-BFGS keeps a few vectors of the size of the model on the driver, Newton steps
+a matrix of its size squared; sums over rows are made in Spark. A pass evaluates several step lengths at once, so a
 line search seldom needs a second one.
 """
 
@@ -66,6 +66,36 @@ def lbfgs(evaluate: Callable[[list[np.ndarray]], list[tuple[float, np.ndarray]]]
     return Minimum(x, f, float(np.abs(g).max(initial=0)), passes, False)
 
 
+def newton(evaluate: Callable, x0: np.ndarray, tol: float = 1e-4, max_passes: int = 60) -> Minimum:
+    """Minimise independent models, a row of ``x0`` each, by Newton steps with a
+    line search of each model's own, until the gradients' largest entry is at most
+    ``tol``. ``evaluate`` takes points and gives their values and gradients by
+    model, and the first point's second derivatives."""
+    ((f, g),), h = evaluate([x0])
+    x, passes, models = x0, 1, range(len(x0))
+    while np.abs(g).max(initial=0) > tol and passes < max_passes:
+        # the offset has no penalty: a little keeps the system regular
+        d = np.stack([-np.linalg.solve(h[m] + 1e-9 * np.trace(h[m]) / len(h[m]) * np.eye(len(h[m])), g[m]) for m in models])
+        slope, taken, scale = (g * d).sum(axis=1), np.zeros(len(x)), 1.0
+        while (taken == 0).any() and scale > 1e-9 and passes < max_passes:
+            steps = [scale * s for s in STEPS]
+            tried, h_full = evaluate([x + s * d for s in steps])
+            passes += 1
+            for m in np.flatnonzero(taken == 0):
+                taken[m] = next((s for s, (v, _) in zip(steps, tried, strict=True) if v[m] <= f[m] + ARMIJO * s * slope[m] + 1e-15 * abs(f[m])), 0.0)
+            if scale == 1.0 and (taken == 1.0).all():
+                (f, g), h = tried[0], h_full
+            scale *= STEPS[-1] * 0.5
+        if (taken == 0).all():
+            break
+        x = x + taken[:, None] * d
+        if not (taken == 1.0).all():
+            ((f, g),), h = evaluate([x])
+            passes += 1
+    top = float(np.abs(g).max(initial=0))
+    return Minimum(x, float(f.sum()), top, passes, top <= tol)
+
+
 def _inverse_hessian(g: np.ndarray, pairs: list) -> np.ndarray:
     """The two-loop recursion."""
     q, coefs = g.copy(), []

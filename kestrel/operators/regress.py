@@ -91,7 +91,7 @@ def fit_svr(rows: DataFrame, dim: int, n: int, C: float = 1.0, epsilon: float =
     def loss(f, batch, mu):
         r = f - batch.column(1).to_numpy()[:, None]
         value, slope = margins.corner(np.abs(r) - epsilon, mu)
-        return value, slope * np.sign(r)
+        return value, slope * np.sign(r), margins.bend(np.abs(r) - epsilon, mu)
 
     got = margins.fit(rows, dim, np.array([float(n)]), loss, C, accuracy)
     return got | {"w": got["w"][0], "b": float(got["b"][0]), "objective": float(got["objective"][0])}
@@ -101,7 +101,7 @@ def support_vector_regression(df: DataFrame, target: str, key: str, features=Non
                               C: float = 1.0, epsilon: float = 0.1, gamma="scale") -> ModelResult:
     """Epsilon-insensitive SVR on the standardised target (predictions
     inverse-scaled), kernel approximated by an explicit feature map; solved to
-    its optimum by L-BFGS with gradients summed in Spark. The metrics carry
+    its optimum by Newton steps (L-BFGS for large models) with gradients summed in Spark. The metrics carry
     ``converged`` and the ``objective`` reached."""
     p = prepare(df, target, key, features, stratify=False, encode=False)
     ys = p.train.agg(F.avg("label").alias("m"), F.stddev_pop("label").alias("s"), F.count(F.lit(1)).alias("n")).first()

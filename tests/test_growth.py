@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
+import numpy as np
 import pytest
 
-from kestrel.operators import clean
+from kestrel.operators import clean, optimise, passes, regress, stats
+from kestrel.sources import derived
 
 
 @pytest.mark.parametrize("by", [None, ["g"]])
@@ -14,3 +18,58 @@ def test_backward_fill_runs_one_frame(spark, by):
     assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
     got = {r.i: r.v for r in out.collect()}
     assert got == {i: float(-(-i // 4) * 4) if i <= 196 else None for i in range(200)}
+
+
+def test_newton_settles_each_model_in_a_few_passes():
+    def evaluate(points):
+        a = np.array([1.0, 100.0])[:, None]
+        return [((0.5 * a * (x - 3) ** 2).sum(axis=1), a * (x - 3)) for x in points], a[:, :, None] * np.eye(2)
+
+    got = optimise.newton(evaluate, np.zeros((2, 2)), 1e-6)
+    assert got.converged and got.passes <= 4 and np.allclose(got.x, 3)
+
+
+def test_svr_passes_do_not_run_into_hundreds(spark):
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=(300, 4))
+    y = z @ [1.0, -2.0, 0.5, 0.0] + rng.normal(size=300) * 0.3
+    rows = spark.createDataFrame([([float(v) for v in a], float(b)) for a, b in zip(z, y, strict=True)], "z array<double>, y double").coalesce(2).persist()
+    got = regress.fit_svr(rows, 4, 300)
+    assert got["converged"] and got["passes"] < 150
+    assert np.allclose(got["w"], [1.0, -2.0, 0.5, 0.0], atol=0.1)
+
+
+@pytest.mark.parametrize("parts", [4, 20])
+def test_large_vectors_reach_the_driver_as_one(spark, parts, monkeypatch):
+    rows = spark.range(0, 1000, 1, parts)
+    seen, collect = [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: seen.append(collect(df)) or seen[-1])
+
+    def partial(batches):
+        out = np.zeros(1 << 17)
+        for b in batches:
+            out[0] += b.column(0).to_numpy().sum()
+        return out
+
+    assert passes.summed(rows, partial, 1 << 17)[0] == 499500
+    assert [len(s) for s in seen] == [1]
+
+
+def test_store_days_copy_no_row(spark, tmp_path):
+    day = datetime.datetime(1998, 1, 2)
+    spark.createDataFrame([(1, 7, day, 100.0, 0.0), (1, 7, day, 50.0, 0.5), (2, 7, day, 10.0, 0.0), (None, 7, day, 1.0, 0.0), (3, 8, day, 4.0, 0.0)], "l_orderkey long, l_suppkey long, l_shipdate timestamp, l_extendedprice double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 1), (2, 2), (2, 1)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "BUILDING"), (2, "OTHER")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    out = derived.store_days(spark, str(tmp_path))
+    assert "Expand" not in out._jdf.queryExecution().toString()
+    got = {r.store: (r.revenue, r.tickets, r.member_sales, r.member_tickets) for r in out.collect()}
+    # order 2 is there twice, once for a member; a line without an order key is no ticket
+    assert got == {7: (146.0, 2.0, 135.0, 2.0), 8: (4.0, 1.0, 0.0, 0.0)}
+
+
+def test_few_levels_are_not_sorted_for_the_join(spark, monkeypatch):
+    plans, packed = [], stats.packed
+    monkeypatch.setattr(stats, "packed", lambda rows, *a: plans.append(rows._jdf.queryExecution().toString()) or packed(rows, *a))
+    df = spark.createDataFrame([(f"a{i % 3}", f"b{i % 2}", float(i * i % 17)) for i in range(60)], "a string, b string, y double")
+    assert stats.two_way_anova(df, "y", "a", "b").count() == 4
+    assert "SortMergeJoin" not in plans[0] and "BroadcastHashJoin" in plans[0]
