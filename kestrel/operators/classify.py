@@ -10,13 +10,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluate as ev
-from . import margins, prep
+from . import margins, prep, trees
 from .features import fit_kernel_map
 from .passes import packed
 
@@ -131,8 +131,7 @@ def decision_tree(df: DataFrame, target: str, key: str, features=None, max_depth
     """Gini tree; unlimited depth → MLlib's limit of 30."""
     p = prepare(df, target, key, features)
     depth = min(max_depth or MAX_TREE_DEPTH, MAX_TREE_DEPTH)
-    m = DecisionTreeClassifier(featuresCol="features", labelCol="label", impurity="gini", maxDepth=depth,
-                               maxBins=max_bins, seed=42, maxMemoryInMB=1024, cacheNodeIds=True).fit(p.train)
+    m = trees.fit(p.train, key, len(p.classes), max_depth=depth, max_bins=max_bins)
     return _evaluate(p, m.transform(p.test), key, target, m, "probability")
 
 
@@ -141,8 +140,8 @@ def random_forest(df: DataFrame, target: str, key: str, features=None, n_estimat
     """C4: 100 trees, sqrt features per split, bootstrap."""
     p = prepare(df, target, key, features)
     depth = min(max_depth or FOREST_DEFAULT_DEPTH, MAX_TREE_DEPTH)
-    m = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=n_estimators,
-                               featureSubsetStrategy="sqrt", maxDepth=depth, seed=42, maxMemoryInMB=1024, cacheNodeIds=True).fit(p.train)
+    dim = len(p.train.select(vector_to_array("features").alias("x")).first()["x"])
+    m = trees.fit(p.train, key, len(p.classes), n_estimators, depth, tries=int(np.ceil(np.sqrt(dim))))
     return _evaluate(p, m.transform(p.test), key, target, m, "probability")
 
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (DecisionTreeRegressor, LinearRegression, RandomForestRegressor)
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluate as ev
-from . import margins
+from . import margins, trees
 from .classify import FOREST_DEFAULT_DEPTH, MAX_TREE_DEPTH, ModelResult, prepare
 from .features import fit_kernel_map
 from .passes import packed
@@ -69,8 +69,7 @@ def decision_tree_regression(df: DataFrame, target: str, key: str, features=None
                              max_depth: int | None = None) -> ModelResult:
     """Variance-reduction tree; unlimited depth → 30."""
     p = prepare(df, target, key, features, stratify=False, encode=False)
-    m = DecisionTreeRegressor(featuresCol="features", labelCol="label",
-                              maxDepth=min(max_depth or MAX_TREE_DEPTH, MAX_TREE_DEPTH), seed=42, maxMemoryInMB=1024, cacheNodeIds=True).fit(p.train)
+    m = trees.fit(p.train, key, 0, max_depth=min(max_depth or MAX_TREE_DEPTH, MAX_TREE_DEPTH))
     return _finish(p, m.transform(p.test), key, m)
 
 
@@ -78,9 +77,7 @@ def random_forest_regression(df: DataFrame, target: str, key: str, features=None
                              max_depth: int | None = None) -> ModelResult:
     """100 trees, all features considered per split."""
     p = prepare(df, target, key, features, stratify=False, encode=False)
-    m = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=n_estimators,
-                              featureSubsetStrategy="all",
-                              maxDepth=min(max_depth or FOREST_DEFAULT_DEPTH, MAX_TREE_DEPTH), seed=42, maxMemoryInMB=1024, cacheNodeIds=True).fit(p.train)
+    m = trees.fit(p.train, key, 0, n_estimators, min(max_depth or FOREST_DEFAULT_DEPTH, MAX_TREE_DEPTH))
     return _finish(p, m.transform(p.test), key, m)
 
 
