@@ -74,6 +74,9 @@ _LETTER_LIKE = re.compile(r"[a-z@$]")
 _SINGLE_BYTES, _GAP_BYTES = np.zeros(256, bool), np.zeros(256, bool)
 _SINGLE_BYTES[list(b"abcdefghijklmnopqrstuvwxyz0123456789@$!")] = True
 _GAP_BYTES[[*b" \t\n\v\f\r.-_*", *range(0x1C, 0x20), *range(0x80, 0x100)]] = True
+#: Marks that end a word and stand for no letter.
+_STOP_BYTES = np.zeros(256, bool)
+_STOP_BYTES[list(b".,;:?")] = True
 #: Letters beyond ASCII whose lower case holds an ASCII letter.
 _LOWER_TO_ASCII = ("\u212a".encode(), "\u0130".encode())
 
@@ -278,10 +281,37 @@ def may_be_spaced(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _slice_scores(low: np.ndarray, offsets: np.ndarray, restore: Restorer, strengths: dict[str, float], best: dict[int, tuple[float, int]]):
+def heads(strengths: dict[str, float]) -> np.ndarray:
+    """The first four bytes, as a number, of the features that a plain word may have."""
+    return np.unique(np.array([int.from_bytes(f[:4].encode().ljust(4, b"\0"), "little") for f in strengths if f[:4].isascii()], np.uint32))
+
+
+def without_evidence(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Which tokens are plain words (a-z, no letter three times in a row, one mark
+    of ``_STOP_BYTES`` may follow), so that they are read as they stand, and
+    begin like no feature: they add nothing to a score."""
+    letter = (low >= ord("a")) & (low <= ord("z"))
+    bare = ends - (_STOP_BYTES[low[ends - 1]] & (ends - starts > 1))
+    odd = ~letter
+    odd[2:] |= (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
+    seen = np.concatenate([[0], np.cumsum(odd)])
+    # the first two letters' runs may begin in front of the token, where white space or a row ends
+    begins = np.minimum(starts + 2, bare)
+    plain = (seen[bare] == seen[begins]) & letter[starts] & letter[np.minimum(starts + 1, bare - 1)]
+    padded = np.concatenate([low, np.zeros(4, np.uint8)])
+    head = np.zeros(len(starts), np.uint32)
+    for i in range(4):
+        head |= np.where(starts + i < bare, padded[starts + i], 0).astype(np.uint32) << np.uint32(8 * i)
+    return plain & ~np.isin(head, heads)
+
+
+def _slice_scores(low: np.ndarray, offsets: np.ndarray, restore: Restorer, strengths: dict[str, float], best: dict[int, tuple[float, int]], known_heads: np.ndarray | None = None):
     """``(score, decoded tokens)`` of the rows of a slice, runs of single letters
-    left out. A token's reading is made once for all rows that hold it."""
+    left out. A token's reading is made once for all rows that hold it; plain
+    words that begin like no feature need none."""
     hashes, starts, ends, first = K.words(low, offsets)
+    wanted = np.flatnonzero(~without_evidence(low, starts, ends, heads(strengths) if known_heads is None else known_heads))
+    hashes, starts, ends, first = hashes[wanted], starts[wanted], ends[wanted], np.searchsorted(wanted, first)
     kinds, at, of = np.unique(hashes, return_index=True, return_inverse=True)
     strongest, changed = np.zeros(len(kinds)), np.zeros(len(kinds), np.int64)
     for i, (h, s, e) in enumerate(zip(kinds.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True)):
@@ -313,10 +343,10 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def rows(batches):
         counts, strengths = model.value
-        restore, best = Restorer(counts), {}
+        restore, best, starts = Restorer(counts), {}, heads(strengths)
         for b in batches:
             for lo, hi, data, off in K.text_slices(b.column(2)):
-                top, n = _slice_scores(K.lower(data), off, restore, strengths, best)
+                top, n = _slice_scores(K.lower(data), off, restore, strengths, best, starts)
                 for i in np.flatnonzero(may_be_spaced(data, off)).tolist():
                     for words in restore.spaced((b.column(2)[lo + i].as_py() or "").lower()):
                         top[i] = max([top[i], *(strengths.get(f, 0.0) for w in words for f in features(w))])
