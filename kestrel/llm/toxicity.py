@@ -55,6 +55,8 @@ CACHED = 100_000
 CACHED_CHARS = 64
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EDGE = 26
+#: Letters of a word's beginnings that are features of their own.
+BEGINNINGS = (4, 5, 6)
 
 # Letters that a symbol may stand for in disguised words.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "aeiou", "%": "aeiou", "&": "aeiou"}
@@ -77,6 +79,8 @@ _GAP_BYTES[[*b" \t\n\v\f\r.-_*", *range(0x1C, 0x20), *range(0x80, 0x100)]] = Tru
 #: Marks that end a word and stand for no letter.
 _STOP_BYTES = np.zeros(256, bool)
 _STOP_BYTES[list(b".,;:?")] = True
+#: Characters below U+10000 that are letters and their own lower case.
+_LOWER_LETTER = np.array([chr(c).isalpha() and chr(c).lower() == chr(c) for c in range(1 << 16)])
 #: Letters beyond ASCII whose lower case holds an ASCII letter.
 _LOWER_TO_ASCII = ("\u212a".encode(), "\u0130".encode())
 
@@ -120,20 +124,46 @@ class Decoder:
         pair = counts.sum(axis=0) + 0.5
         bi = pair / pair.sum(axis=1, keepdims=True)
         self.log = np.log(0.8 * tri + 0.2 * bi[None, :, :]).tolist()
+        self.rests: dict[tuple[int, int, str, str], str] = {}
 
-    def options(self, token: str):
+    def options(self, token: str, before: str = ""):
         """For each character the letters (or nothing) it may stand for."""
-        before = ""
         for c in token:
             yield _REPEATED[c] if c == before and c in _REPEATED else _CHOICES.get(c, _NOTHING)
             before = c
 
     def read(self, token: str, edges: bool = False) -> str:
         """The best reading; with ``edges``, words may end anywhere and are set
-        apart by spaces. A state's reading is a chain of back-pointers."""
-        start = self.log[EDGE][EDGE]
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
+        apart by spaces. What a token begins with can often be read in one way
+        only; the rest then depends on the last two letters, and is kept."""
+        if edges:
+            return self._search(EDGE, EDGE, "", token, edges)
+        a, b, at, letters = EDGE, EDGE, 0, []
         for choices in self.options(token):
+            if len(choices) > 1:
+                break
+            if choices[0][0]:
+                letters.append(choices[0][0])
+                a, b = b, ord(letters[-1]) - 97
+            at += 1
+        if at == len(token):
+            return "".join(letters)
+        key = (a, b, token[max(at - 1, 0):at], token[at:])
+        found = self.rests.get(key)
+        if found is None:
+            found = self._search(*key)
+            if len(key[3]) <= CACHED_CHARS:
+                if len(self.rests) >= CACHED:
+                    self.rests.clear()
+                self.rests[key] = found
+        return "".join(letters) + found
+
+    def _search(self, a: int, b: int, before: str, token: str, edges: bool = False) -> str:
+        """The best reading of what follows the letters ``a``, ``b``, the last
+        character being ``before``. A state's reading is a chain of back-pointers."""
+        start = self.log[EDGE][EDGE]
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(a, b): (0.0, None)}
+        for choices in self.options(token, before):
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, node) in states.items():
                 row = self.log[a][b]
@@ -206,7 +236,7 @@ class Restorer:
 
 def features(word: str) -> list[str]:
     """A word and its beginnings."""
-    return [word, *(word[:n] + "-" for n in (4, 5, 6) if len(word) >= n)]
+    return [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) >= n)]
 
 
 def strength(toxic: float, other: float, z: float = Z) -> float:
@@ -281,36 +311,77 @@ def may_be_spaced(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def heads(strengths: dict[str, float]) -> np.ndarray:
-    """The first four bytes, as a number, of the features that a plain word may have."""
-    return np.unique(np.array([int.from_bytes(f[:4].encode().ljust(4, b"\0"), "little") for f in strengths if f[:4].isascii()], np.uint32))
-
-
-def without_evidence(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Which tokens are plain words (a-z, no letter three times in a row, one mark
-    of ``_STOP_BYTES`` may follow), so that they are read as they stand, and
-    begin like no feature: they add nothing to a score."""
+def letter_bytes(low: np.ndarray) -> np.ndarray:
+    """Bytes of a-z and, in whole UTF-8 characters of up to three bytes, of letters
+    beyond ASCII that lower-casing leaves as they are."""
     letter = (low >= ord("a")) & (low <= ord("z"))
+    padded = np.concatenate([low, np.zeros(2, np.uint8)]).astype(np.int32)
+    follows = (padded & 0xC0) == 0x80
+    for size, at in ((2, np.flatnonzero((low >= 0xC2) & (low < 0xE0))), (3, np.flatnonzero((low >= 0xE0) & (low < 0xF0)))):
+        point, whole = padded[at] & (0xFF >> (size + 1)), np.ones(len(at), bool)
+        for i in range(1, size):
+            point, whole = point << 6 | padded[at + i] & 0x3F, whole & follows[at + i]
+        at = at[whole & _LOWER_LETTER[point] & (point >= (0x80, 0x800)[size - 2])]
+        for i in range(size):
+            letter[at + i] = True
+    return letter
+
+
+def known_features(strengths: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first four bytes, as a number, of all features, and the sorted hashes
+    of words and of beginnings."""
+    head = np.unique(np.array([int.from_bytes(f.encode()[:4].ljust(4, b"\0"), "little") for f in strengths], np.uint32))
+    return head, _hashes([f for f in strengths if not f.endswith("-")]), _hashes([f[:-1] for f in strengths if f.endswith("-")])
+
+
+def _hashes(names: list[str]) -> np.ndarray:
+    raw = [n.encode() for n in names]
+    ends = np.cumsum([0, *map(len, raw)])
+    return np.sort(K.hash_spans(np.frombuffer(b"".join(raw), np.uint8), ends[:-1], ends[1:]))
+
+
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else np.zeros(len(hashes), bool)
+
+
+def without_evidence(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which tokens are plain words (letters of ``letter_bytes``, none three times
+    in a row, one mark of ``_STOP_BYTES`` may follow), so that they are read as
+    they stand, and have no feature: they add nothing to a score. Features are
+    found by hashes, so a word taken for one that has a feature is only read in vain."""
+    heads, whole, beginnings = known
+    letter = letter_bytes(low)
     bare = ends - (_STOP_BYTES[low[ends - 1]] & (ends - starts > 1))
     odd = ~letter
     odd[2:] |= (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
     seen = np.concatenate([[0], np.cumsum(odd)])
+    padded = np.concatenate([low, np.zeros(4, np.uint8)])
+    follows = (padded & 0xC0) == 0x80
     # the first two letters' runs may begin in front of the token, where white space or a row ends
     begins = np.minimum(starts + 2, bare)
     plain = (seen[bare] == seen[begins]) & letter[starts] & letter[np.minimum(starts + 1, bare - 1)]
-    padded = np.concatenate([low, np.zeros(4, np.uint8)])
+    plain &= ~follows[starts] & ~follows[bare]  # no character reaches over the end of a row
     head = np.zeros(len(starts), np.uint32)
     for i in range(4):
         head |= np.where(starts + i < bare, padded[starts + i], 0).astype(np.uint32) << np.uint32(8 * i)
-    return plain & ~np.isin(head, heads)
-
-
-def _slice_scores(low: np.ndarray, offsets: np.ndarray, restore: Restorer, strengths: dict[str, float], best: dict[int, tuple[float, int]], known_heads: np.ndarray | None = None):
+    near = np.flatnonzero(plain & np.isin(head, heads))
+    s, e = starts[near], bare[near]
+    found = _among(K.hash_spans(low, s, e), whole)
+    chars = np.flatnonzero(~follows[:len(low) + 1])  # where characters begin, and the end
+    first, last = np.searchsorted(chars, s), np.searchsorted(chars, e)
+    for n in BEGINNINGS:
+        long = np.flatnonzero(~found & (last - first >= n))
+        found[long] = _among(K.hash_spans(low, s[long], chars[first[long] + n]), beginnings)
+    plain[near[found]] = False
+    return plain
+
+
+def _slice_scores(low: np.ndarray, offsets: np.ndarray, restore: Restorer, strengths: dict[str, float], best: dict[int, tuple[float, int]], known: tuple | None = None):
     """``(score, decoded tokens)`` of the rows of a slice, runs of single letters
     left out. A token's reading is made once for all rows that hold it; plain
-    words that begin like no feature need none."""
+    words without a feature need none."""
     hashes, starts, ends, first = K.words(low, offsets)
-    wanted = np.flatnonzero(~without_evidence(low, starts, ends, heads(strengths) if known_heads is None else known_heads))
+    wanted = np.flatnonzero(~without_evidence(low, starts, ends, known_features(strengths) if known is None else known))
     hashes, starts, ends, first = hashes[wanted], starts[wanted], ends[wanted], np.searchsorted(wanted, first)
     kinds, at, of = np.unique(hashes, return_index=True, return_inverse=True)
     strongest, changed = np.zeros(len(kinds)), np.zeros(len(kinds), np.int64)
@@ -343,10 +414,10 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def rows(batches):
         counts, strengths = model.value
-        restore, best, starts = Restorer(counts), {}, heads(strengths)
+        restore, best, known = Restorer(counts), {}, known_features(strengths)
         for b in batches:
             for lo, hi, data, off in K.text_slices(b.column(2)):
-                top, n = _slice_scores(K.lower(data), off, restore, strengths, best, starts)
+                top, n = _slice_scores(K.lower(data), off, restore, strengths, best, known)
                 for i in np.flatnonzero(may_be_spaced(data, off)).tolist():
                     for words in restore.spaced((b.column(2)[lo + i].as_py() or "").lower()):
                         top[i] = max([top[i], *(strengths.get(f, 0.0) for w in words for f in features(w))])

@@ -49,3 +49,34 @@ def test_plain_words_are_not_read():
     words = " ".join(f"{a}{b}word, {a}x{b}." for a in "abcdef" for b in "ghijkl")
     assert _scores([words + " ba@d toxin"], {"toxin": 0.8}, Watched(COUNTS)) == [[0.8], [1]]
     assert sorted(read) == ["ba@d", "toxin"]
+
+
+def test_words_that_only_begin_like_a_feature_are_not_read():
+    read = []
+
+    class Watched(T.Restorer):
+        def readings(self, token):
+            read.append(token)
+            return super().readings(token)
+
+    strengths = {"toxin": 0.8, "çauxé-": 0.7, "一丁": 0.6}
+    assert _scores(["toxicology toxins, toxi çauxa 一丂 éa", "çauxéta. 一丁 ab", "Éa toxin"], strengths, Watched(COUNTS)) == [[0.0, 0.7, 0.8], [0, 0, 0]]
+    assert sorted(read) == ["toxin", "çauxéta.", "éa", "一丁"]
+    assert _scores(["ab çb"], {}, Watched(COUNTS)) == [[0.0], [0]]
+
+
+def test_bytes_of_letters():
+    text = "aZ1éÉ×жЖ一€\U00010428"
+    raw = np.frombuffer(text.encode() + b"\xc3" + b"\xe4\xb8", np.uint8)
+    want = b"".join((b"\1" if c in "aéж一" else b"\0") * len(c.encode()) for c in text) + b"\0\0\0"
+    assert T.letter_bytes(raw).astype(np.uint8).tobytes() == want
+
+
+def test_kept_ends_are_read_as_in_whole_tokens():
+    pick, decoder, searched = random.Random(6), T.Decoder(COUNTS), []
+    tokens = ["".join(pick.choice("abckeé01!@$*x") for _ in range(pick.randrange(1, 9))) for _ in range(400)]
+    assert [decoder.read(t) for t in tokens] == [decoder._search(T.EDGE, T.EDGE, "", t) for t in tokens]
+    search = decoder._search
+    decoder._search = lambda *x: searched.append(x) or search(*x)
+    assert {decoder.read(f"{a}{b}word!!")[:6] for a in "abc" for b in "ghi"} == {f"{a}{b}word" for a in "abc" for b in "ghi"}
+    assert len(searched) == 1
