@@ -18,8 +18,8 @@ Scale:
   their shingles in one global order, rare ones first, two sets of similarity
   0.75 share a shingle of their short prefixes. Texts that share much, but less
   than that, differ in more shingles than a prefix has, so they seldom meet.
-  Rows of one component never meet each other, and candidates are distinct
-  pairs.
+  Rows of one component never meet each other, a pair meets at its first
+  shared shingle and seldom at another, and candidates are distinct pairs.
 * Sizes and a 512-bit parity word of each set rule out most candidates before
   any text travels; the bound is exact, so no similar pair is lost.
 * A candidate is confirmed on the full shingle sets. The node's text travels
@@ -58,6 +58,8 @@ PER_CELL = 64
 COUNT_BITS = 18
 #: Length of the bit words that rule out pairs before their texts travel.
 BITS = 512
+#: Shingles before a prefix's row that tell whether a pair has met already.
+LAST = 8
 #: Rounds with other centres before the prefix join.
 MORE_STARS = 1
 
@@ -220,8 +222,8 @@ def rare_first(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def prefix_rows(sets: DataFrame, counts) -> DataFrame:
-    """``shingle, node, root, n, at, indexed, bits``: the prefix of each set in the
-    global order. Two sets of similarity 0.75 share a shingle that is in the
+    """``shingle, node, root, n, at, indexed, bits, last``: the prefix of each set in
+    the global order, with the up to ``LAST`` shingles before each. Two sets of similarity 0.75 share a shingle that is in the
     longer prefix (n - ceil(0.75 n) + 1) of the larger and in the shorter one
     (n - ceil(1.5 n / 1.75) + 1, ``indexed``) of the smaller."""
 
@@ -238,25 +240,37 @@ def prefix_rows(sets: DataFrame, counts) -> DataFrame:
                 whose = np.repeat(np.arange(hi - lo), long)
                 words = parity_bits(sets)[whose]
                 bits = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, BITS // 64, dtype=np.int32)), pa.array(words.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.concatenate(first))), pa.array(nodes[lo:hi][whose]), pa.array(roots[lo:hi][whose]), pa.array(n[whose]), pa.array(at.astype(np.int32)), pa.array(at < short[whose]), bits], ["shingle", "node", "root", "n", "at", "indexed", "bits"])
+                shingles = K.signed(np.concatenate(first))
+                before = np.minimum(at, LAST)
+                ends = np.concatenate([[0], np.cumsum(before)])
+                last = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(shingles[np.arange(ends[-1]) + np.repeat(np.arange(len(at)) - before - ends[:-1], before)]))
+                yield pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(nodes[lo:hi][whose]), pa.array(roots[lo:hi][whose]), pa.array(n[whose]), pa.array(at.astype(np.int32)), pa.array(at < short[whose]), bits, last], ["shingle", "node", "root", "n", "at", "indexed", "bits", "last"])
 
-    return sets.select("node", "root", "text").mapInArrow(run, "shingle long, node long, root long, n long, at int, indexed boolean, bits array<long>")
+    return sets.select("node", "root", "text").mapInArrow(run, "shingle long, node long, root long, n long, at int, indexed boolean, bits array<long>, last array<long>")
 
 
-def _prefix_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct ``node, centre`` pairs of different roots that may be similar.
-    Of the rows of a shingle, those outside its most frequent root meet all."""
+def _prefix_meetings(rows: DataFrame) -> DataFrame:
+    """``node, centre`` pairs of different roots that may be similar, seldom one
+    more than once. Of the rows of a shingle, those outside its most frequent root meet all. A
+    pair that shares one of the last shingles before has met there already: the
+    conditions of a similar pair hold at every shingle of both prefixes, so it
+    meets at the first one, and is not made once more for each of the others."""
     by_root = rows.groupBy("shingle", "root").agg(F.count("*").alias("k"))
     main = by_root.groupBy("shingle").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("shingle", "main")
     open_ = rows.join(main, "shingle")
-    mine = open_.where("root != main").select("shingle", *(F.col(c).alias(f"m_{c}") for c in ("node", "root", "n", "at", "indexed", "bits")))
+    mine = open_.where("root != main").select("shingle", *(F.col(c).alias(f"m_{c}") for c in ("node", "root", "n", "at", "indexed", "bits", "last")))
     both = mine.join(open_, "shingle").where(F.col("root") != F.col("m_root"))
     larger = (F.col("n") > F.col("m_n")) | ((F.col("n") == F.col("m_n")) & (F.col("node") > F.col("m_node")))
     # the shingles behind this one bound what else the two can share
     most = 1 + F.least(F.col("n") - F.col("at"), F.col("m_n") - F.col("m_at")) + F.least("at", "m_at") - 1
     enough = (100 + SIMILAR_PERCENT) * most >= SIMILAR_PERCENT * (F.col("n") + F.col("m_n"))
     indexed = F.when(larger, F.col("m_indexed")).otherwise(F.col("indexed"))
-    return both.where(enough & indexed & _may_be_similar("n", "bits", "m_n", "m_bits")).select(F.least("node", "m_node").alias("node"), F.greatest("node", "m_node").alias("centre")).distinct()
+    return both.where(enough & indexed & _may_be_similar("n", "bits", "m_n", "m_bits") & ~F.arrays_overlap("last", "m_last")).select(F.least("node", "m_node").alias("node"), F.greatest("node", "m_node").alias("centre"))
+
+
+def _prefix_pairs(rows: DataFrame) -> DataFrame:
+    """The distinct pairs of ``_prefix_meetings``."""
+    return _prefix_meetings(rows).distinct()
 
 
 def _cross_links(open_nodes: DataFrame, sources: DataFrame) -> DataFrame:

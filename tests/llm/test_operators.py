@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -101,6 +102,23 @@ def test_members_outside_the_largest_component_meet_all(spark):
     assert far < 0.75 and set(got.values()) == {0}
 
 
+def test_pairs_meet_once_in_the_prefix_join(spark):
+    pick = random.Random(11)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for node in range(12):  # near copies that differ in a few words
+        words = list(base)
+        for at in pick.sample(range(400), 1 + node % 5 * 4):
+            words[at] = f"x{node}_{at}"
+        rows.append((node, node, " ".join(words)))
+    nodes = spark.createDataFrame(rows, "node long, root long, text string")
+    counts = spark.sparkContext.broadcast(minmax_dedup.shingle_counts(nodes))
+    met = [tuple(sorted(r)) for r in minmax_dedup._prefix_meetings(minmax_dedup.prefix_rows(nodes, counts)).collect()]
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for _, _, t in rows]
+    similar = {(a, b) for a in range(12) for b in range(a + 1, 12) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(similar) >= 10 and similar <= set(met) and len(met) <= 3 * len(set(met))
+
+
 def test_prefix_join_loses_no_link(spark):
     """Families that share most words, edits at every distance: the candidates
     hold all similar pairs, and the members of a family that are just not
