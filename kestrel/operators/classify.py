@@ -55,7 +55,7 @@ def prepare(df: DataFrame, target: str, key: str, features=None, stratify: bool
         d, classes = prep.label_encode(d, target, "label")
     else:
         d = d.withColumn("label", F.col(target).cast("double"))
-    split = prep.hash_split(d, key, label=target if stratify else None)
+    split = prep.hash_split(d, key, label=target if stratify else None).persist()  # for the scaler, train and test
     train = split.filter(~F.col("is_test"))
     test = split.filter(F.col("is_test"))
     stats = prep.scaler_stats(train, feats)

@@ -183,16 +183,24 @@ RAW_BUSINESS_DAYS_SQL = """
 
 
 def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents with whole-text counts as numeric features."""
+    """Labelled documents with whole-text counts as numeric features.
+
+    The counts are taken before the join: no text is shuffled with the labels,
+    and no filter on the counts, which Spark moves into the join, counts again."""
     lab = load_table(spark, sf_dir, "labels")
-    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     t = F.col("text")
-    return lab.join(docs, "doc_id").select(
-        "doc_id", "quality", "toxic",
+    docs = load_table(spark, sf_dir, "documents").select(
+        "doc_id",
         F.col("n_chars").cast("double").alias("n_chars"),
-        (F.length(t) - F.length(F.regexp_replace(t, "\\n", "")) + 1).cast("double").alias("n_lines"),
-        (F.length(t) - F.length(F.regexp_replace(t, " ", ""))).cast("double").alias("n_spaces"),
-        F.length(F.regexp_replace(t, "[^A-Z]", "")).cast("double").alias("n_upper"))
+        (_n_ascii(t, "\n") + 1).cast("double").alias("n_lines"),
+        _n_ascii(t, " ").cast("double").alias("n_spaces"),
+        F.length(F.regexp_replace(t, "[^A-Z]+", "")).cast("double").alias("n_upper"))
+    return lab.join(docs, "doc_id").select("doc_id", "quality", "toxic", *DOC_FEATURES)
+
+
+def _n_ascii(t, char: str):
+    """How often an ASCII character (one byte) stands in ``t``."""
+    return F.octet_length(t) - F.octet_length(F.replace(t, F.lit(char), F.lit("")))
 
 
 DOCUMENT_FEATURES_SQL = """

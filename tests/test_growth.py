@@ -6,8 +6,9 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from kestrel.operators import clean, optimise, passes, regress, stats
+from kestrel.operators import classify, clean, optimise, passes, regress, stats
 from kestrel.sources import derived
 
 
@@ -73,3 +74,28 @@ def test_few_levels_are_not_sorted_for_the_join(spark, monkeypatch):
     df = spark.createDataFrame([(f"a{i % 3}", f"b{i % 2}", float(i * i % 17)) for i in range(60)], "a string, b string, y double")
     assert stats.two_way_anova(df, "y", "a", "b").count() == 4
     assert "SortMergeJoin" not in plans[0] and "BroadcastHashJoin" in plans[0]
+
+
+def test_text_counts_are_taken_once_and_no_text_is_joined(spark, tmp_path):
+    texts = ["Ab C\nd", "", None, "\n\n", "Zürich  ÀB\n 漢字 🙂 X", "plain"]
+    spark.createDataFrame([*enumerate(texts), (2, "again\n"), (None, "A")], "doc_id long, text string").withColumn("n_chars", F.length("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 0), (3, None, 1), (4, 1, 1), (9, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = derived.document_features(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "quality", "toxic", *derived.DOC_FEATURES]
+    want = {(i, t) for i, t in [*enumerate(texts[:5]), (2, "again\n")]}
+    counts = {(i, *([None] * 4 if t is None else map(float, (len(t), t.count("\n") + 1, t.count(" "), sum("A" <= c <= "Z" for c in t))))) for i, t in want}
+    assert {tuple(r) for r in out.select("doc_id", *derived.DOC_FEATURES).collect()} == counts and out.count() == 6
+    plan = out.select("doc_id", "quality", *derived.DOC_FEATURES).dropna()._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan[:plan.index("Join")], plan[plan.index("Join"):]
+    joined, below = below.split("\n", 1)
+    assert "text" not in above + joined and below.count("regexp_replace") == 1
+
+
+def test_split_is_made_once(spark):
+    df = spark.range(60).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 2).alias("y"))
+    p = classify.prepare(df, "y", "id", ["a"])
+    for side in (p.train, p.test):  # each is read from the kept split
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        kept = [line for line in plan.split("\n") if "InMemoryTableScan" in line and "is_test" in line]
+        assert any("features" not in line for line in kept)
+    assert p.test.count() == 12 and p.train.count() == 48
