@@ -8,12 +8,19 @@ single tree of classes is MLlib's tree (above ``LOCAL_ROWS``, leaves are merged
 within subtrees only). A forest draws Poisson(1) weights for each tree and row.
 The trees stay a table: rows to predict are brought to the subtree they fall into.
 
+Rows with the same bins in all features, a cell, are one to every split. Where a
+forest of numbers has more than ``LOCAL_ROWS`` rows and at most ``MAX_CELLS`` cells,
+a cell's rows are brought together once, each still drawing its weight in each
+tree, and only the cell's count, mean and spread go to the trees. A tree is grown
+whole from them, and rows to predict look up the mean of the trees for their cell.
+
 The driver holds the nodes above the subtrees, about rows / ``LOCAL_ROWS`` of each
 tree; histograms of a pass take at most ``PASS_BYTES`` in a task.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -28,6 +35,10 @@ from kestrel.session import ensure_checkpoint_dir, ship_package
 LOCAL_ROWS = 1 << 16
 PASS_BYTES = 64 << 20
 MAX_TASKS = 2048
+MAX_CELLS = 1 << 20
+#: Cells whose predictions a tree makes at once, and the weights drawn at once.
+CHUNK, DRAWN = 1 << 12, 1 << 18
+_PIECE_BITS = 20  # of a cell's number, for the piece of a cell of very many rows
 _NODES = "tree int, node int, feature binary, split binary, left binary, value binary"
 
 
@@ -47,15 +58,19 @@ def cuts_of(values: np.ndarray, max_bins: int) -> np.ndarray:
     return np.array(out)
 
 
-def _cuts(rows: DataFrame, n: int, key: str, max_bins: int) -> list[np.ndarray]:
-    """Each feature's thresholds, beyond max(max_bins squared, 10,000) rows from a
-    sample of about that many by the hash of key and features."""
+def _sample(rows: DataFrame, n: int, key: str, max_bins: int) -> DataFrame:
+    """All rows, beyond max(max_bins squared, 10,000) about that many by the hash
+    of key and features."""
     wanted, whole = max(max_bins * max_bins, 10_000), rows
     if n > wanted:
         rows = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string"), vector_to_array("features")), F.lit(1 << 30)) < int(wanted / n * (1 << 30)))
         if rows.isEmpty():  # few different rows, often repeated
             rows = whole.limit(wanted)
-    bins = min(max_bins, n)
+    return rows
+
+
+def _cuts(rows: DataFrame, bins: int) -> list[np.ndarray]:
+    """Each feature's thresholds from a sample."""
 
     def one(t: pa.Table) -> pa.Table:
         return pa.table({"f": t.column("f").slice(0, 1), "cuts": pa.array([cuts_of(t.column("v").to_numpy(), bins)], pa.list_(pa.float64()))})
@@ -78,6 +93,102 @@ def _blocks(rows: DataFrame, cuts: list[np.ndarray], extra: str) -> DataFrame:
     return rows.select(vector_to_array("features").alias("x"), extra).mapInArrow(run, "bins binary, extra binary")
 
 
+def cells_of(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """The number of each row's cell."""
+    cell = np.zeros(len(x), np.int64)
+    for f, c in enumerate(cuts):
+        cell = cell * (len(c) + 1) + np.searchsorted(c, x[:, f], "left")
+    return cell
+
+
+def bins_of(cell: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """The bins of each cell."""
+    return np.stack(np.unravel_index(cell, [len(c) + 1 for c in cuts]), axis=1).astype(np.uint16)
+
+
+def _cell(cuts: list[np.ndarray]):
+    """A function of the features: the number of their cell."""
+
+    @F.arrow_udf("long")
+    def cell(x: pa.Array) -> pa.Array:
+        return pa.array(cells_of(x.flatten().to_numpy().reshape(len(x), len(cuts)), cuts))
+
+    return cell
+
+
+def _piece(cuts: list[np.ndarray], pieces: dict[int, int]):
+    """A function of the features and a hash: the cell and which of its ``pieces``."""
+    cut = np.array(sorted(pieces) or [-1], np.int64)
+    count = np.array([pieces.get(c, 1) for c in cut.tolist()], np.int64)
+
+    @F.arrow_udf("long")
+    def piece(x: pa.Array, h: pa.Array) -> pa.Array:
+        at = cells_of(x.flatten().to_numpy().reshape(len(x), len(cuts)), cuts)
+        i = np.minimum(np.searchsorted(cut, at), len(cut) - 1)
+        return pa.array(at << _PIECE_BITS | np.where(cut[i] == at, h.to_numpy() % count[i], 0))
+
+    return piece
+
+
+# the weight of each sixteen-bit number, -1 where a finer one decides
+_UP_TO = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
+_EDGES = np.searchsorted(_UP_TO, np.arange(65537) / 65536, "right")
+_WEIGHTS = np.where(_EDGES[1:] == _EDGES[:-1], _EDGES[:-1], -1).astype(float)
+
+
+def poisson(rng: np.random.Generator, rows: int, trees: int) -> np.ndarray:
+    """Poisson(1) weights."""
+    u = rng.integers(0, 1 << 16, (rows, trees), np.uint16)
+    w = _WEIGHTS[u]
+    open_ = np.flatnonzero(w < 0)
+    w.flat[open_] = np.searchsorted(_UP_TO, (u.flat[open_] + rng.random(len(open_))) / 65536, "right")
+    return w
+
+
+def _cell_sums(train: DataFrame, key: str, n: int, cuts: list[np.ndarray], few: DataFrame, trees: int, shift: float, seed: int) -> DataFrame:
+    """For each tree the drawn rows of the cells: their number, mean label (less
+    ``shift``) and sum of squared deviations from it. A cell that holds more than a
+    task's share of the sample ``few`` is cut into pieces."""
+    parts = max(4 * train.sparkSession.sparkContext.defaultParallelism, min(8 * MAX_TASKS, n >> 20))
+    x = vector_to_array("features")
+    counts = few.select(x.alias("x")).repartition(1).select(_cell(cuts)("x").alias("cell")).groupBy("cell").count().collect()
+    share = parts / sum(r["count"] for r in counts)
+    pieces = {r["cell"]: p for r in counts if (p := round(r["count"] * share)) > 1}
+    piece = _piece(cuts, pieces)(x, F.xxhash64(F.col(key).cast("string"), "label"))
+    rows = train.select(piece.alias("piece"), (F.col("label") - F.lit(shift)).cast("double").alias("y"))
+    step = max(1, DRAWN // trees)
+
+    def made(done, sums):
+        s, piece = np.stack(sums), np.array(done, np.int64)
+        out = []
+        for t in range(trees):
+            at = np.flatnonzero(s[:, 1, t])
+            base, w, d, dd = s[at, 0, t], s[at, 1, t], s[at, 2, t], s[at, 3, t]
+            out.append([x.tobytes() for x in (piece[at], w, base + d / w, np.maximum(dd - d * (d / w), 0.0))])
+        return pa.RecordBatch.from_arrays([pa.array(range(trees), pa.int32())] + [pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["tree", "piece", "n", "mean", "spread"])
+
+    def summed(batches):
+        done, sums, rng = [], [], None
+        for b in batches:
+            p, y = b.column(0).to_numpy(), b.column(1).to_numpy()
+            starts = np.unique(np.r_[np.flatnonzero(p[1:] != p[:-1]) + 1, np.arange(0, len(p), step)])
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(p)], strict=False):
+                if not done or p[lo] != done[-1]:
+                    if len(done) * trees >= 4 * DRAWN:
+                        yield made(done, sums)
+                        done, sums = [], []
+                    done.append(int(p[lo]))
+                    sums.append(np.zeros((4, trees)))
+                    sums[-1][0] = y[lo]  # deviations from a label of the cell stay small
+                    rng = np.random.default_rng([seed, done[-1]])
+                d = y[lo:hi] - sums[-1][0, 0]
+                sums[-1][1:] += np.stack([np.ones(hi - lo), d, d * d]) @ poisson(rng, hi - lo, trees)
+        if done:
+            yield made(done, sums)
+
+    return rows.repartition(parts, "piece").sortWithinPartitions("piece", "y").mapInArrow(summed, "tree int, piece binary, n binary, mean binary, spread binary")
+
+
 def _impurity(s: np.ndarray, k: int) -> np.ndarray:
     """Gini impurity of class counts, or variance of (n, sum, sum of squares)."""
     if k:
@@ -120,35 +231,54 @@ def _tried(seed: int, tree: int, node: int, m: int, dim: int, tries: int) -> np.
     return draw <= np.partition(draw, tries - 1, axis=1)[:, tries - 1:tries]
 
 
-def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, depth: int, tried):
+def _bin_sums(slot: np.ndarray, b: np.ndarray, s: np.ndarray, m: int):
+    """The filled bins of ``m`` nodes, in order, and their sums, from cells."""
+    width = int(b.max()) + 1
+    at = slot * width + b
+    filled = np.flatnonzero(np.bincount(at, minlength=m * width))
+    return filled // width << 16 | filled % width, np.stack([np.bincount(at, s[:, c], m * width)[filled] for c in range(s.shape[1])], axis=1)
+
+
+def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, depth: int, tried, spread: np.ndarray | None = None):
     """``feature, split, left, value`` of the nodes of a subtree, level by level;
     a leaf's feature is -1, the right child stands behind the left one.
-    ``tried(first node, nodes)`` says which features may be split on."""
+    ``tried(first node, nodes)`` says which features may be split on. With
+    ``spread`` a row stands for ``w`` rows of mean ``y``: the sum of their squared
+    deviations from it."""
     feature, split, left, value = [], [], [], []
     slot, made, m = np.zeros(len(y), np.int64), 0, 1
     for level in range(depth + 1):
         # numbers stay small against the node's own: deviations from its mean
         mean = None if k else np.bincount(slot, w * y, m) / np.bincount(slot, w, m)
         s = np.eye(k)[y.astype(np.int64)] * w[:, None] if k else np.stack([w, w * (y - mean[slot]), w * (y - mean[slot]) ** 2], axis=1)
+        if spread is not None:
+            s[:, 2] += spread
         value.append(np.stack([np.bincount(slot, s[:, c], m) for c in range(k)], axis=1) if k else mean[:, None])
         f_of, b_of = np.full(m, -1), np.zeros(m, np.int64)
         if level < depth:
             low, high = np.full(m, np.inf), np.full(m, -np.inf)
             np.minimum.at(low, slot, y)
             np.maximum.at(high, slot, y)
-            gain, may = np.zeros(m), tried(made, m) & (low < high)[:, None]
+            mixed = low < high
+            if spread is not None:
+                mixed |= np.bincount(slot, spread, m) > 0
+            gain, may = np.zeros(m), tried(made, m) & mixed[:, None]
             for f in range(bins.shape[1]):
                 rows = np.flatnonzero(may[slot, f])
                 if not len(rows):
                     continue
-                key = (slot[rows] << 16) | bins[rows, f]
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                at_node, g, cell = best_splits(np.add.reduceat(s[rows[order]], first, axis=0), key[first] >> 16, k)
+                if spread is not None and m * (int(bins[:, f].max()) + 1) <= 4 * len(rows):
+                    key, sums = _bin_sums(slot[rows], bins[rows, f], s[rows], m)
+                else:
+                    key = (slot[rows] << 16) | bins[rows, f]
+                    order = np.argsort(key, kind="stable")
+                    key = key[order]
+                    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                    key, sums = key[first], np.add.reduceat(s[rows[order]], first, axis=0)
+                at_node, g, cell = best_splits(sums, key >> 16, k)
                 better = g > gain[at_node]
                 at_node, cell = at_node[better], cell[better]
-                gain[at_node], f_of[at_node], b_of[at_node] = g[better], f, key[first[cell]] & 0xFFFF
+                gain[at_node], f_of[at_node], b_of[at_node] = g[better], f, key[cell] & 0xFFFF
         inner = np.flatnonzero(f_of >= 0)
         child = np.full(m, -1)
         child[inner] = made + m + 2 * np.arange(len(inner))
@@ -159,7 +289,7 @@ def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, depth: int, tri
             break
         rows = np.flatnonzero(f_of[slot] >= 0)
         of = slot[rows]
-        bins, y, w = bins[rows], y[rows], w[rows]
+        bins, y, w, spread = bins[rows], y[rows], w[rows], None if spread is None else spread[rows]
         slot = child[of] - (made + m) + (bins[np.arange(len(rows)), f_of[of]] > b_of[of])
         made, m = made + m, 2 * len(inner)
     return _merged(*(np.concatenate(x) for x in (feature, split, left, value)), k)
@@ -211,18 +341,43 @@ class _Top:
 
 @dataclass
 class Forest:
-    """Fitted trees; ``nodes`` has a row for each subtree."""
+    """Fitted trees; ``nodes`` has a row for each subtree. ``whole``: each tree is
+    one, grown from cells."""
 
     tops: list
     nodes: DataFrame
     cuts: list
     k: int
     shift: float
+    whole: bool = False
+
+    def _cell_means(self) -> DataFrame:
+        """What the trees predict for each cell, on average: ``_cell, _mean``."""
+        cuts, shift = self.cuts, self.shift
+        cells = math.prod(len(c) + 1 for c in cuts)
+
+        def predicted(batches):
+            for b in batches:
+                for r in b.to_pylist():
+                    value, parts = np.frombuffer(r["value"], np.float64), [np.frombuffer(r[c], np.int32) for c in ("feature", "split", "left")]
+                    for first in range(0, cells, CHUNK):
+                        at = reached(*parts, bins_of(np.arange(first, min(first + CHUNK, cells)), cuts))
+                        yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([r["tree"]], pa.int32()), pa.array([value[at].tobytes()])], ["first", "tree", "v"])
+
+        def averaged(t):
+            votes = np.stack([np.frombuffer(v, np.float64) for v in t.sort_by("tree").column("v").to_pylist()])
+            return pa.table({"_cell": t.column("first")[0].as_py() + np.arange(votes.shape[1]), "_mean": votes.mean(axis=0) + shift})
+
+        votes = self.nodes.select("tree", "feature", "split", "left", "value").mapInArrow(predicted, "first int, tree int, v binary")
+        return votes.groupBy("first").applyInArrow(averaged, "_cell long, _mean double")
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` (with ``features``) with ``prediction`` and, for classes,
         ``probability``."""
         spark, k, shift = df.sparkSession, self.k, self.shift
+        if self.whole:  # at most MAX_CELLS rows, whatever the input
+            means = F.broadcast(self._cell_means().withColumnRenamed("_mean", "prediction"))
+            return df.withColumn("_cell", _cell(self.cuts)(vector_to_array("features"))).join(means, "_cell").drop("_cell")
         ensure_checkpoint_dir(spark)
         df = df.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
         tops, dim = [t.arrays() for t in self.tops], len(self.cuts)
@@ -276,11 +431,15 @@ def fit(train: DataFrame, key: str, k: int, trees: int = 1, max_depth: int = 30,
     n, shift = r["n"], 0.0 if k else float(r["mean"] or 0.0)
     if not n:
         raise ValueError("no training rows")
-    cuts = _cuts(train, n, key, max_bins)
+    few = _sample(train, n, key, max_bins)
+    cuts = _cuts(few, min(max_bins, n))
     dim = len(cuts)
     tries = min(tries or dim, dim)
     width = max(len(c) for c in cuts) + 1
     ensure_checkpoint_dir(spark)
+    if not k and trees > 1 and n > local and math.prod(len(c) + 1 for c in cuts) <= MAX_CELLS:
+        sums = _cell_sums(train, key, n, cuts, few, trees, shift, seed)
+        return Forest([_Top(n) for _ in range(trees)], _whole_trees(sums, cuts, trees, max_depth, tries, seed).checkpoint(), cuts, k, shift, whole=True)
     ordered = train.select("features", (F.col("label") - F.lit(shift)).cast("double").alias("y"), F.col(key).alias("_key")).sortWithinPartitions("_key", "y")
     blocks = _blocks(ordered, cuts, "y").checkpoint()
     tops = [_Top(n) for _ in range(trees)]
@@ -322,6 +481,23 @@ def fit(train: DataFrame, key: str, k: int, trees: int = 1, max_depth: int = 30,
     return Forest(tops, nodes.checkpoint(), cuts, k, shift)
 
 
+def _whole_trees(sums: DataFrame, cuts: list[np.ndarray], trees: int, max_depth: int, tries: int, seed: int) -> DataFrame:
+    """Each tree grown in one piece from the sums of its cells."""
+    dim = len(cuts)
+
+    def grown(key, t):
+        tree = key[0].as_py()
+        piece, n, mean, spread = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("piece", np.int64), ("n", float), ("mean", float), ("spread", float)))
+        if not len(piece):  # all its weights are 0
+            return pa.table({"tree": pa.array([], pa.int32()), "node": pa.array([], pa.int32())} | {c: pa.array([], pa.binary()) for c in ("feature", "split", "left", "value")})
+        order = np.argsort(piece)
+        draw = np.random.default_rng([seed, tree, 0]).integers(1 << 31)
+        made = grow(bins_of(piece[order] >> _PIECE_BITS, cuts), mean[order], n[order], 0, max_depth, lambda first, m: _tried(seed + int(draw), tree, first + 1, m, dim, tries), spread[order])
+        return pa.table({"tree": pa.array([tree], pa.int32()), "node": pa.array([0], pa.int32())} | {c: pa.array([x.tobytes()]) for c, x in zip(("feature", "split", "left", "value"), made, strict=True)})
+
+    return sums.repartition(_tasks(sums.sparkSession, trees, 1), "tree").groupBy("tree").applyInArrow(grown, _NODES)
+
+
 def _grow_tops(blocks: DataFrame, tops: list, weighted, k: int, max_depth: int, width: int, dim: int, tries: int, seed: int, local: int) -> None:
     """Split all nodes of more than ``local`` rows, a group of them each pass."""
     per_node = tries * width * (k or 3) * 8
