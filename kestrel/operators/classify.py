@@ -49,16 +49,26 @@ def prepare(df: DataFrame, target: str, key: str, features=None, stratify: bool
         return _prepare_array(df, target, key, features, stratify, encode)
     feats = list(features) if features else prep.default_features(df, target, exclude=[key])
     prep.validate_columns(df, [target, key, *feats])
-    d = df.select(key, target, *feats).dropna().persist()  # classes, split and scaler read it several times
+    d = df.select(key, target, *feats).dropna()
+    if not stratify:
+        d = d.withColumn("_bucket", prep.split_bucket(key))
+    kept = d = d.persist()  # classes, split and scaler read it several times
     classes = None
     if encode:
         d, classes = prep.label_encode(d, target, "label")
     else:
         d = d.withColumn("label", F.col(target).cast("double"))
-    split = prep.hash_split(d, key, label=target if stratify else None).persist()  # for the scaler, train and test
+    if stratify:
+        split = prep.hash_split(d, key, label=target)
+    elif kept.count() > prep.RANKED_ROWS:
+        split = prep.hash_split(d, key, bucket="_bucket")
+    else:
+        split = prep.hash_split(d.drop("_bucket"), key)
+    split = split.persist()  # for the scaler, train and test
     train = split.filter(~F.col("is_test"))
     test = split.filter(F.col("is_test"))
     stats = prep.scaler_stats(train, feats)
+    kept.unpersist()  # all of the split is kept by now
     train = prep.assemble(prep.standardize(train, feats, stats), feats)
     test = prep.assemble(prep.standardize(test, feats, stats), feats)
     return Prepared(train.cache(), test.cache(), feats, classes, stats)

@@ -14,6 +14,7 @@ from .clean import numeric_columns
 SEED = 42
 TEST_FRACTION = 0.2
 _BUCKET_HEX = 4  # split buckets: first 4 hex digits of the md5 order key
+RANKED_ROWS = 1 << 20  # of more rows only the bucket that holds the cut is ranked
 
 
 def validate_columns(df: DataFrame, cols) -> None:
@@ -56,18 +57,25 @@ def _order_key(key: str, seed: int):
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
 
 
+def split_bucket(key: str, seed: int = SEED):
+    """The bucket of ``hash_split`` as a number, to be kept with the rows."""
+    return F.conv(F.substring(_order_key(key, seed), 1, _BUCKET_HEX), 16, 10).cast("int")
+
+
 def hash_split(df: DataFrame, key: str, label: str | None = None, test_fraction: float = TEST_FRACTION,
-               seed: int = SEED) -> DataFrame:
+               seed: int = SEED, bucket: str | None = None) -> DataFrame:
     """Add ``is_test``: per class (or overall) the ``ceil(f * n)`` rows with
     the smallest ``md5(key || ':seed')`` (then key) are the test set.
 
     Exact without sorting a class in one task: rows are bucketed by the
     first hex digits of the md5 (monotone in the order), bucket counts per
     class (a bounded table) give each bucket's offset, and only rows inside
-    one bucket are ranked by a window."""
+    one bucket are ranked by a window. With a column ``bucket`` (of
+    ``split_bucket``, no label) the bucket that the cut falls into is looked up
+    first and ranked alone; no other row moves."""
     h = _order_key(key, seed)
     grp = [label] if label else []
-    d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, _BUCKET_HEX))
+    d = df.withColumn("_h", h).withColumn("_b", F.col(bucket) if bucket else F.substring("_h", 1, _BUCKET_HEX))
     counts = d.groupBy(*grp, "_b").agg(F.count(F.lit(1)).alias("_bn"))
     wb = (Window.partitionBy(*grp) if grp else Window.partitionBy(F.lit(0))).orderBy("_b")
     offsets = counts.select(
@@ -79,6 +87,14 @@ def hash_split(df: DataFrame, key: str, label: str | None = None, test_fraction:
         too_small = small.filter(F.col("_cn") < 2).limit(1).collect()
         if too_small:
             raise ValueError(f"class {too_small[0][label]!r} has fewer than 2 rows; cannot stratify")
+    if bucket:
+        before = offsets.withColumn("_left", F.ceil(F.col("_cn") * F.lit(test_fraction)) - F.col("_off"))
+        r = before.filter(F.col("_left") > 0).agg(F.max("_b").alias("b"), F.max_by("_left", "_b").alias("left")).first()
+        cut, left = (-1, 0) if r["b"] is None else r
+        sure = d.filter(F.col("_b") != cut).withColumn("is_test", F.col("_b") < cut)
+        local = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
+        edge = d.filter(F.col("_b") == cut).withColumn("is_test", local <= left)
+        return sure.unionByName(edge).drop("_h", "_b", bucket)
     if label is None:
         j = d.join(F.broadcast(offsets), "_b")
     else:  # NULL labels are a class of their own

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kestrel.operators import classify, clean, optimise, passes, regress, stats
+from kestrel.operators import classify, clean, optimise, passes, prep, regress, stats
 from kestrel.sources import derived
 
 
@@ -99,3 +99,43 @@ def test_split_is_made_once(spark):
         kept = [line for line in plan.split("\n") if "InMemoryTableScan" in line and "is_test" in line]
         assert any("features" not in line for line in kept)
     assert p.test.count() == 12 and p.train.count() == 48
+
+
+@pytest.mark.parametrize("keys", ["long", "string"])
+def test_a_split_that_ranks_one_bucket_is_the_split(spark, keys):
+    """Repeated keys, some in the bucket of the cut, and a missing one, which a
+    split without classes leaves out."""
+    rows = [(i // 3, float(i // 3)) for i in range(1200)] + [(7, 7.0)] * 90 + [(None, 0.0)]
+    df = spark.createDataFrame(rows, "k long, v double").withColumn("k", F.col("k").cast(keys))
+    kept = df.withColumn("_at", prep.split_bucket("k"))
+    for fraction in (0.0, 0.2, 0.501, 1.0):
+        want = prep.hash_split(df, "k", test_fraction=fraction)
+        got = prep.hash_split(kept, "k", test_fraction=fraction, bucket="_at")
+        assert sorted(got.columns) == sorted(want.columns)
+        names = sorted(want.columns)
+        assert sorted(map(tuple, got.select(names).collect()), key=str) == sorted(map(tuple, want.select(names).collect()), key=str)
+    assert prep.hash_split(kept.limit(0), "k", bucket="_at").count() == 0
+
+
+def test_many_rows_are_split_where_they_are(spark, monkeypatch):
+    df = spark.range(5000).select("id", (F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("y"))
+    few = classify.prepare(df, "y", "id", ["a"], stratify=False, encode=False)
+    monkeypatch.setattr(prep, "RANKED_ROWS", 4999)
+    plans, split = [], prep.hash_split
+
+    def seen(*a, **b):
+        out = split(*a, **b)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(prep, "hash_split", seen)
+    many = classify.prepare(df, "y", "id", ["a"], stratify=False, encode=False)
+    plan, = plans
+    moved = plan[plan.index("Window ["):].split("InMemoryRelation")[0]
+    assert "Union" in plan and plan.count("Window [") == 1 and "Filter (isnotnull(_bucket" in moved
+    assert set(many.test.columns) == set(few.test.columns)
+    for a, b in ((many.test, few.test), (many.train, few.train)):
+        assert {r.id for r in a.select("id").collect()} == {r.id for r in b.select("id").collect()}
+    assert many.test.count() == 1000 and many.train.count() == 4000
+    for c, s in few.stats.items():
+        assert many.stats[c] == pytest.approx(s, rel=1e-12)
